@@ -131,8 +131,7 @@ class Rolling:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(0, 2**62)) * 4 + 1 | 0x1000
-        self.base |= 1
+        self.base = int(rng.integers(2**61, 2**62)) * 4 + 1
         self.inverse = pow(self.base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -221,3 +220,38 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+# --- texts dealt to groups -------------------------------------------------------------------------------------
+
+def dealt_text(docs: DataFrame) -> DataFrame:
+    """(to, blob): the rows of docs (doc_id, k, text, to), compressed together for each group and Arrow batch.
+
+    Fewer and smaller shuffle records than a row per document; `text_of` gives the rows of a group.
+    """
+
+    def packed(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            to = batch.column("to").to_numpy()
+            order = np.argsort(to, kind="stable")
+            rows = pa.Table.from_batches([batch.select(["doc_id", "k", "text"])]).take(pa.array(order))
+            to = to[order]
+            cut = runs(to)
+            blobs = []
+            for s, e in zip(cut, np.r_[cut[1:], len(to)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_table(rows.slice(s, e - s))
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
+
+    return docs.select("to", "doc_id", "k", "text").mapInArrow(packed, "to int, blob binary")
+
+
+def text_of(group: pa.Table) -> pa.Table:
+    """(doc_id, k, text) of a group of `dealt_text`."""
+    tables = [pa.ipc.open_stream(b).read_all() for b in group["blob"].to_pylist()]
+    if not tables:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "k": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    return pa.concat_tables(tables).combine_chunks()
