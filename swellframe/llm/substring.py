@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, group_counts, keyed, kind_of, pieces, runs, text_bytes, unpack
+from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, text_bytes, text_of, unpack
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -146,7 +146,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
         order = np.argsort(row, kind="stable")
         return row[order], places["p"].astype(np.int64)[order]
 
-    def windows(key, text: pa.Table, info: pa.Table) -> pa.Table:
+    def windows(key: tuple[pa.Scalar, ...], text: pa.Table, info: pa.Table) -> pa.Table:
+        text = text_of(text)
         out = [blob_batch(0, np.empty(0, WINDOW), np.empty(0, np.int64))]
         row, at = located(text, info)
         rollers, base = _rollers(2), 0
@@ -167,7 +168,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
             base += part.num_rows
         return pa.Table.from_batches(out)
 
-    def kept(key, text: pa.Table, info: pa.Table) -> pa.Table:
+    def kept(key: tuple[pa.Scalar, ...], text: pa.Table, info: pa.Table) -> pa.Table:
+        text = text_of(text)
         words, removed, texts = [], [], []
         row, at = located(text, info)
         cut = np.searchsorted(row, np.arange(text.num_rows + 1))
@@ -189,8 +191,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
         return records.groupBy("b").applyInArrow(repeated(dtype, keys), BLOB_SCHEMA).select("to", "blob").groupBy("to")
 
     found = docs.select("k", "text").mapInArrow(anchors, BLOB_SCHEMA)
-    found = docs.select("to", "k", "text").groupBy("to").cogroup(back(found, ANCHOR, ["h"])).applyInArrow(windows, BLOB_SCHEMA)
-    return docs.groupBy("to").cogroup(back(found, WINDOW, ["h", "g"])).applyInArrow(kept, RESULT)
+    texts = dealt_text(docs).groupBy("to")
+    found = texts.cogroup(back(found, ANCHOR, ["h"])).applyInArrow(windows, BLOB_SCHEMA)
+    return texts.cogroup(back(found, WINDOW, ["h", "g"])).applyInArrow(kept, RESULT)
 
 
 def digests(result: DataFrame) -> DataFrame:
