@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables."""
+
+from . import collocation, columnwise, statistics
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "collocation", "columnwise", "statistics"]
