@@ -168,6 +168,16 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def split_by_repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values that occur more than once, and of the others."""
+    order = np.argsort(h)
+    s = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    again = same[1:] | same[:-1]
+    return order[again], order[~again]
+
+
 def arrow_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and where each value begins (one more at the end)."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -11,6 +11,9 @@ removed; matches never cross documents.
    the samples at run ends, and streams matching statistics (as far as the window is long): the sample at a run's
    start has the smallest document of the run, and a suffix matches an earlier document if that of another run, or
    place, of the same context is smaller than its own.
+   An anchor with very many differing segments (a phrase in a large share of all documents) would make one shard grow
+   with the corpus. Its windows are hashed one by one instead (128 bits) and dealt by that hash, the smallest document of a
+   group of texts standing for the others of the group.
 4. Marks go back to the documents, and the bytes that are left are put together.
 
 A slice of text sends one record for each of its distinct segments, so that a passage of a third of all documents
@@ -27,16 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: Bytes of text that are hashed at once.
-SLICE = 6 << 20
+SLICE = 2 << 20
 #: A longer text is worked on in parts that overlap.
 LONGEST = 64 << 20
 #: Bits of a position in the packed (hash, position) keys of the sliding minimum.
 PLACE_BITS = np.uint64(28)
 SEGMENT = np.dtype([("h", "<u8"), ("g", "<u8"), ("k", "<i8"), ("s", "<u4"), ("l", "<u2")])
-MARK = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("open", "u1"), ("b", "<u4")])
+#: open: 0 a settled mark, 1 a segment for the index, 2 one of an anchor with very many segments. h tells anchors of a bucket apart.
+MARK = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("open", "u1"), ("b", "<u4"), ("h", "<u4")])
+WINDOW = np.dtype([("h", "<u8"), ("g", "<u8"), ("k", "<i8"), ("s", "<u4")])
+#: An anchor with more differing segments than this goes to the window hashes; bytes that one index holds, unless an anchor has more.
+MANY_SEGMENTS, INDEX_BYTES = 4096, 1 << 20
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -77,12 +84,22 @@ def mixed(sums: np.ndarray, k: int, roller: Rolling) -> np.ndarray:
     return roller.slices(sums, at, at + k)
 
 
-def _marks(k, s, l, is_open=0, bucket=0) -> np.ndarray:
+def _marks(k, s, l, is_open=0, bucket=0, h=0) -> np.ndarray:
     out = np.empty(len(k), MARK)
-    out["k"], out["s"], out["l"], out["open"], out["b"] = k, s, l, is_open, bucket
+    out["k"], out["s"], out["l"], out["open"], out["b"], out["h"] = k, s, l, is_open, bucket, h
     return out
 
 
+def _smallest_of_equal(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window records of the smallest document of each (h, g), and the others."""
+    again, once = split_by_repeats(rec["h"])
+    several = rec[again]
+    several = several[np.lexsort((several["k"], several["g"], several["h"]))]
+    at = runs(several["h"], several["g"])
+    least = np.repeat(several["k"][at], np.diff(np.r_[at, len(several)]))
+    return np.concatenate([rec[once], several[several["k"] == least]]), several[several["k"] > least]
+
+
 class RunLengthIndex:
     """Suffix array to a depth, run-length transform and run-end samples of texts laid end to end.
 
@@ -102,8 +119,8 @@ class RunLengthIndex:
             ahead = np.concatenate([rank[step:], np.zeros(step, np.uint64)])
             rank, reach = self._dense((rank << np.uint64(32)) | ahead), reach + step
         rank = rank[:n]
-        self.order = np.argsort(rank, kind="stable")
-        self.order = self.order[whole[self.order]]
+        places = np.flatnonzero(whole)
+        self.order = places[np.argsort(rank[places] << np.uint64(32) | places.astype(np.uint64))]
         context = rank[self.order]
         before = padded[self.order - 1]
         self.starts = runs(context, before)  # a run ends with its context too
@@ -114,7 +131,7 @@ class RunLengthIndex:
 
     @staticmethod
     def _dense(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         out = np.empty(len(keys), np.uint64)
         s = keys[order]
         out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]).astype(np.uint64)
@@ -135,7 +152,7 @@ class RunLengthIndex:
 def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that are left), a row per input row."""
     longest = 2 * window - anchor_length(window)
-    piece = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("text", "u1", (longest,))])
+    piece = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("h", "<u4"), ("text", "u1", (longest,))])
     docs = keyed(docs, id_col, text_col)
     buckets, groups = group_counts(text_bytes(docs))
     docs = docs.withColumn("to", bucket_column(F.col("k"), groups))
@@ -159,12 +176,13 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
                 doc, start, length, h, g = segments(buf, off, window, roller)
                 rec = np.empty(len(doc), SEGMENT)
                 rec["h"], rec["g"], rec["k"], rec["s"], rec["l"] = h, g, k[doc], start - off[doc] + base, length
-                order = np.lexsort((rec["k"], rec["g"], rec["h"]))
-                rec = rec[order]
-                at = runs(rec["h"], rec["g"])
-                least = np.repeat(rec["k"][at], np.diff(np.r_[at, len(rec)]))
-                later = rec[rec["k"] > least]
-                rec = rec[rec["k"] == least]
+                again, once = split_by_repeats(rec["h"])
+                several = rec[again]
+                several = several[np.lexsort((several["k"], several["g"], several["h"]))]
+                at = runs(several["h"], several["g"])
+                least = np.repeat(several["k"][at], np.diff(np.r_[at, len(several)]))
+                later = several[several["k"] > least]
+                rec = np.concatenate([rec[once], several[several["k"] == least]])
                 to = ((rec["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 rec["h"] &= np.uint64(0xFFFFFFFF)  # the bucket stands for the rest
                 yield blob_batch(0, rec, to)
@@ -173,6 +191,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
     def decided(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         """Marks of later copies of equal segments; `open` marks of segments whose anchor has others too."""
         rec = unpack(kind_of(group, 0)["blob"].to_pylist(), SEGMENT)
+        rec = rec[split_by_repeats(rec["h"])[0]]
         rec = rec[np.lexsort((rec["k"], rec["g"], rec["h"]))]
         at, of_h = runs(rec["h"], rec["g"]), runs(rec["h"])
         least = np.repeat(rec["k"][at], np.diff(np.r_[at, len(rec)]))
@@ -182,7 +201,10 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
             several &= np.repeat(np.minimum.reduceat(rec["k"], of_h) < np.maximum.reduceat(rec["k"], of_h), spread)
         later = rec[rec["k"] > least]
         first = rec[several & (rec["k"] == least)]
-        out = np.concatenate([_marks(later["k"], later["s"], later["l"]), _marks(first["k"], first["s"], first["l"], 1, key[0].as_py())])
+        of = runs(first["h"])
+        size = np.diff(np.r_[of, len(first)])
+        kind = np.repeat(np.where(size > MANY_SEGMENTS, 2, 1), size)
+        out = np.concatenate([_marks(later["k"], later["s"], later["l"]), _marks(first["k"], first["s"], first["l"], kind, key[0].as_py(), first["h"])])
         return pa.Table.from_batches([blob_batch(1, out, bucket_of(out["k"], groups)), *kind_of(group, 1).to_batches()])
 
     def located(text: pa.Table, blobs: list):
@@ -197,21 +219,39 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
         """The bytes of open segments go to their shards; settled marks go on."""
         text = text_of(text)
         row, marks = located(text, info["blob"].to_pylist())
-        is_open = marks["open"] == 1
-        settled = marks[~is_open]
-        row, marks = row[is_open], marks[is_open]
+        settled = marks[marks["open"] == 0]
         buf, off = arrow_text(text["text"])
-        rec = np.zeros(len(marks), piece)
-        rec["k"], rec["s"], rec["l"] = marks["k"], marks["s"], marks["l"]
-        if len(marks):
-            at = off[row] + marks["s"]
-            inside = np.arange(longest) < marks["l"][:, None]
-            where = np.minimum(at[:, None] + np.arange(longest), len(buf) - 1)
-            rec["text"] = np.where(inside, buf[where], 0)
-        return pa.Table.from_batches([blob_batch(0, rec, marks["b"].astype(np.int64)), blob_batch(1, settled, bucket_of(settled["k"], groups), buckets)])
-
-    def indexed(group: pa.Table) -> pa.Table:
-        rec = unpack(kind_of(group, 0)["blob"].to_pylist(), piece)
+        own, m = row[marks["open"] == 1], marks[marks["open"] == 1]
+        rec = np.zeros(len(m), piece)
+        for c in ("k", "s", "l", "h"):
+            rec[c] = m[c]
+        for i in range(0, len(m), 1 << 14):
+            at = (off[own[i : i + (1 << 14)]] + m["s"][i : i + (1 << 14)])[:, None] + np.arange(longest)
+            rec["text"][i : i + (1 << 14)] = np.where(np.arange(longest) < m["l"][i : i + (1 << 14)][:, None], buf[np.minimum(at, len(buf) - 1)], 0)
+        out = [blob_batch(0, rec, m["b"].astype(np.int64)), blob_batch(1, settled, bucket_of(settled["k"], groups), buckets)]
+        own, m = row[marks["open"] == 2], marks[marks["open"] == 2]
+        if len(m):
+            rollers = [Rolling(31), Rolling(32)]
+            each = m["l"].astype(np.int64) - window + 1
+            of = np.repeat(np.arange(len(m)), each)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+            rec = np.empty(len(of), WINDOW)
+            rec["k"], rec["s"] = m["k"][of], m["s"][of] + step
+            doc = own[of]
+            for r in np.unique(doc):
+                mine = doc == r
+                start = rec["s"][mine].astype(np.int64)
+                for name, roller in zip(("h", "g"), rollers, strict=True):
+                    rec[name][mine] = roller.slices(roller.sums(roller.table[buf[off[r] : off[r + 1]]]), start, start + window)
+            rec, later = _smallest_of_equal(rec)
+            to = ((rec["h"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            out.append(blob_batch(2, rec, to))
+            later = _marks(later["k"], later["s"], window)
+            out.append(blob_batch(1, later, bucket_of(later["k"], groups), buckets))
+        return pa.Table.from_batches(out)
+
+    def matched(rec: np.ndarray) -> np.ndarray:
+        """Marks of what an index of these segments finds."""
         rec = rec[np.lexsort((rec["s"], rec["k"]))]
         size = rec["l"].astype(np.int64)
         text = rec["text"][np.arange(longest) < size[:, None]]
@@ -223,8 +263,25 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
         first = runs(of[hit], hit - np.arange(len(hit)))
         last = hit[np.r_[first[1:] - 1, len(hit) - 1]] if len(hit) else hit
         first = hit[first]
-        out = _marks(rec["k"][of[first]], rec["s"][of[first]] + at[first], last - first + window)
-        return pa.Table.from_batches([blob_batch(1, out, bucket_of(out["k"], groups)), *kind_of(group, 1).to_batches()])
+        return _marks(rec["k"][of[first]], rec["s"][of[first]] + at[first], last - first + window)
+
+    def indexed(group: pa.Table) -> pa.Table:
+        out = [_marks(*np.empty((3, 0), np.int64))]
+        rec = unpack(kind_of(group, 0)["blob"].to_pylist(), piece)
+        rec = rec[np.argsort(rec["h"], kind="stable")]
+        size = np.cumsum(rec["l"], dtype=np.int64)
+        anchors_at = np.r_[runs(rec["h"]), len(rec)]
+        i = 0
+        while i < len(anchors_at) - 1:  # whole anchors, as many as one index should hold
+            a = anchors_at[i]
+            done = size[a - 1] if a else 0
+            j = max(i + 1, int(np.searchsorted(size[anchors_at[1:] - 1], done + INDEX_BYTES, "right")))
+            out.append(matched(rec[a : anchors_at[j]]))
+            i = j
+        _, later = _smallest_of_equal(unpack(kind_of(group, 2)["blob"].to_pylist(), WINDOW))
+        out.append(_marks(later["k"], later["s"], window))
+        marks = np.concatenate(out)
+        return pa.Table.from_batches([blob_batch(1, marks, bucket_of(marks["k"], groups)), *kind_of(group, 1).to_batches()])
 
     def kept(key: tuple[pa.Scalar, ...], text: pa.Table, info: pa.Table) -> pa.Table:
         text = text_of(text)
