@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -70,13 +70,14 @@ def _rollers(n: int) -> list[Rolling]:
 
 def _split(rec: np.ndarray, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Records to exchange (one for each key, flagged where it occurs twice), and those known to repeat here."""
-    order = np.lexsort([rec[k] for k in reversed(keys)])
-    rec = rec[order]
-    at = runs(*(rec[k] for k in keys))
-    size = np.diff(np.r_[at, len(rec)])
-    out = rec[at]
+    again, once = split_by_repeats(rec["h"])
+    several = rec[again]
+    several = several[np.lexsort([several[k] for k in reversed(keys)])]
+    at = runs(*(several[k] for k in keys))
+    size = np.diff(np.r_[at, len(several)])
+    out = several[at]
     out["many"] = size > 1
-    return out, rec[np.repeat(size > 1, size)]
+    return np.concatenate([rec[once], out]), several[np.repeat(size > 1, size)]
 
 
 def _places(rec: np.ndarray) -> np.ndarray:
@@ -87,8 +88,9 @@ def _places(rec: np.ndarray) -> np.ndarray:
 
 def _repeats(rec: np.ndarray, keys: list[str]) -> np.ndarray:
     """Of exchanged records, those of keys that occur twice and were not known to."""
-    order = np.lexsort([rec[k] for k in reversed(keys)])
-    rec = rec[order]
+    again, once = split_by_repeats(rec["h"])
+    rec = rec[np.concatenate([again, once[rec["many"][once] > 0]])]
+    rec = rec[np.lexsort([rec[k] for k in reversed(keys)])]
     at = runs(*(rec[k] for k in keys))
     size = np.diff(np.r_[at, len(rec)])
     twice = (size > 1) | (np.maximum.reduceat(rec["many"], at) > 0) if len(at) else np.empty(0, bool)
