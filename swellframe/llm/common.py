@@ -37,18 +37,20 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k, text) with k a unique bigint in the order of doc_id.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, k, text) with k a unique bigint in the order of doc_id; carried columns follow as x0, x1, ...
 
     Where doc_ids are unique and not null, k is the doc_id. Otherwise the rows are ordered by doc_id (nulls
     last), then by a hash of the text, numbered, and written once, so that each row is a document of its own.
     """
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.col(c).alias(f"x{i}") for i, c in enumerate(carried)]
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
+    names = ["doc_id", "k", "text", *(f"x{i}" for i in range(len(carried)))]
     odd = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
     if odd.isEmpty():
-        return d.select("doc_id", F.col("doc_id").alias("k"), "text")
+        return d.withColumn("k", F.col("doc_id")).select(*names)
     d = d.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("k", F.monotonically_increasing_id())
-    return stored(d.select("doc_id", "k", "text"), "keyed")
+    return stored(d.select(*names), "keyed")
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -235,17 +237,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # --- texts dealt to groups -------------------------------------------------------------------------------------
 
 def dealt_text(docs: DataFrame) -> DataFrame:
-    """(to, blob): the rows of docs (doc_id, k, text, to), compressed together for each group and Arrow batch.
+    """(to, blob): the rows of docs (doc_id, k, text, to and more), compressed together for each group and Arrow batch.
 
     Fewer and smaller shuffle records than a row per document; `text_of` gives the rows of a group.
     """
+    names = [c for c in docs.columns if c != "to"]
 
     def packed(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             to = batch.column("to").to_numpy()
             order = np.argsort(to, kind="stable")
-            rows = pa.Table.from_batches([batch.select(["doc_id", "k", "text"])]).take(pa.array(order))
+            rows = pa.Table.from_batches([batch.select(names)]).take(pa.array(order))
             to = to[order]
             cut = runs(to)
             blobs = []
@@ -256,11 +259,11 @@ def dealt_text(docs: DataFrame) -> DataFrame:
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
 
-    return docs.select("to", "doc_id", "k", "text").mapInArrow(packed, "to int, blob binary")
+    return docs.select("to", *names).mapInArrow(packed, "to int, blob binary")
 
 
 def text_of(group: pa.Table) -> pa.Table:
-    """(doc_id, k, text) of a group of `dealt_text`."""
+    """The rows of a group of `dealt_text`: doc_id, k, text and what came with them."""
     tables = [pa.ipc.open_stream(b).read_all() for b in group["blob"].to_pylist()]
     if not tables:
         return pa.table({"doc_id": pa.array([], pa.int64()), "k": pa.array([], pa.int64()), "text": pa.array([], pa.string())})

@@ -219,9 +219,9 @@ def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col:
 
 
 def first_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents that are their class's smallest doc_id, with the columns they came with."""
-    c = classes(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(c, "doc_id", "left_semi")
+    """Of each class the document with the smallest doc_id, with the columns it came with; rows without a doc_id stay."""
+    others = stored(classes(docs, radius).where("doc_id > component_id").select("doc_id").distinct(), "others")
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def hexed(result: DataFrame) -> DataFrame:

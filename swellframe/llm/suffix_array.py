@@ -149,11 +149,14 @@ class RunLengthIndex:
         return out
 
 
-def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that are left), a row per input row."""
+def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that are left), a row per input row; then the carried columns."""
     longest = 2 * window - anchor_length(window)
     piece = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("h", "<u4"), ("text", "u1", (longest,))])
-    docs = keyed(docs, id_col, text_col)
+    types = dict(docs.dtypes)
+    more = [f"x{i}" for i in range(len(carried))]
+    schema = RESULT + "".join(f", {x} {types[c]}" for x, c in zip(more, carried, strict=True))
+    docs = keyed(docs, id_col, text_col, carried)
     buckets, groups = group_counts(text_bytes(docs))
     docs = docs.withColumn("to", bucket_column(F.col("k"), groups))
 
@@ -305,7 +308,8 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
                 spans.append(0)
                 left.append(own.tobytes())
         columns = [text["doc_id"].combine_chunks(), pa.array(np.diff(off), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())]
-        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        columns += [text[x].combine_chunks() if text.num_rows else pa.array([], pa.null()) for x in more]
+        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
 
     def back(df: DataFrame, f) -> DataFrame:
         return df.groupBy("b").applyInArrow(f, BLOB_SCHEMA).select("to", "blob").groupBy("to")
@@ -313,7 +317,30 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
     texts = dealt_text(docs).groupBy("to")
     found = docs.select("k", "text").mapInArrow(anchors, BLOB_SCHEMA)
     found = texts.cogroup(back(found, decided)).applyInArrow(fetched, BLOB_SCHEMA)
-    return texts.cogroup(back(found, indexed)).applyInArrow(kept, RESULT)
+    out = texts.cogroup(back(found, indexed)).applyInArrow(kept, schema)
+    return out.withColumnsRenamed(dict(zip(more, carried, strict=True)))
+
+
+def without_repeated_strings(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The documents with what is left of their texts, and the columns they came with; n_chars, if there, counts anew.
+
+    A character of which only some bytes were removed goes wholly.
+    """
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    names = {c: f"carried {i}" for i, c in enumerate(carried)}
+    out = remove_repeated_strings(docs.withColumnsRenamed(names), window, carried=tuple(names.values()))
+
+    def decoded(batches):
+        for batch in batches:
+            text = [b.decode(errors="ignore") for b in batch.column("kept").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("kept"), "kept", pa.array(text, pa.string()))
+
+    types = dict(out.dtypes)
+    out = out.mapInArrow(decoded, ", ".join(f"`{c}` {'string' if c == 'kept' else types[c]}" for c in out.columns))
+    out = out.select("doc_id", F.col("kept").alias("text"), *[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def digests(result: DataFrame) -> DataFrame:
