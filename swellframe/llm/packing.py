@@ -7,8 +7,8 @@ a wider choice, and so on to one partition that sees only what is still underful
 its contents together, so a round moves a row per bin, and pieces find their place by following at most
 log(partitions) levels of (bin -> bin, offset).
 
-Tokens come from a public tokenizer file whose path is a parameter. Ids of white-space-delimited chunks are cached in each worker: the
-tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in turn. A text with a character
+Tokens come from a public tokenizer file whose path is a parameter. The tokenizer drops white space and never merges across it, so a text's
+ids are those of its white-space-delimited chunks, and a chunk's those of its words, in turn; both are cached in each worker. A text with a character
 for which that, or lower-casing in Python, could differ goes to the tokenizer whole.
 
 Defined results: null text is empty (its end token is one piece); rows that repeat a doc_id, or have none, are packed as documents
@@ -23,17 +23,22 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 #: Chunks whose ids a worker keeps.
-CACHE = 200_000
+CACHE = 300_000
 #: Items that one partition packs in the first round, as a target, and partitions that meet in a round.
 ITEMS, FAN_IN = 20_000, 8
 #: A bin is emitted before the last round if it lacks at most this share of a sequence.
 NEARLY_FULL = 0.004
+#: Fixed value: how the tokenizer cuts text into words.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Single characters that are words of their own after letters.
+MARKS = frozenset(".,;:!?")
 #: Where Python's white space or lower case may differ from the tokenizer's, or a special token may stand.
 ODD = "\x1c\x1d\x1e\x1fΣİ"
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -43,34 +48,58 @@ class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for words that are normalised and cut already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """ids of words that the tokenizer takes whole: many in one text, cut after each token that ends a word."""
+        for i in range(0, len(words), 500):
+            part = words[i : i + 500]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.words.update((w, data[a:b]) for w, a, b in zip(part, at, at[1:], strict=False))
+            else:
+                self.words.update((w, self.whole(w)) for w in part)
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        cache, chunks, missing = self.cache, [], {}
+        cut: list[list[str] | None] = []
+        need: set[str] = set()
         for t in texts:
             if any(c in t for c in ODD) or ("<|" in t and any(s in t for s in self.specials)):
-                chunks.append(None)
+                cut.append(None)
                 continue
             own = (t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower().split()
-            chunks.append(own)
-            missing.update((c, None) for c in own if c not in cache)
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-            missing = dict.fromkeys(c for own in chunks if own for c in own)
-        new = list(missing)
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [self.whole(t) if own is None else b"".join(map(get, own)) for t, own in zip(texts, chunks, strict=True)]
+            cut.append(own)
+            need.update(own)
+        new = need.difference(self.chunks)
+        if len(self.chunks) + len(new) > CACHE:  # what this batch uses stays
+            self.chunks = {c: self.chunks[c] for c in need if c in self.chunks}
+        made = {c: [c] if c.isalpha() else [c[:-1], c[-1]] if c[-1] in MARKS and c[:-1].isalpha() else WORDS.findall(c) for c in new}
+        need_words = {w for own in made.values() for w in own}
+        new_words = need_words.difference(self.words)
+        if len(self.words) + len(new_words) > CACHE:
+            self.words = {w: self.words[w] for w in need_words if w in self.words}
+        self.learn(list(new_words))
+        get = self.words.__getitem__
+        self.chunks.update((c, b"".join(map(get, own))) for c, own in made.items())
+        get = self.chunks.__getitem__
+        return [self.whole(t) if own is None else b"".join(map(get, own)) for t, own in zip(texts, cut, strict=True)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
