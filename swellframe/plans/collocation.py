@@ -66,19 +66,19 @@ def _extraction(values: str) -> str:
     )
 
 
-@query(_extraction("hs, wnd") + "select p.point_id, n, round(hs, 6) hs, round(wnd, 6) wnd from targets p left join n using (point_id)")
+@query(_extraction("hs, wnd") + "select p.point_id, n, round(hs, 8) hs, round(wnd, 8) wnd from targets p left join n using (point_id)")
 def J5_radius_extraction(spark, sf_dir):
     out = geo.radius_extraction(_targets(spark, sf_dir), v.track(spark, sf_dir), ["hs", "wnd"], "point_id")
-    return rounded(out.select("point_id", "n", "hs", "wnd"))
+    return rounded(out.select("point_id", "n", "hs", "wnd"), 8)
 
 
 _DIRS = "(select * exclude (user_id), user_id * 7.0::double % 360 wdir from track)"
 
 
-@query((_extraction("wnd, wdir").replace("join track t", f"join {_DIRS} t")) + "select p.point_id, n, round(wnd, 6) wnd, round(wdir, 6) wdir from targets p left join n using (point_id)")
+@query((_extraction("wnd, wdir").replace("join track t", f"join {_DIRS} t")) + "select p.point_id, n, round(wnd, 8) wnd, round(wdir, 8) wdir from targets p left join n using (point_id)")
 def J6_wind_extraction(spark, sf_dir):
     t = v.track(spark, sf_dir).withColumn("wdir", F.col("user_id") * 7.0 % 360)
-    return rounded(geo.radius_extraction(_targets(spark, sf_dir), t, ["wnd", "wdir"], "point_id").select("point_id", "n", "wnd", "wdir"))
+    return rounded(geo.radius_extraction(_targets(spark, sf_dir), t, ["wnd", "wdir"], "point_id").select("point_id", "n", "wnd", "wdir"), 8)
 
 
 @query(
@@ -190,11 +190,11 @@ def J13_grid_mask(spark, sf_dir):
 
 
 @query(
-    v.with_views("track") + """, x as (select nation_id z, ox, oy from (select n_nationkey nation_id, (n_nationkey * 14 % 340)::double ox, (n_nationkey * 4 - 55)::double oy from nation))
+    v.with_views("track") + """, x as (select nation_id z, ox, oy from (select n_nationkey nation_id, (n_nationkey * 14 % 340)::double + 0.013::double ox, (n_nationkey * 4 - 55)::double + 0.03::double oy from nation))
 select src_id, coalesce(max(z), 0)::int zone_id from track left join x on lon > ox and lon < ox + 20 and lat > oy and lat < oy + 12 and (lat - oy) < (12.0::double - (lon - ox) * 0.6::double) group by src_id"""
 )
 def J14_zones(spark, sf_dir):
-    n = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), (F.col("n_nationkey") * 14 % 340).cast("double").alias("x"), (F.col("n_nationkey") * 4 - 55).cast("double").alias("y"))
+    n = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), ((F.col("n_nationkey") * 14 % 340).cast("double") + 0.013).alias("x"), ((F.col("n_nationkey") * 4 - 55).cast("double") + 0.03).alias("y"))
     at = lambda dx, dy: F.struct((F.col("x") + dx).alias("lon"), (F.col("y") + dy).alias("lat"))
     polygons = n.select("zone_id", F.col("zone_id").alias("zone_order"), F.array(at(0, 0), at(20, 0), at(0, 12)).alias("ring"))
     return zones.tagged(v.track(spark, sf_dir).select("src_id", "lat", "lon"), polygons, "src_id").select("src_id", "zone_id")
@@ -267,7 +267,7 @@ def W1_filled_gaps(spark, sf_dir):
     return rounded(windows.filled(_gappy(spark, sf_dir), ["station"], "event_id", "hs", 3))
 
 
-@query(v.with_views("ev") + ", d as (select event_id, user_id % 10 station, (event_id // 40 % 28 + 1)::int as day from ev), l as (select *, case when day < lag(day) over (partition by station order by event_id) then 1 else 0 end f from d) select event_id, sum(f) over (partition by station order by event_id rows unbounded preceding)::bigint months from l")
+@query(v.with_views("ev") + ", d as (select event_id, user_id % 10 station, (event_id // 40 % 28 + 1)::int as day from ev), l as (select *, case when day < lag(day) over (partition by station order by event_id) then 1 else 0 end f from d) select event_id, sum(f) over (partition by station order by event_id rows unbounded preceding)::bigint as months from l")
 def W2_rolled_months(spark, sf_dir):
     d = v.buoy(spark, sf_dir).select("station", "event_id", (F.floor(F.col("event_id") / 40) % 28 + 1).cast("int").alias("day"))
     return windows.rolled_months(d, ["station"], "event_id", "day").select("event_id", "months")
