@@ -12,6 +12,11 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def band_widths_47() -> Column:
     """X2. Widths of the 47 bands of a moored buoy."""
     parts = ((0.010, 1), (0.005, 13), (0.010, 26), (0.020, 7))
@@ -55,16 +60,20 @@ def height(p: Column) -> Column:
 
 
 def trapezoid(x: Column, y: Column) -> Column:
-    n = F.size(x)
-    at = F.sequence(F.lit(1), n - 1)
-    return F.when(n > 1, total(F.transform(at, lambda i: (F.element_at(x, i + 1) - F.element_at(x, i)) * (F.element_at(y, i + 1) + F.element_at(y, i)) / 2))).otherwise(0.0)
+    def area(z: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(z.x) - 1)
+        terms = F.transform(at, lambda i: (F.element_at(z.x, i + 1) - F.element_at(z.x, i)) * (F.element_at(z.y, i + 1) + F.element_at(z.y, i)) / 2)
+        return F.when(F.size(z.x) > 1, total(terms)).otherwise(0.0)
+
+    return bound(F.struct(x.alias("x"), y.alias("y")), area)
 
 
 def _closed(dirs: Column, efth: Column, weight) -> Column:
     """By frequency, the trapezoid over directions (radians) of weight(direction) * E, the first direction repeated at its end."""
     th = F.transform(dirs, lambda d: F.radians(d))
     ring = F.concat(th, F.array(F.element_at(th, 1) + 2 * math.pi))
-    return F.transform(efth, lambda row: trapezoid(ring, F.zip_with(F.concat(row, F.array(F.element_at(row, 1))), ring, lambda e, t: e * weight(t))))
+    closed = lambda r: F.transform(efth, lambda row: trapezoid(r, F.zip_with(F.concat(row, F.array(F.element_at(row, 1))), r, lambda e, t: e * weight(t))))
+    return bound(ring, closed)
 
 
 def bulk_height(freq: Column, dirs: Column, efth: Column) -> Column:
@@ -91,15 +100,13 @@ def peak_frequency(freq: Column, p: Column, ties: str = "first") -> Column:
 
 def interpolated(freq: Column, values: Column, to: Column) -> Column:
     """X10. Values interpolated linearly to other frequencies; 0 outside."""
-    pts = F.arrays_zip(freq.alias("f"), values.alias("v"))
-
-    def at(g: Column) -> Column:
-        a = F.element_at(F.filter(pts, lambda x: x.f <= g), -1)
-        b = F.element_at(F.filter(pts, lambda x: x.f >= g), 1)
-        inside = (g >= F.array_min(freq)) & (g <= F.array_max(freq))
+    def at(g: Column, pts: Column) -> Column:
+        a = F.try_element_at(F.filter(pts, lambda x: x.f <= g), F.lit(-1))
+        b = F.try_element_at(F.filter(pts, lambda x: x.f >= g), F.lit(1))
+        inside = a.isNotNull() & b.isNotNull()
         return F.when(inside, F.when(a.f == b.f, a.v).otherwise(a.v + (b.v - a.v) * F.try_divide(g - a.f, b.f - a.f))).otherwise(0.0)
 
-    return F.transform(to, at)
+    return bound(F.arrays_zip(freq.alias("f"), values.alias("v")), lambda pts: F.transform(to, lambda g: at(g, pts)))
 
 
 def jonswap(hs: Column, tp: Column, direction: Column, freq: Column, dirs: Column, gamma: float = 3.3, spread: float = 30.0) -> Column:
@@ -115,5 +122,9 @@ def jonswap(hs: Column, tp: Column, direction: Column, freq: Column, dirs: Colum
     by_dir = F.transform(dirs, lambda d: F.exp(-F.pow(gap(d) / spread, 2) / 2))
     by_freq = F.transform(freq, shape)
     step = 2 * math.pi / F.size(dirs)
-    scale = hs * hs / 16 / (trapezoid(freq, by_freq) * total(by_dir) * step)
-    return F.transform(by_freq, lambda s: F.transform(by_dir, lambda d: s * d * scale))
+
+    def scaled(z: Column) -> Column:
+        scale = hs * hs / 16 / (trapezoid(freq, z.f) * total(z.d) * step)
+        return bound(F.struct(z.f.alias("f"), z.d.alias("d"), scale.alias("k")), lambda y: F.transform(y.f, lambda s: F.transform(y.d, lambda d: s * d * y.k)))
+
+    return bound(F.struct(by_freq.alias("f"), by_dir.alias("d")), scaled)
