@@ -15,6 +15,13 @@ def _root(x: Column) -> Column:
     return F.when(x >= 0, F.sqrt(x))
 
 
+def correlation(m: Column, o: Column) -> Column:
+    """Pearson correlation of complete pairs; null where either is constant (the built-in one fails there)."""
+    both = m.isNotNull() & o.isNotNull()
+    a, b = F.when(both, m), F.when(both, o)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def metric_columns(m: Column, o: Column) -> list[Column]:
     """A3. Aggregates of (model, observation) pairs: count, bias, RMSE and its relatives; null where undefined."""
     d = m - o
@@ -29,7 +36,7 @@ def metric_columns(m: Column, o: Column) -> list[Column]:
         "scrmse": _root(square - bias * bias),
         "si": _root(F.try_divide(F.count(d) * F.var_pop(d), F.sum(o * o))),
         "hh": _root(F.try_divide(F.sum(d * d), F.sum(m * o))),
-        "cc": F.corr(m, o),
+        "cc": correlation(m, o),
     }
     return [c.alias(k) if k == "n" else F.when(enough, c).alias(k) for k, c in out.items()]
 
@@ -86,7 +93,7 @@ def l_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def taylor(pairs: DataFrame, keys: list[str], model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
     """A9. Standard deviations, centred RMS difference and correlation."""
     m, o = F.col(model), F.col(obs)
-    return pairs.groupBy(*keys).agg(F.stddev_pop(o).alias("sd_obs"), F.stddev_pop(m).alias("sd_model"), F.stddev_pop(m - o).alias("crmsd"), F.corr(m, o).alias("cc"))
+    return pairs.groupBy(*keys).agg(F.stddev_pop(o).alias("sd_obs"), F.stddev_pop(m).alias("sd_model"), F.stddev_pop(m - o).alias("crmsd"), correlation(m, o).alias("cc"))
 
 
 def quantiles(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = QQ_P, accuracy: int | None = None) -> DataFrame:
@@ -99,9 +106,10 @@ def quantiles(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...
 
 
 def regression(pairs: DataFrame, keys: list[str], model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
-    """A12. Slope and intercept of the model on the observation."""
+    """A12. Slope and intercept of the model on the observation; null where the observation is constant."""
     m, o = F.col(model), F.col(obs)
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(m, o).alias("slope"), F.regr_intercept(m, o).alias("intercept"))
+    slope = F.try_divide(F.covar_pop(m, o), F.var_pop(o))
+    return pairs.where(m.isNotNull() & o.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg(m) - slope * F.avg(o)).alias("intercept"))
 
 
 def density(df: DataFrame, keys: list[str], value: str, points: int = 100) -> DataFrame:

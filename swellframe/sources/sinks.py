@@ -36,7 +36,7 @@ def write_altimeter_csv(df: DataFrame, path: str, exact: tuple[str, ...] = ("tim
 
 def write_extraction(df: DataFrame, path: str, values: tuple[str, ...]) -> None:
     """K3. Tab-separated, values with three decimals, NaN where missing."""
-    shown = [F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("NaN")).alias(c) for c in values]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))).otherwise("NaN").alias(c) for c in values]
     rest = [F.col(c).cast("string").alias(c) for c in df.columns if c not in values]
     df.select(*rest, *shown).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 

@@ -159,14 +159,15 @@ def spectra_text(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace("value", r"^'[^']*'\s+\d+\s+\d+\s+\d+\s*('[^']*')?", "")
     t = t.select("file", nf.alias("nf"), nd.alias("nd"), body.alias("body"))
     axes = F.split(F.trim(F.regexp_extract("body", r"(?s)^(.*?)\d{8}\s+\d{6}", 1)), r"\s+")
-    axes = F.transform(axes, lambda x: x.cast("double"))
+    axes = F.filter(F.transform(axes, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
     steps = F.regexp_extract_all("body", F.lit(r"(?s)(\d{8}\s+\d{6}.*?)(?=\d{8}\s+\d{6}|$)"), F.lit(1))
     rows = t.select("file", "nf", "nd", F.slice(axes, 1, F.col("nf")).alias("freq"), F.slice(axes, F.col("nf") + 1, F.col("nd")).alias("dir"), F.explode(steps).alias("step"))
     time = F.unix_timestamp(F.to_timestamp(F.regexp_replace(F.regexp_extract("step", r"^(\d{8}\s+\d{6})", 1), r"\s+", " "), "yyyyMMdd HHmmss")).cast("double")
     name = F.trim(F.regexp_extract("step", r"'([^']*)'", 1))
-    tail = F.transform(F.split(F.trim(F.regexp_extract("step", r"(?s)'[^']*'(.*)$", 1)), r"\s+"), lambda x: x.cast("double"))
+    tail = F.split(F.regexp_extract("step", r"(?s)'[^']*'(.*)", 1), r"\s+")
+    tail = F.filter(F.transform(tail, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
     rows = rows.select("file", "nf", "nd", "freq", "dir", time.alias("time"), name.alias("station"), tail.alias("v"))
-    value = lambda i, j: F.element_at("v", 6 + j * F.col("nf") + i)  # noqa: E731  after five station numbers; frequencies run fastest
+    value = lambda i, j: F.element_at("v", F.size("v") - F.col("nf") * F.col("nd") + 1 + j * F.col("nf") + i)  # noqa: E731  after the station's numbers; frequencies run fastest
     efth = F.transform(F.sequence(F.lit(0), F.col("nf") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda j: value(i, j)))
     return rows.select("file", "time", "station", *[F.element_at("v", i + 1).alias(n) for i, n in enumerate(("lat", "lon", "depth", "wnd", "wnddir"))], "freq", "dir", efth.alias("efth"))
 

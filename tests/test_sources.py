@@ -29,7 +29,7 @@ def test_point_table_and_series(spark, tmp_path):
     p = put(tmp_path, "tab33.ww3", block.format("2020/01/01 00:00:00") + block.format("2020/01/01 03:00:00"))
     got = texts.point_table(spark, p).orderBy("time", "lon").collect()
     assert [(r["time"], r["lon"], r["tp"]) for r in got] == [(1577836800.0, -81.0, None), (1577836800.0, -80.0, 8.0), (1577847600.0, -81.0, None), (1577847600.0, -80.0, 8.0)]
-    line = " 2020010103    2.35   0.40   9.10"
+    line = " 2020010103   2.35   0.40   9.10"
     lines = spark.createDataFrame([("a", 0, "header"), ("a", 1, line)], "file string, line_no int, line string")
     r = texts.station_series(lines).first()
     assert (r["time"], r["hs"], r["spread"]) == (1577847600.0, pytest.approx(2.35), pytest.approx(0.40))
@@ -37,7 +37,7 @@ def test_point_table_and_series(spark, tmp_path):
 
 def bulletin(rows):
     head = ["Location : 41001      (34.68N  72.66W)", "Model : x", "Cycle : 20200131 12 UTC", "", "", "", ""]
-    out = [f"| {d:2d} {h:2d} | {hs:5.2f} 3   |" .ljust(24) + "".join(f"{a:6.2f}{t:4.1f} {p:3d}    " for a, t, p in parts) for d, h, hs, parts in rows]
+    out = [f"|  {d:2d} {h:2d} |{hs:5.2f} 3   |".ljust(24) + "".join(f"{a:6.2f}{t:4.1f} {p:3d}    " for a, t, p in parts) for d, h, hs, parts in rows]
     return "\n".join(head + out + ["foot"] * 8)
 
 
@@ -51,7 +51,7 @@ def test_bulletin_month_turns_and_highest_system(spark, tmp_path):
 def test_tar_members(spark, tmp_path):
     with tarfile.open(tmp_path / "x.station_tar", "w") as t:
         for name, n in (("gefs.41001.ts", 3), ("gefs.41002.ts", 2)):
-            data = "\n".join(f" 202001010{i}    2.35   0.40   9.10" for i in range(n)).encode()
+            data = "\n".join(f" 202001010{i}   2.35   0.40   9.10" for i in range(n)).encode()
             info = tarfile.TarInfo(name)
             info.size = len(data)
             t.addfile(info, io.BytesIO(data))
