@@ -16,10 +16,10 @@ def _root(x: Column) -> Column:
 
 
 def correlation(m: Column, o: Column) -> Column:
-    """Pearson correlation of complete pairs; null where either is constant (the built-in one fails there)."""
+    """Pearson correlation of complete pairs; null where either is constant to rounding (the built-in one fails there)."""
     both = m.isNotNull() & o.isNotNull()
     a, b = F.when(both, m), F.when(both, o)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when((F.var_pop(a) > 1e-12) & (F.var_pop(b) > 1e-12), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def metric_columns(m: Column, o: Column) -> list[Column]:

@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable:
 
 
 def rounded(df: DataFrame, decimals: int = 6, **own: int) -> DataFrame:
-    """Doubles rounded, so that two engines' sums agree."""
-    return df.select(*[F.round(c, own.get(c, decimals)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, and never a negative zero, so that two engines' sums agree."""
+    return df.select(*[(F.round(c, own.get(c, decimals)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

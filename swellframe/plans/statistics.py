@@ -21,9 +21,9 @@ def metric_sql(m: str = "model_hs", o: str = "obs_hs") -> str:
     d = f"({m} - {o})"
     square, bias = f"avg({d} * {d})", f"(avg({m}) - avg({o}))"
     return (
-        f"count(*) n, round({bias}, 6) bias, round(sqrt({square}), 6) rmse, round({bias} / nullif(abs(avg({o})), 0), 6) nbias, round(sqrt(sum({d} * {d}) / nullif(sum({o} * {o}), 0)), 6) nrmse, "
+        f"count(*) n, round({bias}, 6) + 0.0 bias, round(sqrt({square}), 6) rmse, round({bias} / nullif(abs(avg({o})), 0), 6) + 0.0 nbias, round(sqrt(sum({d} * {d}) / nullif(sum({o} * {o}), 0)), 6) nrmse, "
         f"round(case when {square} >= {bias} * {bias} then sqrt(greatest({square} - {bias} * {bias}, 0)) end, 6) scrmse, round(sqrt(count(*) * var_pop({d}) / nullif(sum({o} * {o}), 0)), 6) si, "
-        f"round(sqrt(sum({d} * {d}) / nullif(sum({m} * {o}), 0)), 6) hh, round(corr({m}, {o}), 6) cc"
+        f"round(sqrt(sum({d} * {d}) / nullif(sum({m} * {o}), 0)), 6) hh, case when var_pop({m}) > 1e-12 and var_pop({o}) > 1e-12 then round(corr({m}, {o}), 6) end cc"
     )
 
 
