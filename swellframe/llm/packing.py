@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Chunks whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 #: Items that one partition packs in the first round, as a target, and partitions that meet in a round.
 ITEMS, FAN_IN = 20_000, 8
 #: A bin is emitted before the last round if it lacks at most this share of a sequence.

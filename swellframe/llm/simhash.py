@@ -33,6 +33,8 @@ from .common import connected_components, dealt, stored, unpack
 SAMPLE = 1 << 15
 #: Fingerprints that a leaf should hold, and that a part of a large leaf may hold.
 LEAF, LEAF_PART = 1500, 24000
+#: Texts that are Python objects at once.
+SLICE_ROWS = 1000
 #: Vantage points tried for a node.
 TRIED = 12
 POINT = np.dtype([("x", "<u8"), ("home", "u1")])
@@ -62,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and fp, the fingerprint as a signed bigint."""
 
     def of(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fp = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
