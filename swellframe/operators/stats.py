@@ -58,7 +58,7 @@ def metrics_by_strata(pairs: DataFrame, keys: list[str], model: str = "model_hs"
 
 def tail_errors(pairs: DataFrame, keys: list[str], q: float = 0.95, model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
     """A4. Bias and RMSE where the observation exceeds its group's percentile. Values are counted before the percentile is taken."""
-    top = pairs.groupBy(*keys, obs).count().groupBy(*keys).agg(F.percentile(obs, q, "count").alias("bound"))
+    top = pairs.groupBy(*keys, obs).count().groupBy(*keys).agg(F.percentile(obs, q, F.col("count")).alias("bound"))
     d = F.col(model) - F.col(obs)
     tail = pairs.join(top, keys).where(F.col(obs) > F.col("bound"))
     return tail.groupBy(*keys, "bound").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse")).where("n >= 2")
@@ -69,7 +69,7 @@ def summary(df: DataFrame, keys: list[str], value: str, low: float, high: float)
     x = F.col(value)
     ok = df.where((x > low) & (x < high))
     stats = ok.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("least"), F.max(x).alias("most"))
-    p = ok.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(SUMMARY_P), "count").alias("p"))
+    p = ok.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(SUMMARY_P), F.col("count")).alias("p"))
     names = ["p80", "p90", "p95", "p99", "p999"]
     return stats.join(p, keys).select("*", *[F.col("p")[i].alias(n) for i, n in enumerate(names)]).drop("p")
 
@@ -101,7 +101,7 @@ def quantiles(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...
     if accuracy:
         p = long.groupBy(*keys).agg(F.percentile_approx(value, list(at), accuracy).alias("v"))
     else:
-        p = long.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(at), "count").alias("v"))
+        p = long.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(at), F.col("count")).alias("v"))
     return p.select(*keys, F.posexplode("v").alias("i", "q")).withColumn("p", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1)).select(*keys, "p", "q")
 
 
@@ -159,7 +159,7 @@ def completeness(df: DataFrame, station: str, lat: str, model: str, obs: str) ->
 
 def field_summary(field: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A22. Largest, mean and colour-level percentiles of a field by step."""
-    p = field.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, [0.99, 0.999, 0.99995], "count").alias("p"))
+    p = field.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, [0.99, 0.999, 0.99995], F.col("count")).alias("p"))
     return field.groupBy(*keys).agg(F.max(value).alias("most"), F.avg(value).alias("mean")).join(p, keys).select(*keys, "most", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p99", "p999", "p99995"))])
 
 
