@@ -40,20 +40,26 @@ TRIED = 12
 POINT = np.dtype([("x", "<u8"), ("home", "u1")])
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, A-Z lower-cased; fewer words than a shingle are one, none have none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     view = memoryview(joined)
     n = len(words) - shingle + 1
-    h = np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; 0 without words."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
     votes = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         votes += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
