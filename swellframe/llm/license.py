@@ -1,8 +1,9 @@
 """Licence scans: lines compared to licence notices by the Dice coefficient of word bigrams; DataFrame expressions only.
 
 A line is normalised (lower case, other than a-z and 0-9 to single spaces) and cut into words. Dice >= t between sets of a and b bigrams needs
-b * t / (2 - t) <= a <= b * (2 - t) / t, so each template is listed under every size that can reach t, and lines join by their size: a
-line is compared to the few templates that its size admits, and most lines to none, before any bigram of theirs is built.
+b * t / (2 - t) <= a <= b * (2 - t) / t, so each template is listed under every size that can reach t, and lines join by their number of distinct
+bigrams, however many words repeat them. A line of a distinct bigrams has more than a words and at most a + 1 distinct ones, so most lines are
+left out before any bigram of theirs is built.
 
 Defined results: null texts have no lines; lines of fewer than two words have no bigrams and match nothing; rows that
 repeat a doc_id are scanned as one document; an empty table gives an empty result; other columns are ignored.
@@ -43,14 +44,11 @@ def bigrams(w: Column) -> Column:
 
 
 def template_sizes(spark, templates: dict[str, str], least: float) -> DataFrame:
-    """licence, bigrams, words: a row for each number of words that a matching line can have.
-
-    A line of n words has up to n - 1 distinct bigrams; one with repeats has more words, up to twice as many are admitted.
-    """
+    """licence, of (its bigrams), n: a row for each number of distinct bigrams that a matching line can have."""
     t = spark.createDataFrame(sorted(templates.items()), "licence string, template string")
     t = t.withColumn("of", bigrams(F.split(normalised(F.col("template")), " "))).withColumn("b", F.size("of"))
     low, high = F.ceil(F.col("b") * least / (2 - least) - 1e-9), F.floor(F.col("b") * (2 - least) / least + 1e-9)
-    return t.select("licence", "of", F.explode(F.sequence(low.cast("int") + 1, 2 * high.cast("int") + 1)).alias("n"))
+    return t.select("licence", "of", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
 
 
 def notices(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,9 +56,11 @@ def notices(docs: DataFrame, templates: dict[str, str] | None = None, least: flo
     sizes = template_sizes(docs.sparkSession, templates or TEMPLATES, least)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = lines.select("doc_id", "row", "line", F.split(normalised(F.col("raw")), " ").alias("w")).withColumn("n", F.size("w"))
-    own = bigrams(F.col("w"))
-    found = lines.join(F.broadcast(sizes), "n").withColumn("own", own)  # the templates are constants
+    lines = lines.select("doc_id", "row", "line", F.split(normalised(F.col("raw")), " ").alias("w"))
+    least_n, most_n = sizes.agg(F.min("n"), F.max("n")).first()  # the templates are constants
+    lines = lines.where((F.size("w") > F.lit(least_n)) & (F.size(F.array_distinct("w")) <= F.lit(most_n) + 1))
+    own = lines.select("doc_id", "row", "line", F.when(F.size("w") > 1, bigrams(F.col("w"))).alias("own")).withColumn("n", F.size("own"))
+    found = own.join(F.broadcast(sizes), "n")
     found = found.withColumn("dice", F.round(2.0 * F.size(F.array_intersect("own", "of")) / (F.size("own") + F.size("of")), 6))
     found = found.where(F.col("dice") >= least)
     best = F.min(F.struct((-F.col("dice")).alias("d"), F.col("licence").alias("l")))

@@ -1,0 +1,10 @@
+"""Lines that repeat a notice have few distinct bigrams, whatever their number of words."""
+
+from swellframe.llm import license
+
+
+def test_repeated_notices(spark):
+    notice = "Released under the MIT License. "
+    rows = [(1, notice * 3), (2, notice * 40), (3, "word " * 40), (4, "one\n" + notice * 3 + "\n" + notice)]
+    got = {r["doc_id"]: (r["n_notices"], r["licence"], r["dice"]) for r in license.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (1, "MIT", 0.888889), 2: (1, "MIT", 0.888889), 3: (0, None, None), 4: (2, "MIT", 1.0)}
