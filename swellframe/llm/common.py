@@ -8,21 +8,25 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text behind one hash bucket or one group of documents: small while that gives few groups, then the larger.
 SMALL_GROUP, GROUP_BYTES, FEW_GROUPS = 2 << 20, 16 << 20, 4096
+#: Rows of ids and hashes that are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Upper bound of hash buckets; beyond it the buckets grow instead (at 100 TB: the anchors of about 400 MB of text each).
 MAX_BUCKETS = 1 << 18
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset (tests), one is set."""
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary folder is set in local mode (tests) only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get() if kept.isDefined() else None
+    if not root and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
@@ -37,20 +41,36 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, k, text) with k a unique bigint in the order of doc_id; carried columns follow as x0, x1, ...
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """(doc_id, k, first, text) with k a unique bigint in the order of doc_id, first the smallest k of the doc_id; carried columns follow as
+    x0, x1, ... Also whether rows share a doc_id or have none.
 
-    Where doc_ids are unique and not null, k is the doc_id. Otherwise the rows are ordered by doc_id (nulls
-    last), then by a hash of the text, numbered, and written once, so that each row is a document of its own.
+    Where they don't, k and first are the doc_id. Otherwise the rows are ordered by doc_id (nulls last), then by a hash of
+    the text, numbered, and written once, so that each row is a document of its own.
     """
     rest = [F.col(c).alias(f"x{i}") for i, c in enumerate(carried)]
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
-    names = ["doc_id", "k", "text", *(f"x{i}" for i in range(len(carried)))]
-    odd = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
-    if odd.isEmpty():
-        return d.withColumn("k", F.col("doc_id")).select(*names)
+    names = ["doc_id", "k", "first", "text", *(f"x{i}" for i in range(len(carried)))]
+    several = d.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("of"))
+    if several.limit(1).isEmpty():
+        return d.withColumns({"k": F.col("doc_id"), "first": F.col("doc_id")}).select(*names), False
     d = d.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("k", F.monotonically_increasing_id())
-    return stored(d.select(*names), "keyed")
+    d = stored(d, "keyed")
+    least = d.join(several, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").groupBy(F.col("doc_id").alias("of")).agg(F.min("k").alias("least"))
+    d = d.join(stored(least, "least"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    return d.withColumn("first", F.coalesce("least", "k")).select(*names), True
+
+
+def text_key() -> Column:
+    """Hash of a text; with the doc_id it tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows (doc_id, of_text; written already), with the columns they came with."""
+    gone = rows.select(F.col("doc_id").alias("gone_id"), F.col("of_text").alias("gone_text")).distinct()
+    gone = F.broadcast(gone) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_text")), "left_anti")
 
 
 def text_bytes(docs: DataFrame) -> int:

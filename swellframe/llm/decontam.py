@@ -8,7 +8,7 @@ has `share` of the item misses at most u - ceil(share * u), so it has one of the
 
 Probing: document words are exploded and joined by the first word of the sketch shingles; only where a first word
 fits is the shingle hashed. Candidates are verified by the exact sets. Sketches and candidates are broadcast only
-under a counted bound, else the same joins are shuffled (skew joins split hot words and documents).
+under a counted bound. Beyond it, hashes of shingles meet the sketches by shuffle (a few bytes for each, the texts stay; skew joins split hot ones).
 
 Text: A-Z lower-cased, words are runs of other than space and bytes 9 to 13, shingles of five words; an item with fewer words is
 one shingle. Defined results: null or blank texts have no shingles and match nothing; rows that repeat an id count
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_key, without_rows
 
 #: Rows (of a few dozen bytes to a few hundred) up to which a side is broadcast.
 BROADCAST_ROWS = 100_000
@@ -37,6 +37,11 @@ def shingles(w: Column, n: Column) -> Column:
     return F.when((F.size(w) >= n) & (n > 0), F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+def hashed(n: int) -> Column:
+    """An array of (w, h) of the shingles of n words of ws."""
+    return F.transform(shingles(F.col("ws"), F.lit(n)), lambda s: F.struct(F.lit(n).alias("w"), F.xxhash64(s).alias("h")))
+
+
 def small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
@@ -62,9 +67,14 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, s
     sketch = items.select("item_id", "w", F.explode("sketch").alias("e")).select("item_id", "w", F.col("e.h").alias("h"), F.substring_index("e.s", " ", 1).alias("first_word"))
     d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
 
-    probe = d.select("doc_id", "ws", F.posexplode("ws").alias("at", "word"))
-    same = F.xxhash64(F.array_join(F.slice("ws", F.col("at") + 1, F.col("w")), " ")).bitwiseXOR(F.col("h")) == 0
-    found = probe.join(_near(sketch, small(sketch)), F.col("word") == F.col("first_word")).where(same)
+    if small(sketch):
+        probe = d.select("doc_id", "ws", F.posexplode("ws").alias("at", "word"))
+        same = F.xxhash64(F.array_join(F.slice("ws", F.col("at") + 1, F.col("w")), " ")).bitwiseXOR(F.col("h")) == 0
+        found = probe.join(F.broadcast(sketch), F.col("word") == F.col("first_word")).where(same)
+    else:  # only hashes are shuffled: a row per shingle, for each shingle length that items have
+        lengths = [r["w"] for r in sketch.select("w").distinct().collect()]  # 1 to shingle
+        probe = d.select("doc_id", F.inline(F.concat(*(hashed(w) for w in lengths)))) if lengths else d.select("doc_id", F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h")).limit(0)
+        found = probe.join(sketch.select("item_id", "w", "h").hint("shuffle_hash"), ["w", "h"])
     candidates = stored(found.select("doc_id", "item_id").distinct(), "candidates")
 
     few = small(candidates)
@@ -79,9 +89,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, s
 
 
 def without_contained(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
-    """The documents that contain no item, with the columns they came with."""
-    bad = stored(contained_items(docs, benchmark, share).select("doc_id").distinct(), "contained")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that contain no item, with the columns they came with. Rows go one by one: those that share a doc_id, or have none, are
+    told apart by their texts."""
+    rows = docs.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("of_text")).alias("row"), "text")
+    bad = contained_items(rows, benchmark, share, id_col="row").select("doc_id.*").distinct()
+    return without_rows(docs, stored(bad, "contained"))
 
 
 _SQL_WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

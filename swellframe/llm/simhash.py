@@ -226,11 +226,5 @@ def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col:
     return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """Of each class the document with the smallest doc_id, with the columns it came with; rows without a doc_id stay."""
-    others = stored(classes(docs, radius).where("doc_id > component_id").select("doc_id").distinct(), "others")
-    return docs.join(others, "doc_id", "left_anti")
-
-
 def hexed(result: DataFrame) -> DataFrame:
     return result.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

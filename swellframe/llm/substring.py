@@ -107,7 +107,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
     anchor = window - PERIOD + 1
-    docs = keyed(docs, id_col, text_col)
+    docs, _ = keyed(docs, id_col, text_col)
     buckets, groups = group_counts(text_bytes(docs))
     docs = docs.withColumn("to", bucket_column(F.col("k"), groups))
     cover = np.zeros(PERIOD, bool)

@@ -105,17 +105,47 @@ def test_index_samples():
         assert lengths.sum() == whole.sum() and (transform[1:] == text[index.order[1:] - 1])[index.order[1:] > 0].all()
 
 
+@pytest.mark.parametrize("longest, part", [(1 << 26, 1 << 19), (1 << 9, 1 << 8)])
+def test_suffix_strings_in_repetitive_and_long_texts(spark, monkeypatch, longest, part):
+    """Units that a document repeats very often, cut and changed in others; texts beyond LONGEST come in overlapping parts."""
+    monkeypatch.setattr(suffix_array, "LONGEST", longest)
+    monkeypatch.setattr(suffix_array, "SLICE", part)
+    r = random.Random(6)
+    line = "".join(r.choice("abcdefgé ") for _ in range(70)) + "\n"
+    unit = "xyz"
+    texts = ["".join(r.choice("abc") for _ in range(900)), line * 300, line * 40 + "tail", unit * 1500, unit * 90, line[:60], "é" * 400]
+    for _ in range(25):
+        own = list(line * r.randint(1, 30))
+        for _ in range(r.randint(0, 6)):
+            own[r.randrange(len(own))] = r.choice("abcé")
+        texts.append("".join(own))
+        at = r.randrange(0, 700)
+        texts.append(texts[0][at : at + r.randint(30, 200)] + unit * r.randint(1, 60))
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = {row[0]: e for row, e in zip(rows, expected_strings([x[:2] for x in rows], 50))}
+    got = suffix_array.remove_repeated_strings(df).collect()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got} == want
+    # as texts: characters that are cut go wholly
+    kept = {x["doc_id"]: x["text"] for x in suffix_array.without_repeated_strings(df).collect()}
+    for i, t, *_ in rows:
+        left, whole, at = want[i][3], t.encode(), 0
+        assert len(kept[i].encode()) <= len(left) and set(kept[i]) <= set(t)
+        if left.isascii() and whole.isascii():
+            assert kept[i].encode() == left
+
+
 def test_repeated_and_null_ids(spark):
-    """Rows that repeat an id or have none are documents of their own: the second copy loses its text."""
+    """Rows that share an id have nothing of each other removed; rows without one come last."""
     t = "some text that is long enough to hold a window of fifty bytes or more " * 2
-    rows = [(1, t, "a", 1), (1, t, "b", 2), (None, t, "c", 3), (2, None, None, None)]
+    rows = [(1, t, "a", 1), (1, t, "b", 2), (None, t, "c", 3), (2, None, None, None), (None, "only here " * 9, "d", 4), (None, "only here " * 9, "e", 5), (7, t, "f", 6)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = suffix_array.remove_repeated_strings(df).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"] > 0) for r in got) == [(False, 1, False), (False, 1, True), (False, 2, False), (True, 0, True)]
-    assert substring.remove_repeated_windows(df).count() == 4
+    got = suffix_array.remove_repeated_strings(df, carried=("b",)).collect()
+    assert {x["b"]: x["n_removed"] > 0 for x in got} == {1: False, 2: False, 3: True, None: False, 4: False, 5: False, 6: True}
+    assert substring.remove_repeated_windows(df).count() == 7
     kept = suffix_array.without_repeated_strings(df)
-    assert kept.columns == df.columns and kept.count() == 4
-    assert simhash.classes(df).count() == 4 and simhash.first_of_each(df).count() == 4
+    assert kept.columns == df.columns and kept.count() == 7
+    assert simhash.classes(df).count() == 7
 
 
 def test_empty_tables(spark):

@@ -172,8 +172,10 @@ def test_best_fit_is_tight():
 
 @pytest.mark.parametrize("rows", [100_000, 0])
 def test_decontamination(spark, monkeypatch, rows):
-    """Broadcast and shuffled joins give what brute force gives."""
+    """Broadcast and shuffled joins give what brute force gives; without automatic broadcasts either."""
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    if not rows:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     r = random.Random(4)
     word = lambda: "".join(r.choice("abc") for _ in range(3))
     items = [(i, " ".join(word() for _ in range(r.choice([3, 5, 12, 40])))) for i in range(25)] + [(90, None), (91, " ")]
@@ -186,6 +188,7 @@ def test_decontamination(spark, monkeypatch, rows):
             own[::4] = ["gone"] * len(own[::4])
         docs.append((i, " ".join([word() for _ in range(9)] + own + [word() for _ in range(9)])))
     docs.append((docs[0][0], docs[-1][1]))
+    docs += [(200 + i, " ".join(word() for _ in range(4000)) + " " + (items[i][1] or "")) for i in range(3)]  # long texts
     sets = lambda t, n: {tuple(w[i : i + n]) for w in [(t or "").lower().split()] for i in range(len(w) - n + 1)}
     want = {}
     for i, t in docs:
@@ -197,8 +200,12 @@ def test_decontamination(spark, monkeypatch, rows):
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(x["doc_id"], x["item_id"]): x["shared_shingles"] for x in decontam.contained_items(d, b).collect()}
     assert got == want and len(want) > 30
-    bad = {i for i, _ in want}
-    assert {x["doc_id"] for x in decontam.without_contained(d, b).collect()} == {i for i, _ in docs} - bad
+    # only the rows that contain one go, not all rows of their id
+    per_row = [(i, t) for i, t in docs if not any((s := sets(u, n)) and len(s & sets(t, n)) >= 0.8 * len(s) for _, u in items if (n := min(5, len((u or "").split()))))]
+    kept = decontam.without_contained(d, b)
+    assert sorted((x["doc_id"], x["text"] or "") for x in kept.collect()) == sorted((i, t or "") for i, t in per_row) and len(per_row) < len(docs)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert decontam.contained_items(d, b.limit(0)).count() == decontam.contained_items(d.limit(0), b).count() == 0
 
 
 def test_pipeline_stages(spark):
