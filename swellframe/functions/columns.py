@@ -48,7 +48,7 @@ def depth_below(elevation: Column) -> Column:
 
 
 def lead_seconds(valid_time: Column, cycle: Column) -> Column:
-    """P7."""
+    """P7. For files that don't give their cycle, see `operators.timejoin.with_cycle`."""
     return valid_time - cycle
 
 

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def joined_members(long: DataFrame, keys: list[str], members: int, member: str = "member", value: str = "model_hs") -> DataFrame:
-    """J17. Keys that every member has: keys, members (array in member order). Repeated keys of a member count once.
+def joined_members(long: DataFrame, keys: list[str], members: int, member: str = "member", value: str = "model_hs", carried: tuple[str, ...] = ()) -> DataFrame:
+    """J17. Keys that every member has: keys, members (array in member order), and the carried columns of the control, the first member.
+    Repeated keys of a member count once.
 
-    One grouping instead of a join per member; the array has as many values as there are members.
+    Rows are dealt by their keys once; grouping by key and member, then by key, needs no further exchange. No join per member.
     """
-    once = long.groupBy(*keys, member).agg(F.min(value).alias("_v"))
-    grouped = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, "_v"))).alias("_m"))
-    return grouped.where(F.size("_m") == members).select(*keys, F.transform("_m", lambda s: s["_v"]).alias("members"))
+    own = F.struct(*carried) if carried else F.lit(None)
+    dealt = long.select(*keys, member, F.struct(F.col(value).alias("v"), own.alias("own")).alias("_v")).repartition(*keys)
+    once = dealt.groupBy(*keys, member).agg(F.min("_v").alias("_v"))
+    grouped = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(member, "_v"))).alias("_m")).where(F.size("_m") == members)
+    more = [F.col("_m")[0]["_v"]["own"][c].alias(c) for c in carried]
+    return grouped.select(*keys, F.transform("_m", lambda s: s["_v"]["v"]).alias("members"), *more)
 
 
 def _total(a: Column) -> Column:
@@ -35,8 +39,7 @@ def spread(members: Column) -> Column:
 def crps(members: Column, obs: Column) -> Column:
     """A17. Mean distance to the observation less half the mean distance between members, by the sorted array."""
     n = F.size(members)
-    s = F.array_sort(members)
-    between = _total(F.transform(s, lambda x, i: (2 * i - n + 1) * x)) / (n * n)
+    between = _total(F.transform(F.sort_array(members), lambda x, i: (2 * i - n + 1) * x)) / (n * n)
     return _total(F.transform(members, lambda x: F.abs(x - obs))) / n - between
 
 
@@ -48,16 +51,16 @@ def brier(members: Column, obs: Column, threshold: Column | float, kind: str = "
     return _total(F.transform(members, lambda x: F.pow((x >= threshold).cast("double") - hit, 2))) / F.size(members)
 
 
-def rank_of(members: Column, obs: Column, keys: list[str], seed: int = 1) -> Column:
-    """A15. Rank of the observation, from 1; among ties a place drawn by a hash of the keys."""
+def rank_of(members: Column, obs: Column, keys: list[str], seed: int = 1, draw: Column | None = None) -> Column:
+    """A15. Rank of the observation, from 1; among ties a place drawn by a hash of the keys, or by a number of the caller."""
     below = F.size(F.filter(members, lambda x: x < obs))
     ties = F.size(F.filter(members, lambda x: x == obs))
-    return 1 + below + F.pmod(F.xxhash64(F.lit(seed), *keys), ties + 1).cast("int")
+    return 1 + below + F.pmod(F.xxhash64(F.lit(seed), *keys) if draw is None else draw, ties + 1).cast("int")
 
 
-def rank_histogram(df: DataFrame, members: str, obs: str, keys: list[str], size: int, seed: int = 1) -> DataFrame:
+def rank_histogram(df: DataFrame, members: str, obs: str, keys: list[str], size: int, seed: int = 1, draw: Column | None = None) -> DataFrame:
     """A15. rank, n, share of every rank from 1 to size + 1."""
-    counted = df.groupBy(rank_of(F.col(members), F.col(obs), keys, seed).alias("rank")).agg(F.count("*").alias("n"))
+    counted = df.groupBy(rank_of(F.col(members), F.col(obs), keys, seed, draw).alias("rank")).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     every = total.select("total", F.explode(F.sequence(F.lit(1), F.lit(size + 1))).alias("rank"))
     out = every.join(counted, "rank", "left").withColumn("n", F.coalesce("n", F.lit(0)))

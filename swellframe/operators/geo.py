@@ -71,11 +71,18 @@ def gridded(tracks: DataFrame, grid: DataFrame, values: list[str], step: float =
 
 
 def gridded_qc(df: DataFrame, hs: str = "hs", wnd: str = "wnd", max_hs: float = 20.0, max_wnd: float = 60.0) -> DataFrame:
-    """J9. Grid points with plausible values, some spread and rows behind them; then out-of-range values become null."""
+    """J9, first stage. Grid points with plausible values, some spread and rows behind them."""
     ok = (F.col(hs) > 0.01) & (F.col(wnd) > 0.01) & (F.col(hs) < max_hs) & (F.col(wnd) < max_wnd) & (F.col(f"{hs}_std") > 0.001) & (F.col("n") > 0)
     return df.where(ok)
 
 
+def gridded_final(df: DataFrame, waves: tuple[str, ...] = ("hs", "hs_cal"), winds: tuple[str, ...] = ("wnd", "wnd_cal"), hs_range: tuple[float, float] = (0.1, 20.0), wnd_range: tuple[float, float] = (0.2, 60.0), least_depth: float = 80.0, least_coast: float = 50.0) -> DataFrame:
+    """J9, second stage. Values outside their range become null; points stay whose first height is in range, in water of at least
+    `least_depth`, at least `least_coast` from the coast (columns depth and distcoast)."""
+    cut = {c: F.when(F.col(c).between(*r), F.col(c)) for cs, r in ((waves, hs_range), (winds, wnd_range)) for c in cs if c in df.columns}
+    return df.withColumns(cut).where((F.col(waves[0]) >= hs_range[0]) & (F.col("depth") >= least_depth) & (F.col("distcoast") >= least_coast))
+
+
 def along_track(tracks: DataFrame, keys: list[str], values: list[str], step: float = 3600.0, half: float = 1800.0, limit: float = 35.0, order: tuple[str, ...] = ("time", "src_id"), distance=great_circle_km) -> DataFrame:
     """A20, W4. Means of track segments: by mission and time slot, rows are cut by their distance from the slot's first row.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import smoothed
+
 METRICS = ("n", "bias", "rmse", "nbias", "nrmse", "scrmse", "si", "hh", "cc")
 #: Percentiles of a summary, and of a quantile-quantile table (1 to 95, then denser).
 SUMMARY_P = (0.8, 0.9, 0.95, 0.99, 0.999)
@@ -112,20 +114,32 @@ def regression(pairs: DataFrame, keys: list[str], model: str = "model_hs", obs:
     return pairs.where(m.isNotNull() & o.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), slope.alias("slope"), (F.avg(m) - slope * F.avg(o)).alias("intercept"))
 
 
-def density(df: DataFrame, keys: list[str], value: str, points: int = 100) -> DataFrame:
-    """A13. Gaussian kernel density at equal steps from the least value to 0.99 of the largest: keys, i, x, density.
+def qq_curve(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = QQ_P, sigma: float = 1.0) -> DataFrame:
+    """A11. The percentiles as the curve is drawn: smoothed along the probabilities: keys, p, q."""
+    place = F.array_position(F.array(*map(F.lit, at)), F.col("p")) - 1
+    q = quantiles(long, keys, value, at).withColumn("i", place)
+    return q.join(smoothed(q.select(*keys, "i", "q"), keys, "i", "q", sigma), [*keys, "i"]).select(*keys, "p", F.col("smooth").alias("q"))
+
 
-    Values are counted first; the kernel is summed over distinct values. Bandwidth n ** (-1/5) sample deviations.
+def density(long: DataFrame, keys: list[str], series: str, value: str, points: int = 100, sigma: float = 1.0) -> DataFrame:
+    """A13. Gaussian kernel densities of each series (observations, models) on one axis for all series of a group, from the least value to 0.99 of the
+    largest, then smoothed: keys, series, i, x, density.
+
+    Values are counted first; the kernel is summed over distinct values. Bandwidth n ** (-1/5) sample deviations of the series.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    n, s, q = F.sum("c"), F.sum(F.col("c") * F.col("v")), F.sum(F.col("c") * F.col("v") * F.col("v"))
-    spread = F.sqrt((q - s * s / n) / (n - 1))
-    stats = counted.groupBy(*keys).agg(n.alias("n"), (F.pow(n, F.lit(-0.2)) * spread).alias("h"), F.min("v").alias("lo"), (F.max("v") * 0.99).alias("hi"))
-    grid = stats.where("n > 1 and h > 0").select(*keys, "n", "h", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    grid = grid.withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
+    own = [*keys, series]
+    ok = long.where(F.col(value).isNotNull())
+    counted = ok.groupBy(*own, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    stats = ok.groupBy(*own).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    axis = stats.groupBy(*keys).agg(F.min("lo").alias("lo"), (F.max("hi") * 0.99).alias("hi"))
+    stats = stats.where("n > 1 and s > 0").select(*own, "n", (F.pow("n", F.lit(-0.2)) * F.col("s")).alias("h"))
+    grid = stats.join(axis, keys) if keys else stats.crossJoin(axis)
+    step = (F.col("hi") - F.col("lo")) / (points - 1)
+    grid = grid.select(*own, "n", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + step * i)).alias("i", "x"))
     z = (F.col("x") - F.col("v")) / F.col("h")
     total = F.sum(F.col("c") * F.exp(-z * z / 2)) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
-    return counted.join(F.broadcast(grid), keys).groupBy(*keys, "i", "x", "n", "h").agg(total.alias("density")).drop("n", "h")
+    raw = counted.join(grid, own).groupBy(*own, "i", "x", "n", "h").agg(total.alias("d")).drop("n", "h")
+    return raw.join(smoothed(raw.select(*own, "i", "d"), own, "i", "d", sigma), [*own, "i"]).select(*own, "i", "x", F.col("smooth").alias("density"))
 
 
 def density_2d(pairs: DataFrame, low: float, high: float, bins: int, model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
@@ -138,17 +152,10 @@ def density_2d(pairs: DataFrame, low: float, high: float, bins: int, model: str
 def lead_metrics(pairs: DataFrame, bins: DataFrame, lead: str = "lead_h", model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
     """A6. Metrics by lead interval, both ends included (a lead on an edge counts in both). bins: bin, lo, hi, a small table.
 
-    Pairs are summed by exact lead first, so the interval join sees a row per lead.
+    Leads are few: each distinct one finds its intervals, and pairs join those by their lead.
     """
-    m, o = F.col(model), F.col(obs)
-    sums = pairs.groupBy(lead).agg(F.count("*").alias("c"), F.sum(m).alias("m"), F.sum(o).alias("o"), F.sum(m * m).alias("mm"), F.sum(o * o).alias("oo"), F.sum(m * o).alias("mo"))
-    each = sums.join(F.broadcast(bins), F.col(lead).between(F.col("lo"), F.col("hi")))
-    t = each.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("c", "m", "o", "mm", "oo", "mo")]).where("c >= 2")
-    n, dd = F.col("c"), F.col("mm") - 2 * F.col("mo") + F.col("oo")
-    bias = (F.col("m") - F.col("o")) / n
-    vm, vo = F.col("mm") / n - F.pow(F.col("m") / n, 2), F.col("oo") / n - F.pow(F.col("o") / n, 2)
-    cc = F.try_divide(F.col("mo") / n - F.col("m") * F.col("o") / n / n, F.sqrt(vm * vo))
-    return t.select("bin", n.alias("n"), bias.alias("bias"), _root(dd / n).alias("rmse"), _root(F.try_divide(dd - n * bias * bias, F.col("oo"))).alias("si"), cc.alias("cc"))
+    of = pairs.select(lead).distinct().join(bins, F.col(lead).between(F.col("lo"), F.col("hi"))).select(lead, "bin")
+    return metrics(pairs.join(of, lead), ["bin"], model, obs).select("bin", "n", "bias", "rmse", "si", "cc")
 
 
 def completeness(df: DataFrame, station: str, lat: str, model: str, obs: str) -> DataFrame:
@@ -163,6 +170,16 @@ def field_summary(field: DataFrame, keys: list[str], value: str) -> DataFrame:
     return field.groupBy(*keys).agg(F.max(value).alias("most"), F.avg(value).alias("mean")).join(p, keys).select(*keys, "most", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p99", "p999", "p99995"))])
 
 
+def colour_level(error_map: DataFrame, values: list[str], q: float = 0.99, keys: list[str] | None = None) -> DataFrame:
+    """A8. The level of a map's colours for each value: a high percentile of its absolute cells."""
+    return error_map.groupBy(*(keys or [])).agg(*[F.percentile(F.abs(v), q).alias(v) for v in values])
+
+
+def longest_run(extent: DataFrame) -> DataFrame:
+    """A23. The most times that any input has; what a table of all inputs must hold."""
+    return extent.agg(F.max("times").alias("longest"))
+
+
 def time_extent(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """A23. First and last time and the number of distinct times of each input."""
     return df.groupBy(*keys).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.countDistinct(time).alias("times"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tagged(cells: DataFrame, polygons: DataFrame, key: str, into: str = "zone_id", tile: float = 10.0) -> DataFrame:
-    """J14. The zone of each cell: that of the last polygon (by zone_order) that holds it, 0 if none does.
+def tagged(cells: DataFrame, polygons: DataFrame, key: str, into: str = "zone_id", tile: float = 10.0, land: str | None = None) -> DataFrame:
+    """J14. The zone of each cell: that of the last polygon (by zone_order) that holds it, 0 if none does, null on land (a boolean column).
 
     polygons: zone_id, zone_order, ring array<struct<lon, lat>>, a table of zones. Polygons are listed under the coarse tiles of
     their bounding box and meet cells by tile; then each edge is a term of the even-odd rule, summed in the array.
@@ -29,4 +29,5 @@ def tagged(cells: DataFrame, polygons: DataFrame, key: str, into: str = "zone_id
     crossings = F.aggregate(F.transform(F.sequence(F.lit(1), n), crossed), F.lit(0), lambda s, v: s + v)
     inside = own.join(tiles, ["tx", "ty"]).where(crossings % 2 == 1)
     found = inside.groupBy(key).agg(F.max_by("zone_id", "zone_order").alias(into))
-    return cells.join(found, key, "left").withColumn(into, F.coalesce(into, F.lit(0)))
+    zone = F.coalesce(into, F.lit(0))
+    return cells.join(found, key, "left").withColumn(into, F.when(~F.coalesce(land, F.lit(False)), zone) if land else zone)

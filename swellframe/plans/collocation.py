@@ -115,6 +115,20 @@ def J9_gridded_qc(spark, sf_dir):
     return rounded(geo.gridded_qc(_gridded(spark, sf_dir)).select("slot", "lat_idx", "lon_idx", "hs", "wnd", "n"), 5)
 
 
+_IN = "case when {0} between {1} and {2} then {0} end"
+
+
+@query(
+    _NEAR + f", r as (select * from ({_GRIDDED}) where hs > 0.01 and wnd > 0.01 and hs < 20 and wnd < 60 and hs_std > 0.001 and n > 0), f as (select r.*, hs * 1.3::double hs_cal, case when z < 0 then -z end depth, distcoast from r join grid using (lat_idx, lon_idx)) "
+    f"select slot, lat_idx, lon_idx, round({_IN.format('hs', 1, 4)}, 5) hs, round({_IN.format('hs_cal', 1, 4)}, 5) hs_cal, round({_IN.format('wnd', 3, 7)}, 5) wnd, depth, distcoast from f where hs >= 1 and hs <= 4 and depth >= 80 and distcoast >= 50"
+)
+def J9_gridded_final(spark, sf_dir):
+    g = v.grid(spark, sf_dir).select("lat_idx", "lon_idx", F.when(F.col("z") < 0, -F.col("z")).alias("depth"), "distcoast")
+    r = geo.gridded_qc(_gridded(spark, sf_dir)).join(g, ["lat_idx", "lon_idx"]).withColumn("hs_cal", F.col("hs") * 1.3)
+    out = geo.gridded_final(r, hs_range=(1.0, 4.0), wnd_range=(3.0, 7.0))
+    return rounded(out.select("slot", "lat_idx", "lon_idx", "hs", "hs_cal", "wnd", "depth", "distcoast"), 5)
+
+
 _SEG = v.with_views("track") + (
     ", s as (select *, floor(time / 3600 + 0.5)::bigint slot from track), a as (select *, first(lat) over w la, first(lon) over w lo, count(*) over (partition by satellite_id, slot) c from s where abs(time - slot * 3600) < 1800 window w as (partition by satellite_id, slot order by time, src_id)), "
     f"b as (select *, floor({v.great_circle('la', 'lo', 'lat', 'lon')} / 35)::int segment from a where c >= 2), o as (select *, row_number() over (partition by satellite_id, slot, segment order by time, src_id) - 1 r, count(*) over (partition by satellite_id, slot, segment) n from b) "
@@ -145,11 +159,11 @@ def J15_storm_footprints(spark, sf_dir):
 
 
 def _inside(spark, sf_dir):
-    return v.track(spark, sf_dir).where("lat between -80 and 80").select("src_id", "time", "lat", "lon", "hs")
+    return v.track(spark, sf_dir).select("src_id", "time", "lat", "lon", "hs")
 
 
 @query(
-    v.with_views("track", "field") + """, m as (select max(t_idx) mt from field), q as (select src_id, floor((lat + 89) / 2)::int i, floor(lon / 2)::int j, floor((time - 78892 * 21600) / 21600)::int k, (lat + 89) / 2 - floor((lat + 89) / 2) a, lon / 2 - floor(lon / 2) b, (time - 78892 * 21600) / 21600 - floor((time - 78892 * 21600) / 21600) c from track where lat between -80 and 80),
+    v.with_views("track", "field") + """, m as (select max(t_idx) mt from field), q as (select src_id, floor((lat + 89) / 2)::int i, floor(lon / 2)::int j, floor((time - 78892 * 21600) / 21600)::int k, (lat + 89) / 2 - floor((lat + 89) / 2) a, lon / 2 - floor(lon / 2) b, (time - 78892 * 21600) / 21600 - floor((time - 78892 * 21600) / 21600) c from track),
 w as (select src_id, i + di ii, j + dj jj, k + dk kk, (case when di = 1 then a else 1 - a end) * (case when dj = 1 then b else 1 - b end) * (case when dk = 1 then c else 1 - c end) w from q, range(0, 2) x(di), range(0, 2) y(dj), range(0, 2) z(dk)),
 g as (select src_id, w, hs from w left join field on t_idx = kk and lat_idx = ii and lon_idx = jj where w > 0)
 select src_id, round(case when count(hs) = count(*) then sum(w * hs) end, 6) model_hs from g group by 1"""
@@ -162,16 +176,13 @@ def J10_trilinear(spark, sf_dir):
 
 @query(v.with_views("track", "slots") + "select src_id, s.step_time, round((time - s.step_time) / 3600, 6) fcst_hr from track t asof left join (select slot * 21600 step_time from slots) s on t.time >= s.step_time")
 def J11_as_of(spark, sf_dir):
-    t = v.track(spark, sf_dir).withColumn("day", F.lit(0)).select("src_id", "time", F.floor(F.col("time") / 864000).alias("part"))
     steps = v.slots(spark, sf_dir).select((F.col("slot") * 21600).alias("step_time"))
-    # each ten-day part also gets the last step before it, so that no window holds the whole series
-    steps = steps.withColumn("part", F.explode(F.array(F.floor(F.col("step_time") / 864000), F.floor((F.col("step_time") + 21600 * 4) / 864000)))).distinct()
-    out = timejoin.as_of(t, steps, ["part"])
+    out = timejoin.as_of(v.track(spark, sf_dir).select("src_id", "time"), steps, [])
     return rounded(out.select("src_id", "step_time", ((F.col("time") - F.col("step_time")) / 3600).alias("fcst_hr")))
 
 
 @query(
-    v.with_views("grid", "track") + """, q as (select src_id, floor((lat + 89) / 2)::int i, floor(lon / 2)::int j, (lat + 89) / 2 - floor((lat + 89) / 2) a, lon / 2 - floor(lon / 2) b from track where lat between -80 and 80),
+    v.with_views("grid", "track") + """, q as (select src_id, floor((lat + 89) / 2)::int i, floor(lon / 2)::int j, (lat + 89) / 2 - floor((lat + 89) / 2) a, lon / 2 - floor(lon / 2) b from track),
 w as (select src_id, i + di ii, (j + dj) % 180 jj, (case when di = 1 then a else 1 - a end) * (case when dj = 1 then b else 1 - b end) w from q, range(0, 2) x(di), range(0, 2) y(dj)), g as (select src_id, w, z, distcoast from w left join grid on lat_idx = ii and lon_idx = jj where w > 0)
 select src_id, round(case when count(z) = count(*) then sum(w * z) end, 6) z, round(case when count(distcoast) = count(*) then sum(w * distcoast) end, 6) distcoast from g group by 1"""
 )
@@ -184,20 +195,43 @@ _MASK = v.with_views("grid") + """, a as (select *, case when z <= 0 then -z end
 l as (select lat_idx, m lm from b where lon_idx = (select max(lon_idx) from b)), c as (select b.*, case when lon_idx = 0 and l.lat_idx is not null then lm else m end mask from b left join l using (lat_idx)) """
 
 
+_SPARSE = "slots where slot % 29 < 3"
+
+
+@query(v.with_views("track", "slots") + f"select src_id, s.step_time from track t asof left join (select slot * 21600 step_time from {_SPARSE}) s on t.time >= s.step_time")
+def J11_as_of_gaps(spark, sf_dir):
+    """Steps with gaps of a week, longer than a bucket of a day."""
+    steps = v.slots(spark, sf_dir).where("slot % 29 < 3").select((F.col("slot") * 21600).alias("step_time"))
+    return timejoin.as_of(v.track(spark, sf_dir).select("src_id", "time"), steps, [], width=86400.0).select("src_id", "step_time")
+
+
 @query(_MASK + "select lat_idx, lon_idx, depth, dc distcoast, mask from c")
 def J13_grid_mask(spark, sf_dir):
     return interp.grid_mask(v.grid(spark, sf_dir)).select("lat_idx", "lon_idx", "depth", "distcoast", "mask")
 
 
+def _polygons(spark, sf_dir):
+    n = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), ((F.col("n_nationkey") * 14 % 340).cast("double") + 0.013).alias("x"), ((F.col("n_nationkey") * 4 - 55).cast("double") + 0.03).alias("y"))
+    at = lambda dx, dy: F.struct((F.col("x") + dx).alias("lon"), (F.col("y") + dy).alias("lat"))
+    return n.select("zone_id", F.col("zone_id").alias("zone_order"), F.array(at(0, 0), at(20, 0), at(0, 12)).alias("ring"))
+
+
 @query(
     v.with_views("track") + """, x as (select nation_id z, ox, oy from (select n_nationkey nation_id, (n_nationkey * 14 % 340)::double + 0.013::double ox, (n_nationkey * 4 - 55)::double + 0.03::double oy from nation))
 select src_id, coalesce(max(z), 0)::int zone_id from track left join x on lon > ox and lon < ox + 20 and lat > oy and lat < oy + 12 and (lat - oy) < (12.0::double - (lon - ox) * 0.6::double) group by src_id"""
 )
 def J14_zones(spark, sf_dir):
-    n = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), ((F.col("n_nationkey") * 14 % 340).cast("double") + 0.013).alias("x"), ((F.col("n_nationkey") * 4 - 55).cast("double") + 0.03).alias("y"))
-    at = lambda dx, dy: F.struct((F.col("x") + dx).alias("lon"), (F.col("y") + dy).alias("lat"))
-    polygons = n.select("zone_id", F.col("zone_id").alias("zone_order"), F.array(at(0, 0), at(20, 0), at(0, 12)).alias("ring"))
-    return zones.tagged(v.track(spark, sf_dir).select("src_id", "lat", "lon"), polygons, "src_id").select("src_id", "zone_id")
+    return zones.tagged(v.track(spark, sf_dir).select("src_id", "lat", "lon"), _polygons(spark, sf_dir), "src_id").select("src_id", "zone_id")
+
+
+@query(
+    v.with_views("grid") + """, x as (select nation_id z, ox, oy from (select n_nationkey nation_id, (n_nationkey * 14 % 340)::double + 0.013::double ox, (n_nationkey * 4 - 55)::double + 0.03::double oy from nation))
+select lat_idx, lon_idx, case when max(g.z) <= 0 then coalesce(max(x.z), 0)::int end zone_id from grid g left join x on lon > ox and lon < ox + 20 and lat > oy and lat < oy + 12 and (lat - oy) < (12.0::double - (lon - ox) * 0.6::double) group by 1, 2"""
+)
+def J14_grid_zones(spark, sf_dir):
+    """Zones of grid cells; land has none."""
+    g = v.grid(spark, sf_dir).select("k", "lat_idx", "lon_idx", "lat", "lon", (F.col("z") > 0).alias("land"))
+    return zones.tagged(g, _polygons(spark, sf_dir), "k", land="land").select("lat_idx", "lon_idx", "zone_id")
 
 
 @query(v.with_views("buoy") + ", a as (select station, time, hs, 'a' source from buoy where station % 3 <> 0), b as (select station, time, tp hs, 'b' source from buoy where station % 2 = 0) select station, source, count(*) n, round(sum(hs), 4) total from (from a union all (from b where station not in (select station from a))) group by all")
@@ -241,18 +275,33 @@ def U2_common_times(spark, sf_dir):
     return timejoin.common_times(v.slots(spark, sf_dir), t, ["slot"]).withColumnRenamed("slot", "valid_slot")
 
 
+@query(v.with_views("points") + "select station, cycle_id, valid_time, min(valid_time) over (partition by station, cycle_id) as cycle, valid_time - min(valid_time) over (partition by station, cycle_id) as lead from (select station, cycle cycle_id, valid_time from points)")
+def P7_first_time_cycle(spark, sf_dir):
+    return timejoin.with_cycle(v.points(spark, sf_dir).select("station", F.col("cycle").alias("cycle_id"), "valid_time"), ["station", "cycle_id"]).select("station", "cycle_id", "valid_time", "cycle", "lead")
+
+
+@query(v.with_views("points", "track") + ", m as (select valid_time from points where station = 3 and valid_time % 86400 = 0 and valid_time < 1705000000) select src_id from track where time between (select min(valid_time) from m) - 10800 and (select max(valid_time) from m) + 10800")
+def A23_within_extent(spark, sf_dir):
+    m = v.points(spark, sf_dir).where("station = 3 and valid_time % 86400 = 0 and valid_time < 1705000000")
+    return timejoin.within_extent(v.track(spark, sf_dir), m).select("src_id")
+
+
 @query(v.with_views("points") + "select distinct (valid_time - cycle) lead_s from points")
 def U3_unique_leads(spark, sf_dir):
     return v.points(spark, sf_dir).select((F.col("valid_time") - F.col("cycle")).alias("lead_s")).distinct()
 
 
-@query(v.with_views("track") + "select satellite_id, count(*) n, round(avg(hs), 6) hs from track where event_type in ('error', 'view', 'click') group by 1")
+@query(v.with_views("track") + "select satellite_id, count(*) n, round(avg(hs), 6) hs from track group by 1")
 def U4_stack_missions(spark, sf_dir):
-    t = v.track(spark, sf_dir).where("event_type in ('error', 'view', 'click')")
+    t = v.track(spark, sf_dir)
     parts = {i: t.where(F.col("satellite_id") == i).drop("satellite_id") for i in range(3)}
     return rounded(timejoin.stacked(parts).groupBy("satellite_id").agg(F.count("*").alias("n"), F.avg("hs").alias("hs")))
 
 
+#: Rows of the events table (all stations together) whose series are worked on as one part.
+SERIES_PART = 200_000
+
+
 def _gappy(spark, sf_dir):
     return v.buoy(spark, sf_dir).select("station", "event_id", F.when(F.col("event_id") % 10 >= 4, F.col("hs")).alias("hs"))
 
@@ -264,13 +313,13 @@ first_value(case when hs is not null then n end ignore nulls) over (partition by
 select station, event_id, round(coalesce(hs, case when n - an <= 3 then case when bn is null then ax else ax + (bx - ax) * (n - an) / (bn - an) end end), 6) hs from f"""
 )
 def W1_filled_gaps(spark, sf_dir):
-    return rounded(windows.filled(_gappy(spark, sf_dir), ["station"], "event_id", "hs", 3))
+    return rounded(windows.filled(_gappy(spark, sf_dir), ["station"], "event_id", "hs", 3, SERIES_PART))
 
 
 @query(v.with_views("ev") + ", d as (select event_id, user_id % 10 station, (event_id // 40 % 28 + 1)::int as day from ev), l as (select *, case when day < lag(day) over (partition by station order by event_id) then 1 else 0 end f from d) select event_id, sum(f) over (partition by station order by event_id rows unbounded preceding)::bigint as months from l")
 def W2_rolled_months(spark, sf_dir):
     d = v.buoy(spark, sf_dir).select("station", "event_id", (F.floor(F.col("event_id") / 40) % 28 + 1).cast("int").alias("day"))
-    return windows.rolled_months(d, ["station"], "event_id", "day").select("event_id", "months")
+    return windows.rolled_months(d, ["station"], "event_id", "day", SERIES_PART).select("event_id", "months")
 
 
 @query(_NEAR + "select slot, lat_idx, lon_idx, src_id, r::int as r from k")
@@ -309,7 +358,20 @@ def W6_smoothed(spark, sf_dir):
     return rounded(windows.smoothed(_daily(spark, sf_dir), ["station"], "i", "hs"))
 
 
-@query()
+def _along(source: str, axis: str, other: str, value: str, sigma: float) -> str:
+    """Gaussian smoothing of a table (s, i, value) along one of its axes, with mirrored edges."""
+    w = windows.gaussian_weights(sigma)
+    taps = ", ".join(f"({k - len(w) // 2}, {x!r}::double)" for k, x in enumerate(w))
+    return (
+        f"(select a.s, a.i, sum(a.w * x.{value}) g from (select t.s, t.i, k.w, (({axis} + k) % (2 * n) + 2 * n) % (2 * n) m, n from {source} t join (select {other}, max({axis}) + 1 n from {source} group by 1) using ({other}), (values {taps}) k(k, w)) a "
+        f"join {source} x on x.{other} = a.{other} and x.{axis} = case when a.m < a.n then a.m else 2 * a.n - 1 - a.m end group by 1, 2)"
+    )
+
+
+_2D = _HOURS + ", d as (select station::int s, i, hs from i), " + ", ".join(f"{n}1 as {_along('d', 's', 'i', 'hs', g)}, {n} as {_along(f'{n}1', 'i', 's', 'g', g)}" for n, g in (("wide", 1.0), ("thin", 0.5)))
+
+
+@query(_2D + " select 0 run, s, i, round(hs, 6) hs, round((hs + wide.g + thin.g) / 3, 6) smooth from d join wide using (s, i) join thin using (s, i)")
 def W7_smoothed_2d(spark, sf_dir):
     d = _daily(spark, sf_dir).select(F.lit(0).alias("run"), F.col("station").cast("int").alias("s"), "i", "hs")
     return rounded(windows.smoothed_2d(d, ["run"], "s", "i", "hs"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, qc, stats
+from ..operators import ensemble, qc, stats, windows
 from . import views as v
 from .registry import query, rounded
 
@@ -118,6 +118,11 @@ def A8_error_map(spark, sf_dir):
     return rounded(stats.metrics(c, ["lat", "lon"]))
 
 
+@query(_OK + ", c as (select *, (l_suppkey % 90 * 2 - 90)::double lat, (l_partkey % 180 * 2)::double lon from ok), m as (" + _metrics("lat, lon", "c") + ") select round(quantile_cont(abs(bias), 0.99), 6) bias, round(quantile_cont(abs(rmse), 0.99), 6) rmse from m")
+def A8_colour_level(spark, sf_dir):
+    return rounded(stats.colour_level(A8_error_map(spark, sf_dir), ["bias", "rmse"]))
+
+
 @query(_OK + "select zone, round(stddev_pop(obs_hs), 6) sd_obs, round(stddev_pop(model_hs), 6) sd_model, round(stddev_pop(model_hs - obs_hs), 6) crmsd, round(corr(model_hs, obs_hs), 6) cc from ok group by zone")
 def A9_taylor(spark, sf_dir):
     return rounded(stats.taylor(checked(spark, sf_dir), ["zone"]))
@@ -132,18 +137,35 @@ def A11_quantiles(spark, sf_dir):
     return out.withColumn("q", F.round("q", 6))
 
 
+def _gauss(source: str, keys: str, value: str, n: int) -> str:
+    """Gaussian smoothing with sigma 1 along i from 0 to n - 1, with mirrored edges."""
+    w = windows.gaussian_weights(1.0)
+    taps = ", ".join(f"({k - len(w) // 2}, {x!r}::double)" for k, x in enumerate(w))
+    m = f"((a.i + k) % {2 * n} + {2 * n}) % {2 * n}"
+    own = " and ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"select {', '.join(f'a.{k}' for k in keys.split(', '))}, a.i, sum(w * b.{value}) g from {source} a, (values {taps}) t(k, w), {source} b where {own} and b.i = case when {m} < {n} then {m} else {2 * n - 1} - {m} end group by all"
+
+
+@query(_MODELS + f", l as (select model, unnest([{_QQ}])::double p, unnest(range(0, {len(stats.QQ_P)}))::int i, unnest(quantile_cont(x, [{_QQ}])) q from cc group by model), g as ({_gauss('l', 'model', 'q', len(stats.QQ_P))}) select model, p, round(g, 6) q from l join g using (model, i)")
+def A11_qq_curve(spark, sf_dir):
+    return stats.qq_curve(qc.complete_cases(_models(spark, sf_dir), KEYS, "x", 2), ["model"], "x").withColumn("q", F.round("q", 6))
+
+
 @query(_OK + "select zone, count(*) n, round(regr_slope(model_hs, obs_hs), 6) slope, round(regr_intercept(model_hs, obs_hs), 6) intercept from ok group by zone")
 def A12_regression(spark, sf_dir):
     return rounded(stats.regression(checked(spark, sf_dir), ["zone"]))
 
 
 @query(
-    _PAIRS + """, s as (select zone, count(*)::double n, pow(count(*)::double, -0.2) * stddev_samp(obs_hs) h, min(obs_hs) lo, max(obs_hs) * 0.99::double hi from pairs group by zone),
-g as (select zone, n, h, i::int i, lo + (hi - lo) * i / 99 x from s, range(0, 100) r(i)), c as (select zone, obs_hs v, count(*) c from pairs group by all)
-select g.zone, g.i, round(g.x, 6) x, round(sum(c * exp(-pow((g.x - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi())), 6) density from g join c using (zone) group by g.zone, g.i, g.x, n, h"""
+    _PAIRS + """, long as (select zone, 'obs' series, obs_hs x from pairs union all select zone, 'model', model_hs from pairs), s as (select zone, series, count(*)::double n, pow(count(*)::double, -0.2) * stddev_samp(x) h, min(x) lo, max(x) hi from long group by all),
+e as (select zone, min(lo) lo, max(hi) * 0.99::double hi from s group by 1), g as (select zone, series, n, h, i::int i, e.lo + (e.hi - e.lo) * i / 99 x from s join e using (zone), range(0, 100) r(i)), c as (select zone, series, x v, count(*) c from long group by all),
+d as (select g.zone, g.series, g.i, g.x, sum(c * exp(-pow((g.x - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi())) d from g join c using (zone, series) group by g.zone, g.series, g.i, g.x, n, h), """
+    + f"k as ({_gauss('d', 'zone, series', 'd', 100)}) select zone, series, i, round(x, 6) x, round(g, 6) density from d join k using (zone, series, i)"
 )
 def A13_density(spark, sf_dir):
-    return rounded(stats.density(v.pairs(spark, sf_dir), ["zone"], "obs_hs"))
+    p = v.pairs(spark, sf_dir)
+    both = F.array(F.struct(F.lit("obs").alias("series"), F.col("obs_hs").alias("x")), F.struct(F.lit("model").alias("series"), F.col("model_hs").alias("x")))
+    return rounded(stats.density(p.select("zone", F.inline(both)), ["zone"], "series", "x"))
 
 
 @query(_OK + "select floor(obs_hs / 0.5)::int i, floor(model_hs / 0.5)::int j, count(*) n from ok where obs_hs between 0 and 12 and model_hs between 0 and 12 group by all")
@@ -152,19 +174,19 @@ def A14_density_2d(spark, sf_dir):
 
 
 def _joined(spark, sf_dir):
-    """Members as an array beside the control's observation and lead."""
+    """Members as an array beside the control's observation, lead and status."""
     keys = [*KEYS, "obs_hs", "lead_h"]
-    return ensemble.joined_members(v.members(spark, sf_dir), keys, 11)
+    return ensemble.joined_members(v.members(spark, sf_dir), keys, 11, carried=("status", "month"))
 
 
-_JOINED = v.with_views("members") + """, m1 as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, obs_hs, lead_h, member, min(model_hs) x from members group by all),
-j as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, obs_hs, lead_h, list(x order by member) xs from m1 group by all having count(*) = 11) """
+_JOINED = v.with_views("members") + """, m1 as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, obs_hs, lead_h, member, min(model_hs) x, min({'status': status, 'month': month}) own from members group by all),
+j as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, obs_hs, lead_h, list(x order by member) xs, arg_min(own, member) own from m1 group by all having count(*) = 11) """
 
 
-@query(_JOINED + "select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(obs_hs, 6) obs_hs, lead_h, round(xs[1], 6) control, round(xs[11], 6) last_member from j")
+@query(_JOINED + "select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(obs_hs, 6) obs_hs, lead_h, round(xs[1], 6) control, round(xs[11], 6) last_member, own.status, own.month from j")
 def J17_ensemble_join(spark, sf_dir):
     j = _joined(spark, sf_dir)
-    return rounded(j.select(*KEYS, "obs_hs", "lead_h", F.col("members")[0].alias("control"), F.col("members")[10].alias("last_member")))
+    return rounded(j.select(*KEYS, "obs_hs", "lead_h", F.col("members")[0].alias("control"), F.col("members")[10].alias("last_member"), "status", "month"))
 
 
 @query(_JOINED + "select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(list_avg(xs), 6) mean from j")
@@ -187,9 +209,13 @@ def A18_brier(spark, sf_dir):
     return rounded(_joined(spark, sf_dir).groupBy("lead_h").agg(F.avg(ensemble.brier(F.col("members"), F.col("obs_hs"), 5.0)).alias("brier")))
 
 
-@query()
+#: A tie's place drawn by integer arithmetic on the keys.
+_DRAW = "l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber"
+
+
+@query(_JOINED + f", r as (select 1 + len(list_filter(xs, lambda x: x < obs_hs)) + ({_DRAW}) % (len(list_filter(xs, lambda x: x = obs_hs)) + 1) as rank from j), c as (select rank, count(*) n from r group by 1) select k::int as rank, coalesce(n, 0)::bigint n, coalesce(n, 0) / (select count(*) from r) share from range(1, 13) e(k) left join c on c.rank = k")
 def A15_rank_histogram(spark, sf_dir):
-    return ensemble.rank_histogram(_joined(spark, sf_dir), "members", "obs_hs", KEYS, 11)
+    return ensemble.rank_histogram(_joined(spark, sf_dir), "members", "obs_hs", KEYS, 11, draw=F.expr(_DRAW))
 
 
 _BELOW = _JOINED + ", r as (select len(list_filter(xs, lambda x: x < obs_hs)) below, len(list_filter(xs, lambda x: x = obs_hs)) ties from j) select below::int below, ties::int ties, count(*) n from r group by all"
@@ -219,6 +245,11 @@ def A23_time_extent(spark, sf_dir):
     return stats.time_extent(v.points(spark, sf_dir), ["cycle"], "valid_time")
 
 
+@query(v.with_views("points") + "select max(times) longest from (select count(distinct valid_time) times from points group by station, cycle)")
+def A23_longest_run(spark, sf_dir):
+    return stats.longest_run(stats.time_extent(v.points(spark, sf_dir), ["station", "cycle"], "valid_time"))
+
+
 @query(_PAIRS + f"select month, {metric_sql()} from (select *, (l_partkey % 3000)::double depth, l_suppkey % 120 - 60 lat, l_linenumber cyclone from pairs) where depth > 80 and depth <= 2500 and lat between -30 and 30 and cyclone > 2 group by month having count(*) >= 2")
 def F8_stratum(spark, sf_dir):
     p = v.pairs(spark, sf_dir).withColumns({"depth": (F.col("l_partkey") % 3000).cast("double"), "lat": F.col("l_suppkey") % 120 - 60, "cyclone": F.col("l_linenumber")})

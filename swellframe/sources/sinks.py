@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows from which the text form of processed altimeter data is not written.
-CSV_ROWS = 100_000_000
 UNITS = {"hs": "m", "tm": "s", "tp": "s", "dm": "degrees", "dp": "degrees", "wnd": "m/s", "distcoast": "km", "depth": "m", "lat": "degrees", "lon": "degrees"}
 
 
@@ -25,9 +23,10 @@ def write_matchups(df: DataFrame, path: str, time: str = "valid_time", partition
     out.repartition(*by).sortWithinPartitions(time).write.partitionBy(*by).mode("overwrite").parquet(path)
 
 
-def write_altimeter_csv(df: DataFrame, path: str, exact: tuple[str, ...] = ("time", "sat_time")) -> bool:
-    """K2. CSV with a header, measures rounded to 3 decimals; nothing is written from CSV_ROWS rows on. Whether it was written."""
-    if df.limit(CSV_ROWS).count() >= CSV_ROWS:
+def write_altimeter_csv(df: DataFrame, path: str, exact: tuple[str, ...] = ("time", "sat_time"), most_rows: int | None = None) -> bool:
+    """K2. CSV files with a header, measures rounded to 3 decimals, at any size; with most_rows, only if there are fewer rows (counted
+    where they are, the input is then read twice). Whether it was written."""
+    if most_rows is not None and df.count() >= most_rows:
         return False
     cols = [F.round(c, 3).alias(c) if t in ("double", "float") and c not in exact else F.col(c) for c, t in df.dtypes]
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
