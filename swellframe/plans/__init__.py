@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import collocation, columnwise, statistics
+from . import collocation, columnwise, statistics, texts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "collocation", "columnwise", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "collocation", "columnwise", "statistics", "texts"]

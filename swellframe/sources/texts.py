@@ -38,7 +38,7 @@ def stdmet(spark: SparkSession, path: str, stations: DataFrame | None = None) ->
     dot or h; minutes are optional; years of two digits are of the 1900s. 99, 999 and 9999 are missing where out of range."""
     lines = numbered(whole(spark, path)).where(F.trim("line") != "")
     head = lines.where("line_no = 0").select("file", F.split(F.trim(F.regexp_replace("line", "#", "")), r"\s+").alias("names"))
-    rows = lines.where("line_no > 0 and not startswith(ltrim(line), '#')").join(F.broadcast(head), "file").select("file", "names", F.split(F.trim("line"), r"\s+").alias("v"))
+    rows = lines.where("line_no > 0 and not startswith(ltrim(line), '#')").join(head, "file").select("file", "names", F.split(F.trim("line"), r"\s+").alias("v"))
 
     def at(*names: str) -> Column:
         return F.coalesce(*[F.when(F.array_contains("names", n), F.try_element_at("v", F.array_position("names", n).cast("int"))) for n in names])
@@ -77,6 +77,10 @@ def _position(line: Column) -> tuple[Column, Column]:
     return part(1).try_cast("double") * sign(2, "S"), part(3).try_cast("double") * sign(4, "W")
 
 
+#: Where the layouts of bulletins have their place, cycle, first row, day and hour.
+BULLETINS = {"deterministic": (0, 2, 7, 4, 7), "ensemble": (1, 3, 9, 3, 6)}
+
+
 def bulletins(lines: DataFrame, kind: str = "deterministic") -> DataFrame:
     """S7, W2, T1. Bulletin lines (file, line_no, line) as rows: file, lat, lon, cycle, time, hs, tp, dp.
 
@@ -84,7 +88,7 @@ def bulletins(lines: DataFrame, kind: str = "deterministic") -> DataFrame:
     month turns where the day falls. Ensemble rows have hs and tp. The hemisphere's letter decides the sign.
     """
     det = kind == "deterministic"
-    place, cycle_at, first, day_at, hour_at = (0, 2, 7, 4, 7) if det else (1, 3, 9, 3, 6)
+    place, cycle_at, first, day_at, hour_at = BULLETINS[kind]
     lat, lon = _position(F.col("line"))
     heads = lines.groupBy("file").agg(F.max(F.when(F.col("line_no") == place, F.struct(lat.alias("lat"), lon.alias("lon")))).alias("p"), F.max(F.when(F.col("line_no") == cycle_at, F.regexp_extract("line", r"(\d{8})\D+(\d{1,2})", 0))).alias("c"))
     cycle = F.to_timestamp(F.concat(F.regexp_extract("c", r"(\d{8})", 1), F.lpad(F.regexp_extract("c", r"\d{8}\D+(\d{1,2})", 1), 2, "0")), "yyyyMMddHH")
@@ -110,13 +114,17 @@ def bulletins(lines: DataFrame, kind: str = "deterministic") -> DataFrame:
     return rows.select("file", "lat", "lon", F.unix_timestamp("c").cast("double").alias("cycle"), time.cast("double").alias("time"), "hs", "tp", "dp")
 
 
+#: Columns of the layouts of station series.
+SERIES = {
+    "ensemble": {"hs": (13, 18), "spread": (19, 25), "tp": (27, 32)},
+    "lakes": {"hs": (22, 28), "lm": (31, 35), "tr": (37, 42), "dir": (44, 49), "spr": (50, 56), "fp": (57, 64), "p_dir": (66, 71), "p_spr": (72, 78)},
+}
+
+
 def station_series(lines: DataFrame, kind: str = "ensemble") -> DataFrame:
     """S8. `.ts` lines (file, line_no, line): ensemble hs, spread, tp; or the eight variables of the lakes layout, fp under 0.01 as missing."""
     cut = lambda a, b: F.trim(F.substring("line", a + 1, b - a))
-    if kind == "ensemble":
-        time, layout = cut(1, 12), {"hs": (13, 18), "spread": (19, 25), "tp": (27, 32)}
-    else:
-        time, layout = cut(2, 13), {"hs": (22, 28), "lm": (31, 35), "tr": (37, 42), "dir": (44, 49), "spr": (50, 56), "fp": (57, 64), "p_dir": (66, 71), "p_spr": (72, 78)}
+    time, layout = (cut(1, 12), SERIES["ensemble"]) if kind == "ensemble" else (cut(2, 13), SERIES["lakes"])
     digits = F.regexp_replace(time, r"\D", "")
     stamp = F.coalesce(F.try_to_timestamp(F.substring(digits, 1, 10), F.lit("yyyyMMddHH")))
     out = lines.select("file", "line_no", F.unix_timestamp(stamp).cast("double").alias("time"), *[cut(*r).try_cast("double").alias(n) for n, r in layout.items()]).where("time is not null")
@@ -126,7 +134,10 @@ def station_series(lines: DataFrame, kind: str = "ensemble") -> DataFrame:
 
 
 def tar_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S9. file (member's station: its name without folders up to the extension), line_no, line of all members of tar archives."""
+    """S9. file (member's station: its name without folders up to the extension), line_no, line of all members of tar archives.
+
+    An archive is read whole by one task, since tar has no index; one of 2 GB and more does not fit a row and is named in the error.
+    """
 
     def unpacked(frames):
         for frame in frames:
@@ -138,7 +149,9 @@ def tar_lines(spark: SparkSession, path: str) -> DataFrame:
                             name = re.sub(r"^.*/", "", m.name).rsplit(".", 1)[0].rsplit(".", 1)[-1]
                             yield pd.DataFrame({"file": name, "line_no": range(len(text)), "line": text})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpacked, "file string, line_no int, line string")
+    found = spark.read.format("binaryFile").load(path)
+    large = F.when(F.col("length") >= (1 << 31) - 1024, F.raise_error(F.concat(F.lit("an archive of 2 GB or more: "), F.col("path")))).otherwise(F.lit(True))
+    return found.where(large.cast("boolean")).select("content").mapInPandas(unpacked, "file string, line_no int, line string")
 
 
 def same_length(rows: DataFrame, key: str = "file") -> DataFrame:
@@ -158,9 +171,10 @@ def spectra_text(spark: SparkSession, path: str) -> DataFrame:
     nd = F.regexp_extract("value", r"^'[^']*'\s+\d+\s+(\d+)", 1).cast("int")
     body = F.regexp_replace("value", r"^'[^']*'\s+\d+\s+\d+\s+\d+\s*('[^']*')?", "")
     t = t.select("file", nf.alias("nf"), nd.alias("nd"), body.alias("body"))
-    axes = F.split(F.trim(F.regexp_extract("body", r"(?s)^(.*?)\d{8}\s+\d{6}", 1)), r"\s+")
+    stamp = r"(?<![\d.])\d{8}\s+\d{6}(?!\d)"  # and not the end of a number with many decimals
+    axes = F.split(F.trim(F.regexp_extract("body", rf"(?s)^(.*?){stamp}", 1)), r"\s+")
     axes = F.filter(F.transform(axes, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    steps = F.regexp_extract_all("body", F.lit(r"(?s)(\d{8}\s+\d{6}.*?)(?=\d{8}\s+\d{6}|$)"), F.lit(1))
+    steps = F.regexp_extract_all("body", F.lit(rf"(?s)({stamp}.*?)(?={stamp}|$)"), F.lit(1))
     rows = t.select("file", "nf", "nd", F.slice(axes, 1, F.col("nf")).alias("freq"), F.slice(axes, F.col("nf") + 1, F.col("nd")).alias("dir"), F.explode(steps).alias("step"))
     time = F.unix_timestamp(F.to_timestamp(F.regexp_replace(F.regexp_extract("step", r"^(\d{8}\s+\d{6})", 1), r"\s+", " "), "yyyyMMdd HHmmss")).cast("double")
     name = F.trim(F.regexp_extract("step", r"'([^']*)'", 1))

@@ -26,7 +26,7 @@ def test_stdmet(spark, tmp_path):
 
 def test_point_table_and_series(spark, tmp_path):
     block = "  Time : {}\n head\n  units\n\n -80.0 25.0 1.5 60. 6.0 90. 20. 0.125 95. 15.\n -81.0 26.0 0.5 50. 5.0 80. 22. 0.000 85. 12.\n"
-    p = put(tmp_path, "tab33.ww3", block.format("2020/01/01 00:00:00") + block.format("2020/01/01 03:00:00"))
+    p = put(tmp_path, "tab33.txt", block.format("2020/01/01 00:00:00") + block.format("2020/01/01 03:00:00"))
     got = texts.point_table(spark, p).orderBy("time", "lon").collect()
     assert [(r["time"], r["lon"], r["tp"]) for r in got] == [(1577836800.0, -81.0, None), (1577836800.0, -80.0, 8.0), (1577847600.0, -81.0, None), (1577847600.0, -80.0, 8.0)]
     line = " 2020010103   2.35   0.40   9.10"
@@ -61,7 +61,7 @@ def test_tar_members(spark, tmp_path):
 
 
 def test_spectra_text(spark, tmp_path):
-    head = "'WAVEWATCH III SPECTRA'     3     2     1 'grid'\n 0.04 0.05 0.06\n 1.571 0.000\n"
+    head = "'SPECTRA'     3     2     1 'grid'\n 0.04 0.05 0.06\n 1.571 0.000\n"
     step = "20200101 {}0000\n'41001     '  34.7 -72.7 4000.0 5.0 180.0 0.1 90.0\n"
     p = put(tmp_path, "a.spec", head + step.format("00").replace(" 0.1 90.0", "") + " 1 2 3 4\n 5 6\n" + step.format("03").replace(" 0.1 90.0", "") + " 7 8 9 10 11 12\n")
     got = texts.spectra_text(spark, p).orderBy("time").collect()
