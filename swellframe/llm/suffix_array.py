@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, mix, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: Bytes of text that are hashed at once, and whose segments are compared before they are sent.
 SLICE, COMPARED = 1 << 19, 8 << 20
@@ -85,7 +85,8 @@ def segments(buf: np.ndarray, off: np.ndarray, window: int, roller: Rolling):
     first = runs(anchor[whole], doc[whole])
     start, last = whole[first], whole[np.r_[first[1:] - 1, len(whole) - 1]]
     end = last + window
-    return doc[start], start, end - start, h[anchor[start]], roller.slices(sums, start, end)
+    # the smallest hashes of windows are all small: mixed again, they deal anchors evenly
+    return doc[start], start, end - start, mix(h[anchor[start]]), roller.slices(sums, start, end)
 
 
 def mixed(sums: np.ndarray, k: int, roller: Rolling) -> np.ndarray:
