@@ -1,8 +1,8 @@
 """Media columns: documents as interleaved sequences of text and media, with payloads in a media table by digest.
 
 `interleaved` parses HTML into ordered structs: position, kind (text or media), text, ref, digest, caption. A media element's
-digest is that of a `sha256:` reference; its caption is the figcaption of its figure, else its alt text. `resolved`
-joins media rows to the structs by digest; each row keeps its position and caption, so alignment doesn't depend on the join.
+digest is that of a `sha256:` reference; its caption is the figcaption of its figure, before it or after it, else its alt text. `resolved`
+joins media rows to the structs by digest (structs without one are spread, and find nothing); each row keeps its position and caption, so alignment doesn't depend on the join.
 A digest that a third of all documents share is one media row, and the references to it are split (skew join).
 
 `stored_payloads` keeps texts losslessly as 8-bit grey PNG images of 192 samples a row in a media table; `read_back` decodes the stored
@@ -42,6 +42,7 @@ class _Sequence(HTMLParser):
         self.text: list[str] = []
         self.caption: list[str] | None = None
         self.figure: int | None = None
+        self.of_figure: str | None = None
         self.skip = 0
 
     def flush(self):
@@ -55,14 +56,15 @@ class _Sequence(HTMLParser):
         if tag in BLOCK_TAGS or tag in MEDIA_TAGS:
             self.flush()
         if tag == "figure":
-            self.figure = len(self.parts)
+            self.figure, self.of_figure = len(self.parts), None
         elif tag == "figcaption":
             self.caption = []
         a = dict(attrs)
         if tag in MEDIA_TAGS and a.get("src"):
             src = a["src"]
             digest = src[7:].lower() if src[:7].lower() == "sha256:" else None
-            self.parts.append({"kind": "media", "text": None, "ref": src, "digest": digest, "caption": a.get("alt")})
+            caption = a.get("alt") if self.figure is None or self.of_figure is None else self.of_figure
+            self.parts.append({"kind": "media", "text": None, "ref": src, "digest": digest, "caption": caption})
 
     def handle_endtag(self, tag):
         if tag in SKIPPED_TAGS:
@@ -71,7 +73,7 @@ class _Sequence(HTMLParser):
             self.flush()
         if tag == "figcaption" and self.caption is not None:
             own = " ".join("".join(self.caption).split())
-            self.caption = None
+            self.caption, self.of_figure = None, own
             for p in self.parts[self.figure or 0 :] if self.figure is not None else []:
                 if p["kind"] == "media":
                     p["caption"] = own
@@ -109,8 +111,8 @@ def interleaved(pages: DataFrame, html_col: str = "html", into: str = "sequence"
 def resolved(sequences: DataFrame, media: DataFrame, column: str = "sequence") -> DataFrame:
     """A row per struct, with the media row of its digest (unique there) beside it; nulls where there is none."""
     rows = sequences.select("*", F.inline(column)).drop(column)
-    with_digest = rows.where("digest is not null").join(media, "digest", "left")
-    return with_digest.unionByName(rows.where("digest is null"), allowMissingColumns=True)
+    key = F.coalesce("digest", F.concat(F.lit("none "), F.pmod(F.xxhash64("position", "text", "ref"), F.lit(4096))))
+    return rows.withColumn("of digest", key).join(media.withColumnRenamed("digest", "of digest"), "of digest", "left").drop("of digest")
 
 
 # --- payloads as images ---------------------------------------------------------------------------------------

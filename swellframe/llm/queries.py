@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, license, media, packing, simhash, substring, suffix_array, toxicity, url_filter, warc
 
@@ -36,6 +37,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(spark, _read(spark, sf_dir, "documents"))
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's html as ordered text and media structs, a row per struct."""
+    found = media.interleaved(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.inline("sequence"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter, op6_media_columns, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_decontamination)
+    found = (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter, op6_media_columns, pages_interleaved, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_decontamination)
     return {f.__name__: f for f in found}
 
 

@@ -6,7 +6,8 @@ and path (contexts of up to `order` characters) are learned from them, with Witt
 with that of the context one character shorter, in the proportion of its count to its distinct successors, down to a uniform
 choice. A URL that no rule decides is judged by the mean difference of log-likelihoods per character.
 
-The threshold is calibrated on the judged URLs: where the two classes, with their means and deviations, err equally often.
+One in CALIBRATE_ONE_IN of the URLs that a rule decides (by a hash of host and path) is left out of the counts. The threshold is calibrated on
+these: where the two classes, with their means and deviations, err equally often. If they lack a class, all that rules decide are used.
 
 All counts come from grouped sums over (context, character) pairs, which a table of pairs bounds: there are far fewer than URLs, and a
 very common host adds to few of them, summed before the shuffle. The pair table is broadcast only under a
@@ -26,6 +27,8 @@ from .decontam import LOWER, UPPER, small
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Of the URLs that rules decide, those that calibrate.
+CALIBRATE_ONE_IN = 5
 #: Stands before the first character of a URL, as often as the order asks.
 PAD = "\u0001"
 
@@ -75,17 +78,21 @@ def judge(pages: DataFrame, rules=RULES, order: int = 3, id_col: str = "page_id"
     host, path = host_and_path(F.col(url_col))
     p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     p = p.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict")
-    grams = p.select(F.when(F.col("verdict") == "allow", 1).otherwise(0).alias("g"), F.when(F.col("verdict") == "block", 1).otherwise(0).alias("b"), F.explode(pairs(F.concat("host", "path"), order)).alias("gram"))
+    p = p.withColumn("fit", F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATE_ONE_IN)) > 0)
+    counts = lambda verdict: F.when(F.col("fit") & (F.col("verdict") == verdict), 1).otherwise(0)
+    grams = p.select(counts("allow").alias("g"), counts("block").alias("b"), F.explode(pairs(F.concat("host", "path"), order)).alias("gram"))
     counted = stored(grams.groupBy("gram").agg(F.sum("g").alias("good"), F.sum("b").alias("bad")), "grams")
     ratios = stored(log_ratios(counted.where("good > 0 or bad > 0"), counted.select("gram"), order), "ratios")
     ratios = F.broadcast(ratios) if small(ratios) else ratios
 
     rows = p.withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "page_id", "host", "path", "rule", "verdict"]
+    keys = ["row", "page_id", "host", "path", "rule", "verdict", "fit"]
     each = rows.select(*keys, F.explode_outer(pairs(F.concat("host", "path"), order)).alias("gram")).join(ratios, "gram", "left")
     scored = stored(each.groupBy(*keys).agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("log_ratio")), "scored")
 
-    stats = {r["verdict"]: r for r in scored.where("verdict is not null").groupBy("verdict").agg(F.avg("log_ratio").alias("m"), F.stddev_pop("log_ratio").alias("s")).collect()}
+    by_class = lambda rows: {r["verdict"]: r for r in rows.where("verdict is not null").groupBy("verdict").agg(F.avg("log_ratio").alias("m"), F.stddev_pop("log_ratio").alias("s")).collect()}
+    stats = by_class(scored.where("not fit"))
+    stats = stats if len(stats) == 2 else by_class(scored)
     bound = None
     if len(stats) == 2:
         (a, sa), (b, sb) = ((stats[v]["m"], stats[v]["s"] + 1e-9) for v in ("allow", "block"))

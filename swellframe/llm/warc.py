@@ -31,8 +31,10 @@ from .common import scratch, stored
 ARCHIVE_BYTES = 1 << 30
 #: Ranges with at most this much between them are read together, up to READ_BYTES.
 GAP_BYTES, READ_BYTES = 128 << 10, 8 << 20
-#: Index rows of one such stretch of an archive go to one task.
-STRETCH_BYTES = 64 << 20
+#: Index rows of one such stretch of an archive go to one task; most tasks.
+STRETCH_BYTES, MOST_TASKS = 8 << 20, 100_000
+#: Bytes of payloads that are Python objects at once.
+HELD_BYTES = 8 << 20
 INDEX = "page_id bigint, url string, record_type string, refers_to bigint, digest string, archive string, start bigint, length bigint"
 RECORDS = "page_id bigint, url string, record_type string, refers_to bigint, digest string, payload binary"
 #: Fixed values of the format.
@@ -122,12 +124,19 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 100, date:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of the selected index rows; a revisit has no payload of its own."""
 
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = [c.split(" ")[0] for c in RECORDS.split(", ")]
+
+    def as_batch(records: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*records, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
     def read(batches):
         where, path = _folder(folder)
         name, source = None, None
         for batch in batches:
             rows = list(zip(batch.column("archive").to_pylist(), batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True))
-            i, out = 0, []
+            i, out, held = 0, [], 0
             while i < len(rows):
                 archive, begin, length = rows[i]
                 end, j = begin + length, i + 1
@@ -137,14 +146,19 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 if archive != name:
                     name, source = archive, where.open_input_file(f"{path}/{archive}")
                 data = source.read_at(end - begin, begin)
-                out += [parsed(data[s - begin : s - begin + n]) for _, s, n in rows[i:j]]
+                for _, s, n in rows[i:j]:
+                    out.append(parsed(data[s - begin : s - begin + n]))
+                    held += len(out[-1][-1] or b"")
+                    if held >= HELD_BYTES:
+                        yield as_batch(out)
+                        out, held = [], 0
                 i = j
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "digest", "payload"])
+            yield as_batch(out)
 
     stretch = F.floor(F.col("start") / STRETCH_BYTES)
-    dealt = index.select("archive", "start", "length").repartition("archive", stretch).sortWithinPartitions("archive", "start")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = min(MOST_TASKS, -(-total // STRETCH_BYTES) or 1)
+    dealt = index.select("archive", "start", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "start")
     return dealt.mapInArrow(read, RECORDS)
 
 

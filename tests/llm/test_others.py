@@ -54,6 +54,18 @@ def test_url_rules(spark):
     assert url_filter.judge(df.where("page_id = 10")).first()["verdict"] == "allow"
 
 
+def test_url_model_is_calibrated_on_what_it_did_not_count(spark):
+    """Clashing columns, repeated rows, a long url; classes that the held-out urls lack."""
+    r = random.Random(1)
+    rows = [(i, f"http://shop{i}.com/garden/{r.randrange(99)}", "x", True) for i in range(80)] + [(100 + i, f"http://p{i % 7}.net/fr/casino/{i}", "x", True) for i in range(80)]
+    rows += [(300, "http://q.org/" + "garden/" * 3000, "x", True), (301, "http://q.org/casino/1", "x", True), (301, "http://q.org/casino/1", "x", True)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, host string, fit boolean")
+    got = collections.defaultdict(set)
+    for x in url_filter.judge(df).collect():
+        got[x["page_id"]].add(x["verdict"])
+    assert got[300] == {"allow"} and got[301] == {"block"} and url_filter.judge(df).count() == len(rows)
+
+
 def test_url_model_separates(spark):
     rows = [(i, f"http://shop{i}.com/garden/{i}") for i in range(60)] + [(100 + i, f"http://p.net/es/casino/{i}") for i in range(60)]
     rows += [(200, "http://other.org/garden/7"), (201, "http://other.org/casino/7")]
@@ -80,28 +92,74 @@ def test_media_round_trip_and_alignment(spark):
     assert [(r["position"], r["payload"]) for r in out] == [(0, None), (1, "found"), (2, None), (3, None), (4, None)]
 
 
-def brute_dice(line, template):
-    def grams(t):
-        w = "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
-        return {(a, b) for a, b in zip(w, w[1:])}
+def license_words(text):
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in (text or "").lower()).split()
+
 
-    a, b = grams(line), grams(template)
-    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+def every_window(text, least=0.8):
+    """Whether any window of a template's number of words reaches `least`, by licence: all windows, no anchors."""
+    w, found = license_words(text), {}
+    for name, t in license.TEMPLATES:
+        own = license_words(t)
+        b = set(zip(own, own[1:]))
+        for i in range(max(1, len(w) - len(own) + 1)):
+            part = w[i : i + len(own)]
+            a = set(zip(part, part[1:]))
+            if a and 2 * len(a & b) / (len(a) + len(b)) >= least:
+                found[name] = max(found.get(name, 0), round(2 * len(a & b) / (len(a) + len(b)), 6))
+    return found
 
 
 def test_license_scan(spark):
-    lines = ["Released under the MIT License.", "released UNDER the mit-license", "Licensed under the Apache License, Version 2.0. Yes", "nothing here", "word", "", "the the the the the the the"]
-    rows = [(i, "\n".join(lines[: i + 1])) for i in range(len(lines))] + [(50, None), (None, lines[0]), (60, lines[0]), (60, lines[2])]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in license.scan(df).collect()}
-    per = collections.defaultdict(list)
-    for i, t in rows:
-        per[i] += (t or "").split("\n")
-    for i, own in per.items():
-        hits = [max((round(brute_dice(x, t), 6), n) for n, t in license.TEMPLATES.items())[0] for x in own]
-        hits = [h for h in hits if h >= 0.8]
-        assert got[i]["n_notices"] == len(hits) and got[i]["dice"] == (max(hits) if hits else None)
+    r = random.Random(3)
+    filler = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    mit, short = license.TEXTS["MIT"], license.NOTICES["MIT"]
+    broken = mit.split()
+    broken[40:42] = ["two", "other", "words"]
+    texts = [
+        short, "released UNDER\nthe mit-license", filler(50) + " " + short + " " + filler(50), short * 3, "\n".join(mit.split()), filler(300) + "\n" + mit.replace(" ", "\n", 9) + "\n" + filler(30),
+        " ".join(broken), license.TEXTS["GPL-3.0"] + "\n\n" + filler(40) + license.TEXTS["Apache-2.0"], "the the the the the the the", "word", "", None, filler(400), " ".join(mit.split()[:60]), "# " + license.TEXTS["Unlicense"].replace("\n", "\n# "),
+    ]
+    rows = [(i, t, "x", 7) for i, t in enumerate(texts)] + [(None, short, "x", 7), (50, short, "x", 7), (50, mit, "x", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, licence string, row int")
+    got = {x["doc_id"]: (x["n_notices"], x["licence"], x["dice"]) for x in license.scan(df).collect()}
+    for i, t in enumerate(texts):
+        want = every_window(t)
+        assert (got[i][0] > 0) == bool(want), (i, got[i], want)
+        if want:
+            assert got[i][2] == max(want.values()) and got[i][1] == min(n for n, d in want.items() if d == got[i][2])
+    assert {i: got[i][0] for i in (0, 3, 4, 5, 6, 7, 8, 11, 12, 13)} == {0: 1, 3: 3, 4: 1, 5: 1, 6: 1, 7: 2, 8: 0, 11: 0, 12: 0, 13: 0}
+    assert got[50] == (2, "MIT", 1.0) and got[None] == (1, "MIT", 1.0)
     assert license.scan(df.limit(0)).count() == 0
+    own = spark.createDataFrame([("own", "one two three four five"), ("none", "x")], "licence string, template string")
+    assert {x["doc_id"]: x["n_notices"] for x in license.scan(spark.createDataFrame([(1, "zero one two three four five six"), (2, "one")], "doc_id bigint, text string"), own).collect()} == {1: 1, 2: 0}
+
+
+def test_pages_against_another_parser(spark):
+    """Texts and order of all given pages, by regular expressions over the markup."""
+    import html as unescaper
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html", "url")
+    got = collections.defaultdict(list)
+    out = media.interleaved(pages).select("page_id", "url", "sequence")
+    for x in out.collect():
+        for p in x["sequence"]:
+            assert p["position"] == len(got[x["page_id"]])
+            got[x["page_id"]].append((p["kind"], p["text"] if p["kind"] == "text" else p["ref"]))
+    block = "|".join(sorted(media.BLOCK_TAGS))
+    for x in pages.collect():
+        t = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", x["html"] or "")
+        t = re.sub(r"(?s)<(script|style|template|noscript)\b[^>]*>.*?</\1>", "", t)
+        t = re.sub(rf"</?({block})(\s[^>]*)?/?>", "\0", t)
+        parts = [" ".join(unescaper.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in t.split("\0")]
+        assert [("text", p) for p in parts if p] == got[x["page_id"]]
+    assert media.interleaved(pages.limit(0)).count() == 0
+
+
+def test_captions_before_their_media(spark):
+    s = media.sequence('<figure><figcaption>cap</figcaption><img src="a" alt="alt"><img src="b"></figure><img src="c" alt="own"><figure><img src="d" alt="x"></figure>')
+    assert [(p["ref"], p["caption"]) for p in s] == [("a", "cap"), ("b", "cap"), ("c", "own"), ("d", "x")]
 
 
 def test_toxicity_edges_and_held_out_labels(spark):
@@ -158,6 +216,56 @@ def test_packing(spark):
     assert packing.packed_documents(spark.createDataFrame([], "doc_id bigint, text string"), TOKENIZER).count() == 0
 
 
+def test_pieces_over_half_a_sequence_meet_in_no_group(spark, monkeypatch):
+    """Bins that nothing fits beside end by counts, in the fewest sequences, with no group of them all."""
+    monkeypatch.setattr(packing, "ITEMS", 500)
+    rng = np.random.default_rng(4)
+    lengths = np.r_[rng.integers(2100, 4070, 6000), rng.integers(1, 900, 300)]
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item bigint, length bigint").repartition(6)
+    groups = []
+    original = packing.best_fit_counts
+
+    def counted(sizes, capacity):
+        groups.append(len(sizes))
+        return original(sizes, capacity)
+
+    monkeypatch.setattr(packing, "best_fit_counts", counted)
+    got = packing.pack(df, 4096).collect()
+    assert sorted(x["item"] for x in got) == list(range(len(lengths))) and groups and groups[0] <= 4096
+    bins = collections.defaultdict(list)
+    for x in got:
+        bins[x["sequence_id"]].append((x["offset"], lengths[x["item"]]))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(bins) <= 6020  # 6000 that fit beside no other, and the small ones beside them
+
+
+def test_counts_pack_like_items():
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        capacity = int(rng.choice([16, 64, 4096]))
+        n = rng.integers(1, capacity + 1, int(rng.integers(1, 2000)))
+        sizes = dict(zip(*(x.tolist() for x in np.unique(n, return_counts=True))))
+        slots, total = packing.best_fit_counts(sizes, capacity)
+        bins, seen = collections.defaultdict(list), collections.Counter()
+        for length, rank, times, first, each, offset in slots.tolist():
+            assert rank == seen[length]
+            seen[length] += times
+            for j in range(times):
+                bins[first + j // each].append((offset + j % each * length, length))
+        assert seen == sizes and len(bins) == total and abs(total - packing.best_fit(n, capacity)[2]) <= 1
+        for b in bins.values():
+            at = 0
+            for o, k in sorted(b):
+                assert o == at
+                at += k
+            assert at <= capacity
+
+
 def test_best_fit_is_tight():
     rng = np.random.default_rng(2)
     for _ in range(20):
