@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -15,12 +16,22 @@ from pyspark.sql import functions as F
 SMALL_GROUP, GROUP_BYTES, FEW_GROUPS = 2 << 20, 16 << 20, 4096
 #: Rows of ids and hashes that are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a batch of texts in its way to Python.
+ARROW_BYTES = 8 << 20
 #: Upper bound of hash buckets; beyond it the buckets grow instead (at 100 TB: the anchors of about 400 MB of text each).
 MAX_BUCKETS = 1 << 18
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ARROW_BYTES, where the session has Spark's default (64 MB, in the JVM and in each worker)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "1b") == "67108864b":
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary folder is set in local mode (tests) only."""
+    bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -48,6 +59,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carri
     Where they don't, k and first are the doc_id. Otherwise the rows are ordered by doc_id (nulls last), then by a hash of
     the text, numbered, and written once, so that each row is a document of its own.
     """
+    bound_batches(docs.sparkSession)
     rest = [F.col(c).alias(f"x{i}") for i, c in enumerate(carried)]
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     names = ["doc_id", "k", "first", "text", *(f"x{i}" for i in range(len(carried)))]
@@ -215,6 +227,25 @@ def arrow_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return buf, off - off[0]
 
 
+def release() -> None:
+    """Freed memory goes back to the system; workers are used again, for work of another kind."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(f):
+    """A function of batches that gives its memory back when it ends."""
+
+    def of(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return of
+
+
 def pieces(table: pa.RecordBatch | pa.Table, column: str, limit: int):
     """Slices of a batch with about `limit` bytes of text each; a longer row stands alone."""
     _, off = arrow_text(table.column(column))
@@ -279,11 +310,12 @@ def dealt_text(docs: DataFrame) -> DataFrame:
                 blobs.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["to", "blob"])
 
-    return docs.select("to", *names).mapInArrow(packed, "to int, blob binary")
+    return docs.select("to", *names).mapInArrow(releasing(packed), "to int, blob binary")
 
 
 def text_of(group: pa.Table) -> pa.Table:
     """The rows of a group of `dealt_text`: doc_id, k, text and what came with them."""
+    release()
     tables = [pa.ipc.open_stream(b).read_all() for b in group["blob"].to_pylist()]
     if not tables:
         return pa.table({"doc_id": pa.array([], pa.int64()), "k": pa.array([], pa.int64()), "text": pa.array([], pa.string())})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import releasing, stored
 
 #: Samples of an image row; payloads are padded with spaces to a positive multiple.
 ROW = 192
@@ -105,7 +105,7 @@ def interleaved(pages: DataFrame, html_col: str = "html", into: str = "sequence"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), made], names=[*rest, into])
 
     kinds = dict(pages.dtypes)
-    return pages.select(*rest, html_col).mapInArrow(parsed, ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{into}` {STRUCTS}"]))
+    return pages.select(*rest, html_col).mapInArrow(releasing(parsed), ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), f"`{into}` {STRUCTS}"]))
 
 
 def resolved(sequences: DataFrame, media: DataFrame, column: str = "sequence") -> DataFrame:
@@ -176,7 +176,7 @@ def stored_payloads(payloads: DataFrame) -> DataFrame:
                     images.append(to_png(p.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], names=["digest", "media"])
 
-    return stored(payloads.select("digest", "payload").mapInArrow(encoded, "digest string, media binary"), "media")
+    return stored(payloads.select("digest", "payload").mapInArrow(releasing(encoded), "digest string, media binary"), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def read_back(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return stored(media.mapInArrow(decoded, schema).dropDuplicates(["digest"]), "media-features")
+    return stored(media.mapInArrow(releasing(decoded), schema).dropDuplicates(["digest"]), "media-features")
 
 
 def documents_as_media(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import pieces, releasing, stored
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
 CACHE = 100_000
@@ -164,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")).mapInArrow(releasing(cut), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

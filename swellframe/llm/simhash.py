@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt, stored, unpack
+from .common import connected_components, dealt, releasing, stored, unpack
 
 #: Fingerprints that shape the trees.
 SAMPLE = 1 << 15
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(of, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(of), "doc_id bigint, fp bigint")
 
 
 class Tree:
@@ -212,7 +212,7 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 3) -> DataFra
         pairs = np.unique(pairs, axis=0).view(np.int64) if len(pairs) else pairs.view(np.int64)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return distinct.select("fp").mapInArrow(routed, "leaf int, blob binary").groupBy("leaf").applyInArrow(linked, "a bigint, b bigint")
+    return distinct.select("fp").mapInArrow(releasing(routed), "leaf int, blob binary").groupBy("leaf").applyInArrow(linked, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, releasing, Rolling, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -192,7 +192,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
         """Records meet by hash; what repeats goes to the groups of its documents."""
         return records.groupBy("b").applyInArrow(repeated(dtype, keys), BLOB_SCHEMA).select("to", "blob").groupBy("to")
 
-    found = docs.select("k", "text").mapInArrow(anchors, BLOB_SCHEMA)
+    found = docs.select("k", "text").mapInArrow(releasing(anchors), BLOB_SCHEMA)
     texts = dealt_text(docs).groupBy("to")
     found = texts.cogroup(back(found, ANCHOR, ["h"])).applyInArrow(windows, BLOB_SCHEMA)
     return texts.cogroup(back(found, WINDOW, ["h", "g"])).applyInArrow(kept, RESULT)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, Rolling, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, mix, pieces, runs, split_by_repeats, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, mix, pieces, releasing, Rolling, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: Bytes of text that are hashed at once, and whose segments are compared before they are sent.
 SLICE, COMPARED = 1 << 19, 8 << 20
@@ -373,7 +373,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
         return df.groupBy("b").applyInArrow(f, BLOB_SCHEMA).select("to", "blob").groupBy("to")
 
     texts = dealt_text(docs).groupBy("to")
-    found = docs.select("k", "first", "text").mapInArrow(anchors, BLOB_SCHEMA)
+    found = docs.select("k", "first", "text").mapInArrow(releasing(anchors), BLOB_SCHEMA)
     found = texts.cogroup(back(found, decided)).applyInArrow(fetched, BLOB_SCHEMA)
     out = texts.cogroup(back(found, indexed)).applyInArrow(kept, schema)
     return out.withColumnsRenamed(dict(zip(more, carried, strict=True)))

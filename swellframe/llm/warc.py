@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import releasing, scratch, stored
 
 #: Bytes after which a task begins another archive.
 ARCHIVE_BYTES = 1 << 30
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_from: int = 100, date:
             if out is not None:
                 out.close()
 
-    return stored(p.mapInArrow(written, INDEX), "index")
+    return stored(p.mapInArrow(releasing(written), INDEX), "index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -159,7 +159,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
     tasks = min(MOST_TASKS, -(-total // STRETCH_BYTES) or 1)
     dealt = index.select("archive", "start", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "start")
-    return dealt.mapInArrow(read, RECORDS)
+    return dealt.mapInArrow(releasing(read), RECORDS)
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
