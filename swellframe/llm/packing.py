@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import pieces, releasing, stored
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
-CACHE = 100_000
+CACHE = 75_000
 #: Bytes of text that are Python objects at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Items that one partition packs in the first round, as a target, and partitions that meet in a round.
 ITEMS, FAN_IN = 20_000, 8
 #: If more than this share of the bins of a round stay open after the next, what remains goes to the last round.

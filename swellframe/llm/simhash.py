@@ -12,6 +12,8 @@ Documents link where their fingerprints differ in at most `radius` bits; classes
   falls into and queries the other leaves within reach (those after its own; the pair meets there once). Trees are
   built from a bounded sample of fingerprints; the sample only shapes the tree, every fingerprint is routed.
 * A leaf that the sample shows to be large is cut into parts by hash; its rows query each part.
+* From MANY distinct fingerprints on, radius 1 on narrow blocks would make rows query ever more leaves. Trees then look at wider masks, two or three
+  of more blocks, at radius 0: no row is near a boundary, large leaves are cut by the masked bits, and a row has 15 or 35 copies at any size.
 * In a leaf, distances are computed in blocks. Where few pairs link, they are emitted; in a dense leaf the links are
   followed breadth first and only a spanning tree is emitted, so a group of near copies never yields all its pairs.
 
@@ -21,18 +23,22 @@ doc_id has a null component_id); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt, releasing, stored, unpack
+from .common import connected_components, dealt, mix, releasing, stored, unpack
 
 #: Fingerprints that shape the trees.
 SAMPLE = 1 << 15
 #: Fingerprints that a leaf should hold, and that a part of a large leaf may hold.
 LEAF, LEAF_PART = 1500, 24000
+#: Distinct fingerprints from which trees look at equal bits of wider masks.
+MANY = 50_000_000
 #: Texts that are Python objects at once.
 SLICE_ROWS = 1000
 #: Vantage points tried for a node.
@@ -167,43 +173,70 @@ def _spanning(home: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
     return np.array(edges, np.uint64).reshape(-1, 2)
 
 
+def masks_for(total: int, radius: int, blocks: int = 3) -> tuple[list[int], int]:
+    """Bits that a tree looks at, for each tree, and the radius at which it does, for so many distinct fingerprints.
+
+    Few: `blocks` blocks of bits; of two fingerprints within the radius some block differs in at most radius // blocks bits. From MANY
+    on: radius + j blocks, of which j are equal; a tree for each choice of j, at radius 0. Wider masks make up for more fingerprints.
+    """
+    cut = lambda n: [((1 << (64 * (i + 1) // n)) - (1 << (64 * i // n))) for i in range(n)]
+    if total < MANY or radius == 0:
+        return cut(blocks), radius // blocks
+    j = 2 + int(total >= 200 * MANY)
+    return [sum(own) for own in combinations(cut(radius + j), j)], 0
+
+
+def planned(sample: np.ndarray, total: int, radius: int, blocks: int = 3) -> tuple[list[Tree], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Trees, how many parts each leaf has, whether parts are dealt at random (each row then queries all), and the number of a leaf's first part."""
+    masks, r = masks_for(total, radius, blocks)
+    rng = np.random.default_rng(3)
+    trees = [Tree(sample, m, r, LEAF * len(sample) / max(total, 1), rng) for m in masks]
+    each, salted, first, at = [], [], [], 0
+    weight = total / max(1, len(sample))
+    for t in trees:
+        each.append(np.array([max(1, -(-int(s * weight) // LEAF_PART)) for s in t.shares]))
+        dense = np.zeros(len(t.shares), bool)
+        if r == 0 and len(sample):  # equal bits stay together, unless these are a part's worth or more
+            row, leaf, _ = t.route(sample)
+            value, n = np.unique(np.stack([leaf.astype(np.uint64), sample[row] & t.mask], axis=1), axis=0, return_counts=True)
+            dense[value[(n > 1) & (n * weight > LEAF_PART), 0].astype(np.int64)] = True
+        salted.append(dense if r == 0 else np.ones(len(t.shares), bool))
+        first.append(at + np.concatenate([[0], np.cumsum(each[-1])]))
+        at = int(first[-1][-1])
+    return trees, each, salted, first
+
+
+def dealt_out(x: np.ndarray, plan) -> tuple[np.ndarray, np.ndarray]:
+    """Records of fingerprints, and the leaf parts that each goes to: one is its home in a tree, in the others it is a query."""
+    recs, to = [], []
+    for tree, parts, salted, base in zip(*plan, strict=True):
+        row, leaf, own = tree.route(x)
+        home_leaf = np.empty(len(x), np.int64)
+        home_leaf[row[own]] = leaf[own]
+        later = own | (leaf > home_leaf[row])
+        row, leaf, own = row[later], leaf[later], own[later]
+        salt = (np.where(salted[leaf], x[row], mix(x[row] & tree.mask)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
+        part = salt % parts[leaf]
+        many = np.where(salted[leaf], parts[leaf], 1)
+        copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, leaf, own, part = (np.repeat(c, many) for c in (row, leaf, own, part))
+        copy = np.where(salted[leaf], copy, part)
+        ok = ~own | (copy >= part)
+        rec = np.empty(int(ok.sum()), POINT)
+        rec["x"], rec["home"] = x[row[ok]], own[ok] & (copy == part)[ok]
+        recs.append(rec)
+        to.append(base[leaf[ok]] + copy[ok])
+    return np.concatenate(recs), np.concatenate(to)
+
+
 def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 3) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of distinct.fp within radius."""
     sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    total = distinct.count()
-    points = np.array(sample, np.int64).view(np.uint64)
-    rng = np.random.default_rng(3)
-    width = -(-64 // blocks)
-    masks = [((1 << width) - 1) << (i * width) & (2**64 - 1) for i in range(blocks)]
-    trees = [Tree(points, m, radius // blocks, LEAF * len(points) / max(total, 1), rng) for m in masks]
-    leaf_parts = [[max(1, -(-int(s * total / max(1, len(points))) // LEAF_PART)) for s in t.shares] for t in trees]
-    first, at = [], 0
-    for p in leaf_parts:
-        first.append(at + np.concatenate([[0], np.cumsum(p)]))
-        at = int(first[-1][-1])
+    plan = planned(np.array(sample, np.int64).view(np.uint64), distinct.count(), radius, blocks)
 
     def routed(batches):
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            recs, to = [], []
-            for tree, p, base in zip(trees, leaf_parts, first, strict=True):
-                parts = np.array(p)
-                row, leaf, own = tree.route(x)
-                home_leaf = np.empty(len(x), np.int64)
-                home_leaf[row[own]] = leaf[own]
-                later = own | (leaf > home_leaf[row])
-                row, leaf, own = row[later], leaf[later], own[later]
-                salt = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
-                many = parts[leaf]
-                copy = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                row, leaf, own = np.repeat(row, many), np.repeat(leaf, many), np.repeat(own, many)
-                part = salt[row] % parts[leaf]
-                ok = ~own | (copy >= part)
-                rec = np.empty(int(ok.sum()), POINT)
-                rec["x"], rec["home"] = x[row[ok]], own[ok] & (copy == part)[ok]
-                recs.append(rec)
-                to.append(base[leaf[ok]] + copy[ok])
-            ids, blobs = dealt(np.concatenate(recs), np.concatenate(to))
+            ids, blobs = dealt(*dealt_out(batch.column(0).to_numpy().view(np.uint64), plan))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["leaf", "blob"])
 
     def linked(group: pa.Table) -> pa.Table:

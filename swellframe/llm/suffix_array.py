@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, mix, pieces, releasing, Rolling, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: Bytes of text that are hashed at once, and whose segments are compared before they are sent.
-SLICE, COMPARED = 1 << 19, 8 << 20
+SLICE, COMPARED = 1 << 19, 3 << 20
 #: A longer text is worked on in parts that overlap.
 LONGEST = 64 << 20
 #: Bits of a position in the packed (hash, position) keys of the sliding minimum.
@@ -42,7 +42,7 @@ PLACE_BITS = np.uint64(28)
 #: already at place b. h tells anchors of a bucket apart.
 MARK = np.dtype([("k", "<i8"), ("s", "<u4"), ("l", "<u2"), ("open", "u1"), ("b", "<u4"), ("h", "<u4")])
 #: An anchor with more differing segments than this is dealt by its windows; bytes that one index holds, unless an anchor has more.
-MANY_SEGMENTS, INDEX_BYTES = 4096, 1 << 19
+MANY_SEGMENTS, INDEX_BYTES = 4096, 1 << 18
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
 
 
@@ -261,9 +261,10 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
         for c in ("k", "s", "l", "h"):
             rec[c] = m[c]
         rec[order] = before[own] if repeats else rec["k"]
-        for i in range(0, len(m), 1 << 14):
-            at = (off[own[i : i + (1 << 14)]] + m["s"][i : i + (1 << 14)])[:, None] + np.arange(longest)
-            rec["text"][i : i + (1 << 14)] = np.where(np.arange(longest) < m["l"][i : i + (1 << 14)][:, None], buf[np.minimum(at, len(buf) - 1)], 0)
+        for i in range(0, len(m), 1 << 12):
+            some = slice(i, i + (1 << 12))
+            at = (off[own[some]] + m["s"][some])[:, None] + np.arange(longest)
+            rec["text"][some] = np.where(np.arange(longest) < m["l"][some][:, None], buf[np.minimum(at, len(buf) - 1)], 0)
         out = [blob_batch(0, rec, m["b"].astype(np.int64)), blob_batch(1, settled, bucket_of(settled["k"], groups), buckets)]
         own, m = row[marks["open"] == 2], marks[marks["open"] == 2]
         if len(m):

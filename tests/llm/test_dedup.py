@@ -188,8 +188,24 @@ def test_simhash_classes(spark):
     assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{prints[i]:016x}", roots[i]) for i in prints}
 
 
-def test_forest_loses_no_link(spark, monkeypatch):
-    """Random fingerprints and a dense cluster, with tiny leaves and leaf parts, so that trees split, overlap and salt."""
+def test_copies_of_a_fingerprint_stay_few():
+    """Routing of random fingerprints, by how many there are in all: copies per row, and rows of a leaf part."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    sample, rows = draw(1 << 11), draw(1000)
+    copies = {}
+    for total in (10**7, 10**8, 10**10):
+        plan = simhash.planned(sample, total, 4)
+        rec, to = simhash.dealt_out(rows, plan)
+        copies[total] = len(rec) / len(rows)
+        assert (np.bincount(rec["home"], minlength=2)[1]) == len(rows) * len(plan[0])
+    assert max(copies.values()) <= 36, copies
+
+
+@pytest.mark.parametrize("many", [50_000_000, 10, 0])
+def test_forest_loses_no_link(spark, monkeypatch, many):
+    """Random fingerprints and a dense cluster, with tiny leaves and leaf parts, so that trees split, overlap and salt; by the masks for each size."""
+    monkeypatch.setattr(simhash, "MANY", many)
     monkeypatch.setattr(simhash, "LEAF", 40)
     monkeypatch.setattr(simhash, "LEAF_PART", 60)
     rng = random.Random(5)
