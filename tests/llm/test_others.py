@@ -314,15 +314,3 @@ def test_decontamination(spark, monkeypatch, rows):
     assert sorted((x["doc_id"], x["text"] or "") for x in kept.collect()) == sorted((i, t or "") for i, t in per_row) and len(per_row) < len(docs)
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert decontam.contained_items(d, b.limit(0)).count() == decontam.contained_items(d.limit(0), b).count() == 0
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = docs
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, out, "/root/testdata/sf0.001")
-        if i < 4:
-            assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-    assert out.count() > 0
