@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, releasing, stored
+from .common import releasing, slices, stored
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
 CACHE = 75_000
@@ -149,18 +149,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
     def cut(batches):
         encoder = Encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            i = 0
-            for part in pieces(batch, "text", SLICE):
-                for j, data in enumerate(encoder.batch(part.column("text")), i):
-                    data += end
-                    n = len(data) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - start)
-                        out.append((ids[j], rows[j], piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
-                i += part.num_rows
+        for part in slices(batches, "text", SLICE):
+            ids, rows, out = part.column("doc_id").to_pylist(), part.column("row").to_pylist(), []
+            for i, row, data in zip(ids, rows, encoder.batch(part.column("text")), strict=True):
+                data += end
+                n = len(data) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    out.append((i, row, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, releasing, Rolling, runs, split_by_repeats, text_bytes, text_of, unpack
+from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, pieces, releasing, Rolling, runs, slices, split_by_repeats, text_bytes, text_of, unpack
 
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
 COVER, PERIOD = (0, 1, 4, 14, 16), 21
@@ -122,15 +122,14 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
 
     def anchors(batches):
         rollers = _rollers(1)
-        for batch in batches:
-            for part in pieces(batch, "text", SLICE):
-                w = Words(part.column("text"), rollers)
-                g = np.flatnonzero(cover[w.at % PERIOD] & (w.at + anchor <= w.count[w.doc]) & (w.count[w.doc] >= window))
-                rec = np.zeros(len(g), ANCHOR)
-                rec["h"] = w.hashes(g, anchor)
-                rec["k"] = part.column("k").to_numpy()[w.doc[g]]
-                rec["p"] = w.at[g]
-                yield from sent_and_known(rec, ["h"])
+        for part in slices(batches, "text", SLICE):
+            w = Words(part.column("text"), rollers)
+            g = np.flatnonzero(cover[w.at % PERIOD] & (w.at + anchor <= w.count[w.doc]) & (w.count[w.doc] >= window))
+            rec = np.zeros(len(g), ANCHOR)
+            rec["h"] = w.hashes(g, anchor)
+            rec["k"] = part.column("k").to_numpy()[w.doc[g]]
+            rec["p"] = w.at[g]
+            yield from sent_and_known(rec, ["h"])
 
     def repeated(dtype, keys):
         def of(group: pa.Table) -> pa.Table:
