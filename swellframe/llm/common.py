@@ -180,7 +180,84 @@ class Rolling:
         self.powers(len(values))
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[: len(values)])])
 
-    def slices(batches, column: str, limit: int):
+    def slices(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, for sorted keys."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    if n:
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def split_by_repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values that occur more than once, and of the others."""
+    order = np.argsort(h)
+    s = h[order]
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    again = same[1:] | same[:-1]
+    return order[again], order[~again]
+
+
+def arrow_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column without nulls, and where each value begins (one more at the end)."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(a, pa.ChunkedArray):
+        a = a.chunk(0) if a.num_chunks else pa.array([], pa.string())
+    a = a.fill_null("")
+    if not len(a):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
+    off = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)
+    data = a.buffers()[2]
+    buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.empty(0, np.uint8)
+    return buf, off - off[0]
+
+
+def release() -> None:
+    """Freed memory goes back to the system; workers are used again, for work of another kind."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(f):
+    """A function of batches that gives its memory back when it ends."""
+
+    def of(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return of
+
+
+def pieces(table: pa.RecordBatch | pa.Table, column: str, limit: int):
+    """Slices of a batch with about `limit` bytes of text each; a longer row stands alone."""
+    _, off = arrow_text(table.column(column))
+    start = 0
+    while start < table.num_rows:
+        end = max(start + 1, int(np.searchsorted(off, off[start] + limit, "right")) - 1)
+        yield table.slice(start, end - start)
+        start = end
+
+
+def slices(batches, column: str, limit: int):
     """Batches of about `limit` bytes of text from batches of any size; a longer row stands alone."""
     held, size = [], 0
     together = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
