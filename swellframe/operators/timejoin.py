@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import key_of
+
 
 def window_average(model: DataFrame, obs: DataFrame, keys: list[str], values: list[str], half: float = 1800.0, model_time: str = "valid_time", obs_time: str = "time") -> DataFrame:
     """J1. For each distinct (keys, model time): the mean of each value over observations less than `half` seconds away.
@@ -47,9 +49,9 @@ def as_of(rows: DataFrame, steps: DataFrame, keys: list[str], time: str = "time"
     bucket = F.floor(F.col("_t") / width)
     a = rows.withColumns({"_t": F.col(time), "_at": F.lit(1), "_last": F.lit(None).cast(steps.schema[step_time].dataType)})
     b = steps.select(*keys, F.col(step_time).alias("_t"), F.lit(0).alias("_at"), F.col(step_time).alias("_last")).distinct()
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_bucket", bucket)
-    own = [*keys, "_bucket"]
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    both = a.unionByName(b, allowMissingColumns=True).withColumns({"_key": key_of(keys), "_bucket": bucket})
+    own = ["_key", "_bucket"]
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = both.groupBy(*own).agg(F.max("_last").alias("_end")).select(*own, F.max("_end").over(before).alias("_before"))
     w = Window.partitionBy(*own).orderBy("_t", "_at").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_own", F.max("_last").over(w)).where("_at = 1").join(carried, own)

@@ -12,6 +12,11 @@ def _block(order: str, block: float | None) -> Column:
     return F.lit(0).cast("bigint") if block is None else F.floor(F.col(order) / block)
 
 
+def key_of(keys: list[str]) -> Column:
+    """Keys as one value, whose nulls are equal in joins as they are in groups."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
 def filled(df: DataFrame, keys: list[str], order: str, value: str, limit: int | None = None, block: float | None = None) -> DataFrame:
     """W1. Gaps filled linearly in row order, at most `limit` rows from their start; the last value is repeated after the
     end (as far), and nothing stands before the first. `order` is unique within the keys.
@@ -19,14 +24,14 @@ def filled(df: DataFrame, keys: list[str], order: str, value: str, limit: int |
     block: width of the parts, in units of a numeric `order`, that are worked on apart; what each needs of those before and after
     it (rows, last and next value) comes from a table with a row per part. Without it a series is one part.
     """
-    own = [*keys, "_part"]
+    own = ["_key", "_part"]
     w, down = Window.partitionBy(*own).orderBy(order), Window.partitionBy(*own).orderBy(F.desc(order))
     sofar = (Window.unboundedPreceding, 0)
-    df = df.withColumn("_part", _block(order, block)).withColumn("_n", F.row_number().over(w))
+    df = df.withColumns({"_key": key_of(keys), "_part": _block(order, block)}).withColumn("_n", F.row_number().over(w))
     at = F.when(F.col(value).isNotNull(), F.struct(F.col("_n").cast("bigint").alias("n"), F.col(value).alias("x")))
     df = df.withColumns({"_a": F.last(at, True).over(w.rowsBetween(*sofar)), "_b": F.last(at, True).over(down.rowsBetween(*sofar))})
     parts = df.groupBy(*own).agg(F.count("*").alias("_rows"), F.max(at).alias("_last"), F.min(at).alias("_first"))
-    up, back = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy(*keys).orderBy(F.desc("_part"))
+    up, back = Window.partitionBy("_key").orderBy("_part"), Window.partitionBy("_key").orderBy(F.desc("_part"))
     others = (Window.unboundedPreceding, -1)
     parts = parts.withColumn("_skip", F.coalesce(F.sum("_rows").over(up.rowsBetween(*others)), F.lit(0)))
     moved = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.n") + F.col("_skip")).alias("n"), F.col(f"{c}.x").alias("x")))
@@ -35,7 +40,7 @@ def filled(df: DataFrame, keys: list[str], order: str, value: str, limit: int |
     a, b, n = F.coalesce(moved("_a"), F.col("_pa")), F.coalesce(moved("_b"), F.col("_pb")), F.col("_n") + F.col("_skip")
     line = F.when(b.isNull(), a.x).otherwise(a.x + (b.x - a.x) * F.try_divide(n - a.n, b.n - a.n))
     near = F.lit(True) if limit is None else (n - a.n) <= limit
-    return df.withColumn(value, F.coalesce(F.col(value), F.when(a.isNotNull() & near, line))).drop("_part", "_n", "_a", "_b", "_skip", "_pa", "_pb")
+    return df.withColumn(value, F.coalesce(F.col(value), F.when(a.isNotNull() & near, line))).drop("_key", "_part", "_n", "_a", "_b", "_skip", "_pa", "_pb")
 
 
 def rolled_months(df: DataFrame, keys: list[str], order: str, day: str, block: float | None = None) -> DataFrame:
@@ -43,16 +48,16 @@ def rolled_months(df: DataFrame, keys: list[str], order: str, day: str, block: f
 
     block: as in `filled`; parts carry over how often the day fell before them, and the last day.
     """
-    own = [*keys, "_part"]
+    own = ["_key", "_part"]
     w = Window.partitionBy(*own).orderBy(order)
     fell = F.when(F.col(day) < F.lag(day).over(w), 1).otherwise(0)
-    df = df.withColumn("_part", _block(order, block)).withColumn("_f", fell)
+    df = df.withColumns({"_key": key_of(keys), "_part": _block(order, block)}).withColumn("_f", fell)
     df = df.withColumn("_m", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = df.groupBy(*own).agg(F.sum("_f").alias("_falls"), F.min_by(day, order).alias("_first"), F.max_by(day, order).alias("_last"))
-    up = Window.partitionBy(*keys).orderBy("_part")
+    up = Window.partitionBy("_key").orderBy("_part")
     parts = parts.withColumn("_edge", F.when(F.col("_first") < F.lag("_last").over(up), 1).otherwise(0))
     before = F.coalesce(F.sum(F.col("_falls")).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_edge").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(parts.select(*own, before.alias("_before")), own).withColumn("months", F.col("_m") + F.col("_before")).drop("_part", "_f", "_m", "_before")
+    return df.join(parts.select(*own, before.alias("_before")), own).withColumn("months", F.col("_m") + F.col("_before")).drop("_key", "_part", "_f", "_m", "_before")
 
 
 def lead_index(df: DataFrame, keys: list[str], time: str = "valid_time") -> DataFrame:

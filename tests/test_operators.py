@@ -159,3 +159,43 @@ def test_distances(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0), (50.0, 10.0, 50.5, 10.5), (1.0, 1.0, 1.0, 1.0), (0.0, 359.9, 0.0, 0.1)], "a double, b double, x double, y double")
     got = df.select(c.great_circle_km(*[F.col(k) for k in "abxy"]).alias("s"), c.ellipsoid_km(*[F.col(k) for k in "abxy"]).alias("e")).collect()
     assert got[0]["e"] == pytest.approx(111.3195, abs=1e-3) and got[1]["e"] == pytest.approx(got[1]["s"], rel=0.006) and got[2]["e"] == 0 and got[3]["s"] == pytest.approx(22.239, abs=1e-3)
+
+
+def test_parts_of_a_series_agree_with_the_whole(spark):
+    """Gaps and roll-overs across parts, parts without a value, series that begin or end with gaps."""
+    import random
+
+    from swellframe.operators import windows
+
+    r = random.Random(5)
+    rows = [(k, i * 7, None if r.random() < 0.6 or 20 <= i < 60 else r.random(), r.randint(1, 28)) for k in (1, 2, None) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, t bigint, x double, day int").repartition(3)
+    for limit in (None, 3):
+        whole = sorted(windows.filled(df, ["k"], "t", "x", limit).collect(), key=str)
+        assert len(whole) == len(rows) and whole == sorted(windows.filled(df, ["k"], "t", "x", limit, 50).collect(), key=str)
+    whole = sorted(windows.rolled_months(df, ["k"], "t", "day").collect(), key=str)
+    assert len(whole) == len(rows) and whole == sorted(windows.rolled_months(df, ["k"], "t", "day", 33).collect(), key=str)
+
+
+def test_as_of_far_back_and_answers_by_keys(spark):
+    from swellframe.operators import timejoin
+
+    rows = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("a", 900000.0), ("b", 1.0), (None, 3.0)], "k string, time double")
+    steps = spark.createDataFrame([("a", 2.0), ("a", 3.0), ("b", 7.0)], "k string, step_time double")
+    got = timejoin.as_of(rows, steps, ["k"], width=10.0).collect()
+    assert sorted((x["k"], x["time"], x["step_time"]) for x in got if x["step_time"]) == [("a", 5.0, 3.0), ("a", 5.0, 3.0), ("a", 900000.0, 3.0)] and len(got) == 5
+    table = spark.createDataFrame([("a", 6.0, 1), ("a", 4.0, 2), ("b", 50.0, 3)], "k string, time double, v int")
+    near = timejoin.nearest_in_time(rows, table, ["k"], ["v"], 2.0)
+    assert sorted((x["k"] or "", x["time"], x["v"] or 0) for x in near.collect()) == [("", 3.0, 0), ("a", 5.0, 2), ("a", 5.0, 2), ("a", 900000.0, 0), ("b", 1.0, 0)]
+    model = spark.createDataFrame([(100000,), (200000,)], "valid_time bigint")
+    seen = spark.createDataFrame([(1.0,), (95000.0,), (210000.0,), (220000.0,)], "time double")
+    assert [x["time"] for x in timejoin.within_extent(seen, model).orderBy("time").collect()] == [95000.0, 210000.0]
+    assert timejoin.within_extent(seen, model.limit(0)).count() == 0
+
+
+def test_csv_at_any_size(spark, tmp_path):
+    from swellframe.sources import sinks
+
+    df = spark.range(10).selectExpr("id", "id / 7 as hs")
+    assert sinks.write_altimeter_csv(df, str(tmp_path / "a")) and spark.read.csv(str(tmp_path / "a"), header=True).count() == 10
+    assert not sinks.write_altimeter_csv(df, str(tmp_path / "b"), most_rows=10) and not (tmp_path / "b").exists()
