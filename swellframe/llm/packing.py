@@ -93,6 +93,9 @@ class Encoder:
                 words.append(2)
             elif max(c) < LETTERS_TO:
                 own = WORDS.findall(c)
+                if not own:  # white space that the splitting leaves at the end of a blank text
+                    out[c] = b""
+                    continue
                 texts.append(" ".join(own))
                 words.append(len(own))
             else:

@@ -192,7 +192,7 @@ def test_toxicity_edges_and_held_out_labels(spark):
 
 
 def test_packing(spark):
-    texts = ["it's DON'T we'LL", "x² Ⅷ ٣ é İstanbul ΣΑΣ 日本語 \U0001d518", "a\x1cb c d", "<|endoftext|>", "", None, "the quick brown fox " * 40, "same", "same", "word " * 130]
+    texts = ["it's DON'T we'LL", "x² Ⅷ ٣ é İstanbul ΣΑΣ 日本語 \U0001d518", "a\x1cb c d", "<|endoftext|>", "", None, "the quick brown fox " * 40, "same", "same", "word " * 130, "  \n\t", " a \t", "\u00a0\n", "x" * 3000]
     rows = [(i % 8, t) for i, t in enumerate(texts)] + [(None, "none")]
     got = packing.packed_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), TOKENIZER, 64, partitions=3).collect()
     tk = Tokenizer.from_file(TOKENIZER)
