@@ -17,7 +17,7 @@ SMALL_GROUP, GROUP_BYTES, FEW_GROUPS = 2 << 20, 16 << 20, 4096
 #: Rows of ids and hashes that are broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a batch of texts in its way to Python, and of one that is compressed for its groups.
-ARROW_BYTES, PACKED_BYTES = 1 << 20, 8 << 20
+ARROW_BYTES, PACKED_BYTES = 1 << 20, 4 << 20
 #: Upper bound of hash buckets; beyond it the buckets grow instead (at 100 TB: the anchors of about 400 MB of text each).
 MAX_BUCKETS = 1 << 18
 

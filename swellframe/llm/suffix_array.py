@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_of, dealt_text, group_counts, keyed, kind_of, mix, pieces, releasing, Rolling, runs, split_by_repeats, text_bytes, text_of, unpack
 
 #: Bytes of text that are hashed at once, and whose segments are compared before they are sent.
-SLICE, COMPARED = 1 << 19, 3 << 20
+SLICE, COMPARED = 1 << 18, 2 << 20
 #: A longer text is worked on in parts that overlap.
 LONGEST = 64 << 20
 #: Bits of a position in the packed (hash, position) keys of the sliding minimum.
