@@ -84,14 +84,13 @@ def model_fields(df: DataFrame) -> DataFrame:
 def spectrum_station(spectra: DataFrame, station: str | int) -> DataFrame:
     """S16. Spectra of a station by name, or by its place in name order for a number below 1000, with mean position and wind."""
     if isinstance(station, int) and station < 1000:
-        names = spectra.select("station").distinct()
-        rank = names.withColumn("_c", F.lit(1)).alias("a").join(names.alias("b"), F.col("b.station") <= F.col("a.station"), "left").groupBy("a.station").count()
-        name = rank.where(F.col("count") == station + 1).select("station")
-        own = spectra.join(F.broadcast(name), "station", "left_semi")
+        first = spectra.select("station").distinct().orderBy("station").limit(station + 1)
+        name = first.agg(F.max("station").alias("station"), F.count("*").alias("n")).where(F.col("n") == station + 1).select("station")
+        own = spectra.join(F.broadcast(name), "station", "left_semi")  # one row
     else:
         own = spectra.where(F.col("station") == str(station))
     mean = own.groupBy("station").agg(*[F.avg(c).alias(f"mean_{c}") for c in ("lat", "lon", "depth") if c in own.columns])
-    return own.join(F.broadcast(mean), "station")
+    return own.join(F.broadcast(mean), "station")  # one row, of one station
 
 
 def grid_info(spark: SparkSession, paths: list[str] | str, optional: tuple[str, ...] = ("distcoast", "depth", "ocean_id", "zone_id", "offshore_id")) -> DataFrame:
