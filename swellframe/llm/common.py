@@ -16,23 +16,14 @@ from pyspark.sql import functions as F
 SMALL_GROUP, GROUP_BYTES, FEW_GROUPS = 2 << 20, 16 << 20, 4096
 #: Rows of ids and hashes that are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of a batch of texts in its way to Python, and of one that is compressed for its groups.
-ARROW_BYTES, PACKED_BYTES = 1 << 20, 4 << 20
+#: Bytes of texts that are compressed together for their groups.
+PACKED_BYTES = 16 << 20
 #: Upper bound of hash buckets; beyond it the buckets grow instead (at 100 TB: the anchors of about 400 MB of text each).
 MAX_BUCKETS = 1 << 18
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of ARROW_BYTES, where the session has Spark's default of 64 MB. The JVM takes memory for a batch outside its
-    heap, and what large ones leave behind in each thread's share of it is not given back; Python puts small ones together."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "1b") == "67108864b":
-        spark.conf.set(key, f"{ARROW_BYTES}b")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary folder is set in local mode (tests) only."""
-    bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -60,7 +51,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carri
     Where they don't, k and first are the doc_id. Otherwise the rows are ordered by doc_id (nulls last), then by a hash of
     the text, numbered, and written once, so that each row is a document of its own.
     """
-    bound_batches(docs.sparkSession)
     rest = [F.col(c).alias(f"x{i}") for i, c in enumerate(carried)]
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     names = ["doc_id", "k", "first", "text", *(f"x{i}" for i in range(len(carried)))]

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import releasing, slices, stored
+from .common import release, releasing, slices, stored
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
 CACHE = 75_000
@@ -60,10 +60,12 @@ def tokenizers_of(path: str):
     """The tokenizer of a file, and one for words that are normalised and cut already; loaded once in a worker."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    plain = Tokenizer.from_file(path)
+    whole = Tokenizer.from_file(path)
+    plain = Tokenizer(whole.model)  # the same model, not a copy
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    return Tokenizer.from_file(path), plain
+    release()
+    return whole, plain
 
 
 class Encoder:
