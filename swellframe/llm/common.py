@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -70,10 +72,30 @@ def text_key() -> Column:
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows (doc_id, of_text; written already), with the columns they came with."""
-    gone = rows.select(F.col("doc_id").alias("gone_id"), F.col("of_text").alias("gone_text")).distinct()
+    """docs without the rows (doc_id, of_text; written already), with the columns they came with, whatever their names."""
+    ids, of_text = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no column of docs has such a name
+    gone = rows.select(F.col("doc_id").alias(ids), F.col("of_text").alias(of_text)).distinct()
     gone = F.broadcast(gone) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_text")), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(ids)) & (text_key() == F.col(of_text)), "left_anti")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, n: str, columns: list[str]) -> DataFrame:
+    """rows with the columns of the group that they belong to (nulls are a key too). groups: key (one row each), n (rows of it) and columns.
+
+    Groups beyond a counted bound meet their rows by shuffle, but for those with a thousandth of the rows or more: these are a thousand at most, and
+    are broadcast, so that no task gathers the rows of a common key.
+    """
+    own = f"_{uuid.uuid4().hex}"
+    g = groups.select(F.col(key).alias(own), F.col(n).alias(f"{own}n"), *columns)
+    joined = lambda r, g: r.join(g.drop(f"{own}n"), F.col(key).eqNullSafe(F.col(own)), "left").drop(own)
+    if g.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return joined(rows, F.broadcast(g))
+    total = groups.agg(F.sum(n).alias("n")).first()["n"]
+    is_hot = F.col(f"{own}n") * 1000 >= total
+    hot = F.broadcast(g.where(is_hot))
+    common = rows.join(hot, F.col(key).eqNullSafe(F.col(own)), "left_semi")
+    others = rows.join(hot, F.col(key).eqNullSafe(F.col(own)), "left_anti")
+    return joined(common, hot).unionByName(joined(others, g.where(~is_hot)))
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -225,6 +247,13 @@ def release() -> None:
         trim(0)
 
 
+def worker_state(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker. Functions of this package travel by value, so their module's globals are new in each
+    task; this one hangs on a module of its own, which no executor needs to find."""
+    module = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state"))
+    return module.__dict__.setdefault(name, {})
+
+
 def releasing(f):
     """A function of batches that gives its memory back when it ends."""
 

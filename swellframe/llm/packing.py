@@ -22,7 +22,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, releasing, slices, stored
+from .common import release, releasing, slices, stored, worker_state
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
 CACHE = 75_000
@@ -55,17 +55,21 @@ LETTERS_TO = "\u0530"
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-@lru_cache(1)
 def tokenizers_of(path: str):
     """The tokenizer of a file, and one for words that are normalised and cut already; loaded once in a worker."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+    kept = worker_state("tokenizers")
+    if path in kept:
+        return kept[path]
     whole = Tokenizer.from_file(path)
     plain = Tokenizer(whole.model)  # the same model, not a copy
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     release()
-    return whole, plain
+    kept.clear()
+    kept[path] = whole, plain
+    return kept[path]
 
 
 class Encoder:
