@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license, media, packing, simhash, substring, suffix_array, toxicity, url_filter, warc
+from . import decontam, host_rules, lexical, license, media, packing, simhash, substring, suffix_array, toxicity, url_filter, vector_codes, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,8 +59,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judged(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter, op6_media_columns, pages_interleaved, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_decontamination)
+    found = (op1_warc, op2_simhash, op3_substring_dedup, op4_suffix_array_dedup, op5_url_filter, op6_media_columns, pages_interleaved, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_decontamination, op11_vector_codes, op12_ranked_search, op13_host_rules)
     return {f.__name__: f for f in found}
 
 
@@ -69,4 +81,7 @@ def oracle_sql() -> dict:
         "op1_warc": warc.SQL,
         "op7_license_scan": license.SQL,
         "op10_decontamination": decontam.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op12_ranked_search": lexical.SQL,
+        "op13_host_rules": host_rules.SQL,
     }
