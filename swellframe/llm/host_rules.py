@@ -9,8 +9,9 @@ The prior is a beta distribution for each rule, fitted to the hosts by moments:
 left of the variance of the hosts' rates when the variance of sampling is taken out (between LEAST and MOST documents' worth). A host with few documents is judged by
 the prior, one with many by its own rate.
 
-Windows of a text are sorted within its row: equal neighbours are repeats, and the distances of their sorted places give the words that they cover; a row's cost is n log n
-and nothing of the text is shuffled. Counts are written once (five numbers a row); sums by host are pre-aggregated, and verdicts go back by
+Windows of a text are sorted within its row by numbers of hash and place. Where neighbours with equal hashes have equal words, these are the repeats; otherwise, or in texts
+of more words than a place can hold, the words themselves are sorted. The distances of the sorted places give the words that repeats cover. A row's cost is n log n and
+nothing of the text is shuffled. Counts are written once (five numbers a row); sums by host are pre-aggregated, and verdicts go back by
 `with_group`, which splits common hosts.
 
 Words are runs of other than space and bytes 9 to 13; lines end with \\n, and one with a word counts if it equals an earlier one. Defined results: a null text has no words and
@@ -37,6 +38,8 @@ HOST_RULES = {
     "lines": ("10 * n_dup_lines > 3 * n_lines", 0.5),
     "letters": ("word_chars < 3 * n_words or word_chars > 12 * n_words", 0.5),
 }
+#: Bits of a window's number that hold its place in the text, below those of its hash.
+PLACES = (1 << 24) - 1
 #: Bounds of the prior's strength.
 LEAST, MOST = 2.0, 1000.0
 
@@ -45,21 +48,33 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
+def repeated_by_words(z: str) -> Column:
+    """Places of windows (an array of structs of words) that stand twice or more, by sorting the words themselves."""
+    in_order = F.sort_array(F.transform(z, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    neighbours = lambda s: F.filter(s, lambda x, k: F.coalesce(x.w == F.get(s, k - 1).w, F.lit(False)) | F.coalesce(x.w == F.get(s, k + 1).w, F.lit(False)))
+    # the array of one array binds the sorted windows to a name: they are sorted once
+    return F.transform(F.element_at(F.transform(F.array(in_order), neighbours), 1), lambda x: x.i)
+
+
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, a row per row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"))
     d = d.withColumn("ws", F.array_remove(F.split("text", SPACE), "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    each = [F.slice("ws", k + 1, F.greatest(F.size("ws") - WINDOW + 1, F.lit(0))).alias(f"w{k}") for k in range(WINDOW)]
     d = d.select(
-        "doc_id", "host", "ws", F.size("ws").alias("n_words"), F.length(F.array_join("ws", "")).alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
-        F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        "doc_id", "host", F.size("ws").alias("n_words"), F.length(F.array_join("ws", "")).alias("word_chars"), (F.size(F.split("text", f"[{SYMBOLS}]")) - 1).alias("n_symbols"),
+        F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.arrays_zip(*each).alias("z"),
     )
-    window = lambda i: F.struct(F.concat_ws(" ", *(F.get("ws", i + k) for k in range(WINDOW))).alias("w"), i.alias("i"))
-    none = F.array().cast("array<struct<w:string,i:int>>")
-    # one more projection for each array that a lambda looks into: it is made once for a row
-    d = d.withColumn("s", F.when(F.col("n_words") > WINDOW, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), window))).otherwise(none)).drop("ws")
-    same = lambda x, k: F.coalesce(x.w == F.get("s", k - 1).w, F.lit(False)) | F.coalesce(x.w == F.get("s", k + 1).w, F.lit(False))
-    d = d.withColumn("at", F.sort_array(F.transform(F.filter("s", same), lambda x: x.i))).drop("s")
+    # a projection for each array that is looked into: it is made once for a row
+    place = lambda x: x.bitwiseAND(F.lit(PLACES)).cast("int")
+    d = d.withColumn("h", F.sort_array(F.transform("z", lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~PLACES)).bitwiseOR(i.cast("bigint")))))
+    before = F.concat(F.array(F.lit(None).cast("bigint")), "h")
+    d = d.withColumn("r", F.filter(F.arrays_zip(F.col("h").alias("b"), before.alias("a")), lambda x: x.a.bitwiseXOR(x.b).bitwiseAND(F.lit(~PLACES)) == 0)).drop("h")
+    equal = F.forall("r", lambda x: F.get("z", place(x.a)) == F.get("z", place(x.b)))
+    by_hash = F.array_distinct(F.concat(F.transform("r", lambda x: place(x.a)), F.transform("r", lambda x: place(x.b))))
+    exact = F.when((F.size("z") <= PLACES) & equal, by_hash).otherwise(repeated_by_words("z"))
+    d = d.withColumn("at", F.sort_array(exact)).drop("z", "r")
     covered = _total(F.transform("at", lambda x, k: F.least(F.lit(WINDOW), x - F.get("at", k - 1))))  # the first has none before it, and least() skips nulls
     d = d.withColumn("n_repeat_words", covered).drop("at")
     numbers = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
