@@ -120,3 +120,31 @@ def nearest_index(x: Column, first: float, step: float, size: int, wrap: bool =
     """Index of the nearest point of a regular axis; the lower one halfway between two."""
     i = F.ceil((x - first) / step - 0.5).cast("int")
     return F.pmod(i, F.lit(size)) if wrap else F.greatest(F.lit(0), F.least(i, F.lit(size - 1)))
+
+
+def axis_count(axis: list[float], x: Column) -> Column:
+    """How many values of an ascending axis are at most x: a binary search, a step for each bit of the axis' size."""
+    values, steps = F.array(*[F.lit(float(a)) for a in axis]), [1 << k for k in reversed(range(len(axis).bit_length()))]
+    go = lambda at, step: F.when((at + step <= len(axis)) & (F.get(values, at + step - 1) <= x), at + step).otherwise(at)
+    return F.when(x.isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), go))
+
+
+def axis_bracket(axis: list[float], x: Column) -> tuple[Column, Column]:
+    """Index of the axis value at or below x, and the fraction of the way to the next one (0 on the last); null outside the axis."""
+    i = axis_count(axis, x) - 1
+    values = F.array(*[F.lit(float(a)) for a in axis])
+    a, b = F.get(values, i), F.get(values, i + 1)
+    inside = (x >= axis[0]) & (x <= axis[-1])
+    return F.when(inside, i), F.when(inside, F.coalesce((x - a) / (b - a), F.lit(0.0)))
+
+
+def axis_nearest(axis: list[float], x: Column, period: float | None = None) -> Column:
+    """Index of the nearest value of an ascending axis, the lower one halfway between two. With a period (of longitudes), the axis goes on in both
+    directions; x is within it."""
+    n = len(axis)
+    own = [axis[-1] - period, *axis, axis[0] + period] if period else list(axis)
+    values = F.array(*[F.lit(float(a)) for a in own])
+    i = F.greatest(axis_count(own, x) - 1, F.lit(0))
+    a, b = F.get(values, i), F.get(values, i + 1)
+    at = F.when(b - x < x - a, i + 1).otherwise(i)
+    return F.when(x.isNotNull(), F.pmod(at - 1, F.lit(n)) if period else at).cast("int")

@@ -51,6 +51,15 @@ def brier(members: Column, obs: Column, threshold: Column | float, kind: str = "
     return _total(F.transform(members, lambda x: F.pow((x >= threshold).cast("double") - hit, 2))) / F.size(members)
 
 
+def brier_score(joined: DataFrame, keys: list[str], members: str, obs: str, threshold: float | None = None, kind: str = "member") -> DataFrame:
+    """A18. Mean Brier score by keys: keys, brier. Without a threshold, it is the mean of all observations."""
+    rows = joined.select(*keys, F.col(members).alias("_m"), F.col(obs).alias("_o"))
+    if threshold is None:
+        mean = joined.agg(F.avg(obs).alias("_t"))
+        rows = rows.crossJoin(F.broadcast(mean))  # one row
+    return rows.groupBy(*keys).agg(F.avg(brier(F.col("_m"), F.col("_o"), F.lit(threshold) if threshold is not None else F.col("_t"), kind)).alias("brier"))
+
+
 def rank_of(members: Column, obs: Column, keys: list[str], seed: int = 1, draw: Column | None = None) -> Column:
     """A15. Rank of the observation, from 1; among ties a place drawn by a hash of the keys, or by a number of the caller."""
     below = F.size(F.filter(members, lambda x: x < obs))

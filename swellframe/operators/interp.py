@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import axis_bracket
+
 
 def _bracket(x: Column, first: float, step: float) -> tuple[Column, Column]:
     """Lower index and fraction on a regular axis."""
@@ -13,14 +15,11 @@ def _bracket(x: Column, first: float, step: float) -> tuple[Column, Column]:
     return i, p - i
 
 
-def trilinear(rows: DataFrame, field: DataFrame, values: list[str], key: str, lat0: float, dlat: float, nlat: int, lon0: float, dlon: float, nlon: int, t0: float, dt: float, nt: int, wrap: bool = False) -> DataFrame:
-    """J10. Field values at the place and time of each row; null outside the axes or where a corner is missing.
-
-    Each row lists its corners with a weight (corners of weight 0 are left out), which join the field by index; the field is first
-    cut to the corners that any row asks for.
-    rows: key, lat, lon, time. field: t_idx, lat_idx, lon_idx and values.
-    """
-    (i, a), (j, b), (k, c) = _bracket(F.col("lat"), lat0, dlat), _bracket(F.col("lon"), lon0, dlon), _bracket(F.col("time"), t0, dt)
+def _interpolated(rows: DataFrame, field: DataFrame, values: list[str], key: str, brackets, sizes: tuple[int, int, int], wrap: bool) -> DataFrame:
+    """Each row lists its corners with a weight (corners of weight 0 are left out), which join the field by index; the field is first
+    cut to the corners that any row asks for. brackets: lower index and fraction of lat, lon and time."""
+    (i, a), (j, b), (k, c) = brackets
+    nlat, nlon, nt = sizes
     r = rows.select(key, i.alias("i"), a.alias("a"), j.alias("j"), b.alias("b"), k.alias("k"), c.alias("c"))
     ends = lambda n, w: F.array(F.struct(F.col(n).alias("n"), (1 - F.col(w)).alias("w")), F.struct((F.col(n) + 1).alias("n"), F.col(w).alias("w")))
     for n, w, out in (("i", "a", "la"), ("j", "b", "lo"), ("k", "c", "ti")):
@@ -36,6 +35,26 @@ def trilinear(rows: DataFrame, field: DataFrame, values: list[str], key: str, la
     return rows.join(out.select(key, *[F.when(F.col("_in"), F.col(v)).alias(v) for v in values]), key, "left")
 
 
+def on_axes(rows: DataFrame, field: DataFrame, values: list[str], key: str, lats: list[float], lons: list[float], times: list[float], period: float | None = None) -> DataFrame:
+    """J10, J12. As `trilinear`, between the values of any ascending axes. With a period (of longitudes), the last longitude is followed by the first; rows are within it.
+
+    rows: key, lat, lon, time. field: t_idx, lat_idx, lon_idx and values; indices count from 0 along the axes.
+    """
+    turn = [lons[-1] - period, *lons, lons[0] + period] if period else lons
+    j, b = axis_bracket(turn, F.col("lon"))
+    brackets = (axis_bracket(lats, F.col("lat")), (j - 1 if period else j, b), axis_bracket(times, F.col("time")))
+    return _interpolated(rows, field, values, key, brackets, (len(lats), len(lons), len(times)), period is not None)
+
+
+def trilinear(rows: DataFrame, field: DataFrame, values: list[str], key: str, lat0: float, dlat: float, nlat: int, lon0: float, dlon: float, nlon: int, t0: float, dt: float, nt: int, wrap: bool = False) -> DataFrame:
+    """J10. Field values at the place and time of each row, on regular axes; null outside the axes or where a corner is missing.
+
+    rows: key, lat, lon, time. field: t_idx, lat_idx, lon_idx and values.
+    """
+    brackets = (_bracket(F.col("lat"), lat0, dlat), _bracket(F.col("lon"), lon0, dlon), _bracket(F.col("time"), t0, dt))
+    return _interpolated(rows, field, values, key, brackets, (nlat, nlon, nt), wrap)
+
+
 def bilinear(cells: DataFrame, source: DataFrame, values: list[str], key: str, lat0: float, dlat: float, nlat: int, lon0: float, dlon: float, nlon: int, wrap: bool = True) -> DataFrame:
     """J12. Bathymetry or coast distance at the cells of another grid: `trilinear` at one time."""
     rows = cells.withColumn("time", F.lit(0.0))

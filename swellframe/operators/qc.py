@@ -90,6 +90,15 @@ def stratum(df: DataFrame, depth: tuple[float, float] | None = None, lat: tuple[
 
 
 def every_kth(df: DataFrame, k: int, keys: list[str], time: str = "time") -> DataFrame:
-    """F9. Every k-th distinct time of a series, from its first."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    return df.withColumn("_n", F.dense_rank().over(w) - 1).where(F.col("_n") % k == 0).drop("_n")
+    """F9. Every k-th distinct time of a series, from its first. Distinct times are ranked, and rows meet those that stay."""
+    own = df.withColumns({"_k": F.struct(*keys), "_t": F.col(time)})
+    times = own.where(F.col(time).isNotNull()).select("_k", "_t").distinct()
+    w = Window.partitionBy("_k").orderBy("_t")
+    kept = times.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") % k == 0).select("_k", "_t")
+    return own.join(kept, ["_k", "_t"], "left_semi").drop("_k", "_t")
+
+
+def numerous(df: DataFrame, keys: list[str], more_than: int = 2) -> DataFrame:
+    """Rows of the keys that have more than so many; none of the others."""
+    enough = df.groupBy(*keys).count().where(F.col("count") > more_than).select(*keys)
+    return df.join(enough, keys, "left_semi")

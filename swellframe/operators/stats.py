@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import smoothed
+from ..storage import stored, with_their_group
+from .order import percentiles, probability_weighted
+from .windows import key_of, smoothed
 
 METRICS = ("n", "bias", "rmse", "nbias", "nrmse", "scrmse", "si", "hh", "cc")
 #: Percentiles of a summary, and of a quantile-quantile table (1 to 95, then denser).
@@ -25,7 +29,9 @@ def correlation(m: Column, o: Column) -> Column:
 
 
 def metric_columns(m: Column, o: Column) -> list[Column]:
-    """A3. Aggregates of (model, observation) pairs: count, bias, RMSE and its relatives; null where undefined."""
+    """A3. Aggregates of (model, observation) pairs: count, bias, RMSE and its relatives; null where undefined. Pairs that lack a side don't count."""
+    both = m.isNotNull() & o.isNotNull()
+    m, o = F.when(both, m), F.when(both, o)
     d = m - o
     bias, square = F.avg(m) - F.avg(o), F.avg(d * d)
     enough = F.count(d) >= 2
@@ -59,51 +65,44 @@ def metrics_by_strata(pairs: DataFrame, keys: list[str], model: str = "model_hs"
 
 
 def tail_errors(pairs: DataFrame, keys: list[str], q: float = 0.95, model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
-    """A4. Bias and RMSE where the observation exceeds its group's percentile. Values are counted before the percentile is taken."""
-    top = pairs.groupBy(*keys, obs).count().groupBy(*keys).agg(F.percentile(obs, q, F.col("count")).alias("bound"))
-    d = F.col(model) - F.col(obs)
-    tail = pairs.join(top, keys).where(F.col(obs) > F.col("bound"))
+    """A4. Bias and RMSE where the observation exceeds its group's percentile, over pairs that have both sides."""
+    m, o = F.col(model).cast("double"), F.col(obs).cast("double")
+    good = pairs.where(m.isNotNull() & o.isNotNull()).select(key_of(keys).alias("_k"), *keys, m.alias("_m"), o.alias("_o"))
+    top = percentiles(good, ["_k"], "_o", (q,)).select("_k", "n", F.col("q")[0].alias("bound"))
+    d = F.col("_m") - F.col("_o")
+    tail = with_their_group(good, stored(top, "bounds"), ["_k"]).where(F.col("_o") > F.col("bound"))
     return tail.groupBy(*keys, "bound").agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse")).where("n >= 2")
 
 
 def summary(df: DataFrame, keys: list[str], value: str, low: float, high: float) -> DataFrame:
     """A1. Mean, variance, skewness, excess kurtosis, extremes and high percentiles of values strictly in (low, high)."""
-    x = F.col(value)
-    ok = df.where((x > low) & (x < high))
-    stats = ok.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("least"), F.max(x).alias("most"))
-    p = ok.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(SUMMARY_P), F.col("count")).alias("p"))
+    x = F.col("_x")
+    more = [F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.min(x).alias("least"), F.max(x).alias("most")]
+    p = percentiles(df.where((F.col(value) > low) & (F.col(value) < high)), keys, value, SUMMARY_P, more)
     names = ["p80", "p90", "p95", "p99", "p999"]
-    return stats.join(p, keys).select("*", *[F.col("p")[i].alias(n) for i, n in enumerate(names)]).drop("p")
+    return p.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)]).drop("q")
 
 
 def l_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A2. L-CV, L-skewness and L-kurtosis. Equal values are counted first, so the window sees distinct values only."""
-    x = F.col(value)
-    counted = df.where(x.isNotNull()).groupBy(*keys, value).agg(F.count("*").cast("double").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
-    falling = lambda i, k: i * (i - 1) * (i - 2 if k > 1 else 1) * (i - 3 if k > 2 else 1) / (k + 1)  # noqa: E731  sums of (i-1)..(i-k)
-    ranked = counted.withColumn("b", upto).withColumn("a", F.col("b") - F.col("c"))
-    n = F.sum("c")
-    b = [F.sum(x * F.col("c")) / n]
-    for k in (1, 2, 3):
-        below = n * (n - 1) * (n - 2 if k > 1 else F.lit(1.0)) * (n - 3 if k > 2 else F.lit(1.0))
-        b.append(F.sum(x * (falling(F.col("b"), k) - falling(F.col("a"), k))) / below)
+    """A2. L-CV, L-skewness and L-kurtosis of groups with four values at least."""
+    b = [F.col(f"b{k}") for k in range(4)]
     l2, l3, l4 = 2 * b[1] - b[0], 6 * b[2] - 6 * b[1] + b[0], 20 * b[3] - 30 * b[2] + 12 * b[1] - b[0]
-    return ranked.groupBy(*keys).agg(n.alias("n"), F.try_divide(l2, b[0]).alias("l_cv"), F.try_divide(l3, l2).alias("l_skewness"), F.try_divide(l4, l2).alias("l_kurtosis")).where("n >= 4")
+    own = probability_weighted(df, keys, value).where("n >= 4")
+    return own.select(*keys, F.col("n").cast("double").alias("n"), F.try_divide(l2, b[0]).alias("l_cv"), F.try_divide(l3, l2).alias("l_skewness"), F.try_divide(l4, l2).alias("l_kurtosis"))
 
 
 def taylor(pairs: DataFrame, keys: list[str], model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
-    """A9. Standard deviations, centred RMS difference and correlation."""
+    """A9. Standard deviations, centred RMS difference and correlation of pairs that have both sides."""
     m, o = F.col(model), F.col(obs)
-    return pairs.groupBy(*keys).agg(F.stddev_pop(o).alias("sd_obs"), F.stddev_pop(m).alias("sd_model"), F.stddev_pop(m - o).alias("crmsd"), correlation(m, o).alias("cc"))
+    return pairs.where(m.isNotNull() & o.isNotNull()).groupBy(*keys).agg(F.stddev_pop(o).alias("sd_obs"), F.stddev_pop(m).alias("sd_model"), F.stddev_pop(m - o).alias("crmsd"), correlation(m, o).alias("cc"))
 
 
 def quantiles(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = QQ_P, accuracy: int | None = None) -> DataFrame:
-    """A11. Percentiles as rows (p, q): exact over counted values, or approximate with a bounded sketch."""
+    """A11. Percentiles as rows (p, q): exact, or approximate with a bounded sketch."""
     if accuracy:
         p = long.groupBy(*keys).agg(F.percentile_approx(value, list(at), accuracy).alias("v"))
     else:
-        p = long.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, list(at), F.col("count")).alias("v"))
+        p = percentiles(long, keys, value, at).withColumnRenamed("q", "v")
     return p.select(*keys, F.posexplode("v").alias("i", "q")).withColumn("p", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1)).select(*keys, "p", "q")
 
 
@@ -118,28 +117,7 @@ def qq_curve(long: DataFrame, keys: list[str], value: str, at: tuple[float, ...]
     """A11. The percentiles as the curve is drawn: smoothed along the probabilities: keys, p, q."""
     place = F.array_position(F.array(*map(F.lit, at)), F.col("p")) - 1
     q = quantiles(long, keys, value, at).withColumn("i", place)
-    return q.join(smoothed(q.select(*keys, "i", "q"), keys, "i", "q", sigma), [*keys, "i"]).select(*keys, "p", F.col("smooth").alias("q"))
-
-
-def density(long: DataFrame, keys: list[str], series: str, value: str, points: int = 100, sigma: float = 1.0) -> DataFrame:
-    """A13. Gaussian kernel densities of each series (observations, models) on one axis for all series of a group, from the least value to 0.99 of the
-    largest, then smoothed: keys, series, i, x, density.
-
-    Values are counted first; the kernel is summed over distinct values. Bandwidth n ** (-1/5) sample deviations of the series.
-    """
-    own = [*keys, series]
-    ok = long.where(F.col(value).isNotNull())
-    counted = ok.groupBy(*own, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    stats = ok.groupBy(*own).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    axis = stats.groupBy(*keys).agg(F.min("lo").alias("lo"), (F.max("hi") * 0.99).alias("hi"))
-    stats = stats.where("n > 1 and s > 0").select(*own, "n", (F.pow("n", F.lit(-0.2)) * F.col("s")).alias("h"))
-    grid = stats.join(axis, keys) if keys else stats.crossJoin(axis)
-    step = (F.col("hi") - F.col("lo")) / (points - 1)
-    grid = grid.select(*own, "n", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + step * i)).alias("i", "x"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    total = F.sum(F.col("c") * F.exp(-z * z / 2)) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
-    raw = counted.join(grid, own).groupBy(*own, "i", "x", "n", "h").agg(total.alias("d")).drop("n", "h")
-    return raw.join(smoothed(raw.select(*own, "i", "d"), own, "i", "d", sigma), [*own, "i"]).select(*own, "i", "x", F.col("smooth").alias("density"))
+    return smoothed(q, keys, "i", "q", sigma, carried=("p",)).select(*keys, "p", F.col("smooth").alias("q"))
 
 
 def density_2d(pairs: DataFrame, low: float, high: float, bins: int, model: str = "model_hs", obs: str = "obs_hs") -> DataFrame:
@@ -166,13 +144,16 @@ def completeness(df: DataFrame, station: str, lat: str, model: str, obs: str) ->
 
 def field_summary(field: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A22. Largest, mean and colour-level percentiles of a field by step."""
-    p = field.groupBy(*keys, value).count().groupBy(*keys).agg(F.percentile(value, [0.99, 0.999, 0.99995], F.col("count")).alias("p"))
-    return field.groupBy(*keys).agg(F.max(value).alias("most"), F.avg(value).alias("mean")).join(p, keys).select(*keys, "most", "mean", *[F.col("p")[i].alias(n) for i, n in enumerate(("p99", "p999", "p99995"))])
+    p = percentiles(field, keys, value, (0.99, 0.999, 0.99995), [F.max("_x").alias("most"), F.avg("_x").alias("mean")])
+    return p.select(*keys, "most", "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(("p99", "p999", "p99995"))])
 
 
 def colour_level(error_map: DataFrame, values: list[str], q: float = 0.99, keys: list[str] | None = None) -> DataFrame:
-    """A8. The level of a map's colours for each value: a high percentile of its absolute cells."""
-    return error_map.groupBy(*(keys or [])).agg(*[F.percentile(F.abs(v), q).alias(v) for v in values])
+    """A8. The level of a map's colours for each value: a high percentile of its absolute cells; null where a value has none."""
+    keys = keys or []
+    levels = [percentiles(error_map.withColumn(v, F.abs(v)), keys, v, (q,)).select(key_of(keys).alias("_k"), F.col("q")[0].alias(v)) for v in values]
+    both = reduce(lambda a, b: a.join(b, "_k", "full"), levels)
+    return both.select(*[F.col(f"_k.{k}") for k in keys], *values)
 
 
 def longest_run(extent: DataFrame) -> DataFrame:

@@ -77,24 +77,44 @@ def reflected(i: Column, n: Column) -> Column:
     return F.when(m < n, m).otherwise(2 * n - 1 - m)
 
 
-def smoothed(df: DataFrame, keys: list[str], index: str, value: str, sigma: float = 1.0) -> DataFrame:
-    """W6. Gaussian smoothing along a dense index from 0, with mirrored edges: keys, index, smooth."""
-    w = gaussian_weights(sigma)
-    radius = len(w) // 2
-    size = df.groupBy(*keys).agg((F.max(index) + 1).alias("_size"))
-    taps = F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda k: F.struct(k.alias("k"), F.element_at(F.array(*map(F.lit, w)), k + radius + 1).alias("w")))
-    out = df.join(size, keys) if keys else df.crossJoin(size)  # one row without keys
-    asked = out.select(*keys, index, "_size", F.inline(taps)).withColumn("_at", reflected(F.col(index) + F.col("k"), F.col("_size")))
-    of = df.select(*keys, F.col(index).alias("_at"), F.col(value).alias("_v"))
-    return asked.join(of, [*keys, "_at"]).groupBy(*keys, index).agg(F.sum(F.col("w") * F.col("_v")).alias("smooth"))
+def smoothed_columns(df: DataFrame, keys: list[str], index: str, values: dict[str, tuple[str, float]], carried: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """W6. Gaussian smoothing along a dense index from 0, with mirrored edges: keys, index, the carried columns, and for each of `values`,
+    out -> (value, sigma), its smoothing.
+
+    A series is cut into blocks; a row also goes to a neighbouring block that it is within reach of. Each block, an array with its halo, is
+    convolved in place: one exchange, and no row per tap. A series that is shorter than the reach is mirrored again.
+    """
+    taps = {out: gaussian_weights(sigma) for out, (_, sigma) in values.items()}
+    reach = max(len(w) for w in taps.values()) // 2
+    block = max(block, 2 * reach)
+    i = F.col(index)
+    b = F.floor(i / block)
+    near = F.array(b, F.when(i % block < reach, b - 1), F.when(block - i % block <= reach, b + 1))
+    entry = F.struct(i.alias("i"), *[F.col(v).cast("double").alias(f"v{k}") for k, (v, _) in enumerate(values.values())], *[F.col(c).alias(f"c{k}") for k, c in enumerate(carried)])
+    rows = df.select(key_of(keys).alias("_k"), entry.alias("_e"), F.explode(F.filter(near, lambda x: x >= 0)).alias("_b"))
+    own = rows.groupBy("_k", "_b").agg(F.sort_array(F.collect_list("_e")).alias("_a"))  # at most block + 2 reach
+    first, size = F.element_at("_a", 1)["i"], F.element_at("_a", -1)["i"] + 1  # without rows of the next block, the last of the series
+    own = own.select("_k", "_b", "_a", first.alias("_first"), size.alias("_size"))
+
+    def at(e: Column) -> Column:
+        made = []
+        for k, (out, w) in enumerate(taps.items()):
+            terms = [F.coalesce(x * F.get("_a", (reflected(e["i"] + (j - len(w) // 2), F.col("_size")) - F.col("_first")).cast("int"))[f"v{k}"], F.lit(0.0)) for j, x in enumerate(w)]
+            made.append(sum(terms[1:], terms[0]).alias(out))
+        return F.struct(e["i"].alias(index), *made, *[e[f"c{k}"].alias(c) for k, c in enumerate(carried)])
+
+    core = F.filter("_a", lambda e: F.floor(e["i"] / block) == F.col("_b"))
+    out = own.select("_k", F.inline(F.transform(core, at)))
+    return out.select(*[F.col(f"_k.{k}") for k in keys], index, *taps, *carried)
+
+
+def smoothed(df: DataFrame, keys: list[str], index: str, value: str, sigma: float = 1.0, carried: tuple[str, ...] = ()) -> DataFrame:
+    """W6. keys, index, smooth, and the carried columns."""
+    return smoothed_columns(df, keys, index, {"smooth": (value, sigma)}, carried)
 
 
 def smoothed_2d(field: DataFrame, keys: list[str], i: str, j: str, value: str, sigma: float = 1.0) -> DataFrame:
-    """W7. Mean of the field, its smoothing with sigma and with sigma / 2; separable, along one axis and then the other."""
-    def both(s: float) -> DataFrame:
-        along = smoothed(field, [*keys, j], i, value, s)
-        return smoothed(along, [*keys, i], j, "smooth", s)
-
-    a, b = both(sigma).withColumnRenamed("smooth", "_s1"), both(sigma / 2).withColumnRenamed("smooth", "_s2")
-    out = field.select(*keys, i, j, value).join(a, [*keys, i, j]).join(b, [*keys, i, j])
-    return out.withColumn("smooth", (F.col(value) + F.col("_s1") + F.col("_s2")) / 3).drop("_s1", "_s2")
+    """W7. Mean of the field, its smoothing with sigma and with sigma / 2; separable: an exchange along one axis, and one along the other."""
+    along = smoothed_columns(field, [*keys, j], i, {"_s1": (value, sigma), "_s2": (value, sigma / 2)}, (value,))
+    out = smoothed_columns(along, [*keys, i], j, {"_t1": ("_s1", sigma), "_t2": ("_s2", sigma / 2)}, (value,))
+    return out.withColumn("smooth", (F.col(value) + F.col("_t1") + F.col("_t2")) / 3).select(*keys, i, j, value, "smooth")

@@ -17,11 +17,11 @@ def J1_window_average(spark, sf_dir):
     return rounded(timejoin.window_average(v.points(spark, sf_dir), v.buoy(spark, sf_dir), ["station"], ["hs", "tp"]))
 
 
-_CODES = "codes as (select satellite_id, slot * 10800 as time, max(code) code from (select satellite_id, floor(time / 10800)::bigint slot, (user_id % 6)::int code from track where event_type in ('error', 'view')) group by 1, 2)"
+_CODES = "codes as (select satellite_id, slot * 10800 as time, max(code) code from (select satellite_id, floor(time / 10800)::bigint slot, (user_id % 6)::int code from track) group by 1, 2)"
 
 
 def _codes(spark, sf_dir):
-    t = v.track(spark, sf_dir).where("event_type in ('error', 'view')")
+    t = v.track(spark, sf_dir)
     return t.groupBy("satellite_id", (F.floor(F.col("time") / 10800) * 10800).alias("time")).agg(F.max((F.col("user_id") % 6).cast("int")).alias("code"))
 
 
@@ -50,11 +50,11 @@ def J3_satellite_matchup(spark, sf_dir):
     return rounded(m.select("src_id", "valid_time", "lat_idx", "lon_idx", "model_hs", F.col("hs").alias("obs_hs"), "model_wnd"))
 
 
-_TARGETS = "targets as (select src_id point_id, time + 600 as time, lat + 0.1::double lat, lon + 0.1::double lon from track where event_type = 'signup')"
+_TARGETS = "targets as (select src_id point_id, time + 600 as time, lat + 0.1::double lat, lon + 0.1::double lon from track)"
 
 
 def _targets(spark, sf_dir):
-    return v.track(spark, sf_dir).where("event_type = 'signup'").select(F.col("src_id").alias("point_id"), (F.col("time") + 600).alias("time"), (F.col("lat") + 0.1).alias("lat"), (F.col("lon") + 0.1).alias("lon"))
+    return v.track(spark, sf_dir).select(F.col("src_id").alias("point_id"), (F.col("time") + 600).alias("time"), (F.col("lat") + 0.1).alias("lat"), (F.col("lon") + 0.1).alias("lon"))
 
 
 def _extraction(values: str) -> str:
@@ -90,14 +90,16 @@ def T2_commonest_mission(spark, sf_dir):
 
 _D = v.great_circle("g.lat", "g.lon", "t.lat", "t.lon")
 _NEAR = v.with_views("track", "grid") + (
-    f", s as (select *, floor(time / 3600 + 0.5)::bigint slot from track), c as (select slot, g.lat_idx, g.lon_idx, src_id, t.hs, t.wnd, {_D} d from s t, grid g where abs(t.time - slot * 3600) < 1800 and abs(t.lat - g.lat) < 1.5 and {_D} <= 110), "
+    f", s as (select * replace (case when src_id % 7 <> 0 then hs end as hs, case when src_id % 11 <> 0 then wnd end as wnd), floor(time / 3600 + 0.5)::bigint slot from track), c as (select slot, g.lat_idx, g.lon_idx, src_id, t.hs, t.wnd, {_D} d from s t, grid g where abs(t.time - slot * 3600) < 1800 and abs(t.lat - g.lat) < 1.5 and {_D} <= 110), "
     "k as (select *, greatest(0, 1 - d / 111.0::double) w from (select *, row_number() over (partition by slot, lat_idx, lon_idx order by d, src_id) r from c) where r <= 8) "
 )
-_GRIDDED = "select slot, lat_idx, lon_idx, sum(w * hs) / sum(w) hs, sum(w * wnd) / sum(w) wnd, case when count(*) > 1 then sqrt(greatest(sum(w) / nullif(sum(w) ** 2 - sum(w * w), 0) * (sum(w * hs * hs) - sum(w * hs) ** 2 / sum(w)), 0)) end hs_std, count(*) n, arg_min(hs, (d, src_id)) hs_nearest from k group by 1, 2, 3"
+_GRIDDED = "select slot, lat_idx, lon_idx, sum(w * hs) / nullif(sum(w) filter (hs is not null), 0) hs, sum(w * wnd) / nullif(sum(w) filter (wnd is not null), 0) wnd, case when count(hs) > 1 then sqrt(greatest(sum(w) filter (hs is not null) / nullif(sum(w) filter (hs is not null) ** 2 - sum(w * w) filter (hs is not null), 0) * (sum(w * hs * hs) - sum(w * hs) ** 2 / sum(w) filter (hs is not null)), 0)) end hs_std, count(*) n, arg_min(hs, (d, src_id)) hs_nearest from k group by 1, 2, 3"
 
 
 def _gridded(spark, sf_dir):
-    return geo.gridded(v.track(spark, sf_dir), v.grid(spark, sf_dir), ["hs", "wnd"], limit=110.0)
+    """Some rows lack the height, some the wind."""
+    t = v.track(spark, sf_dir).withColumns({"hs": F.when(F.col("src_id") % 7 != 0, F.col("hs")), "wnd": F.when(F.col("src_id") % 11 != 0, F.col("wnd"))})
+    return geo.gridded(t, v.grid(spark, sf_dir), ["hs", "wnd"], limit=110.0)
 
 
 @query(_NEAR + f"select slot, lat_idx, lon_idx, round(hs, 5) hs, round(wnd, 5) wnd, round(hs_std, 4) hs_std, n from ({_GRIDDED})")
@@ -141,6 +143,54 @@ def A20_along_track(spark, sf_dir):
     return rounded(geo.along_track(v.track(spark, sf_dir), ["satellite_id"], ["hs", "wnd"]), time=3)
 
 
+_FINAL = _SEG.replace("round(avg(wnd), 6) wnd,", "round(avg(wnd), 6) wnd, round(avg(src_id * 7 % 3000), 6) wdepth, round(avg(src_id * 11 % 400), 6) distcoast,").replace(" select satellite_id, slot, segment, count(*) n", ", g as (select satellite_id, slot, segment, count(*) n", 1)
+
+
+@query(
+    _FINAL + "), h as (select * from g where wdepth >= 80 and distcoast >= 50 and hs > 0.1 and hs < 4 and wnd > 0.2 and wnd < 9 and time between 1704153600 and 1706000000) "
+    "select satellite_id, slot, segment, n, time, lat, hs, wnd, lon, wdepth, distcoast from h where satellite_id in (select satellite_id from h group by 1 having count(*) > 2)"
+)
+def A20_final(spark, sf_dir):
+    """Segments over deep and open water with plausible heights and winds, of missions that have more than two."""
+    t = v.track(spark, sf_dir).withColumns({"wdepth": (F.col("src_id") * 7 % 3000).cast("double"), "distcoast": (F.col("src_id") * 11 % 400).cast("double")})
+    segments = geo.along_track(t, ["satellite_id"], ["hs", "wnd", "wdepth", "distcoast"])
+    return rounded(geo.along_track_final(segments, ["satellite_id"], (0.1, 4.0), (0.2, 9.0), time=(1704153600, 1706000000)), time=3)
+
+
+#: Ascending axes without a fixed step, and their values in SQL.
+AXES = {"lats": [-89 + 2.0 * i + (i % 3) * 0.4 for i in range(90)], "lons": [2.0 * j + (j % 5) * 0.3 for j in range(180)]}
+_LAT, _LON = "(-89 + 2.0::double * i + (i % 3) * 0.4::double)", "(2.0::double * j + (j % 5) * 0.3::double)"
+_AXES = v.with_views("track", "field") + f", la as (select i::int i, {_LAT} y from range(0, 90) r(i)), lo as (select j::int j, {_LON} x from range(0, 180) r(j))"
+
+
+@query(
+    _AXES + ", p as (select distinct lat from track), q as (select distinct lon from track), a as (select lat, arg_min(i, (abs(y - lat), i)) lat_idx from p, la group by 1), b as (select lon, arg_min(j, (least(abs(x - lon), 360 - abs(x - lon)), x > lon, j)) lon_idx from q, lo group by 1) "
+    "select src_id, lat_idx, lon_idx from track join a using (lat) join b using (lon)"
+)
+def J4_nearest_on_axes(spark, sf_dir):
+    """Latitudes and longitudes without a fixed step; longitudes go on beyond the seam."""
+    return geo.nearest_on_axes(v.track(spark, sf_dir), AXES["lats"], AXES["lons"], 360.0).select("src_id", "lat_idx", "lon_idx")
+
+
+_TIMES = [v.SLOT0 * 21600.0 + 21600.0 * k for k in range(12)] + [v.SLOT0 * 21600.0 + 21600.0 * k for k in range(12, 200, 3)]
+
+
+@query(
+    _AXES + f""", ti as (select row_number() over (order by t) - 1 k, t from (select unnest([{", ".join(map(str, _TIMES))}]::double[]) t)), tf as (select lat_idx, lon_idx, k t_idx, hs from field join ti on valid_time = t),
+lb as (select i, y, lead(y) over (order by i) yn from la), ob as (select j, x, coalesce(lead(x) over (order by j), 360 + first(x) over (order by j)) xn from lo), tb as (select k, t, lead(t) over (order by k) tn from ti),
+c as (select src_id, i, case when lat = y then 0 else (lat - y) / (yn - y) end a, j, (lon - x) / (xn - x) b, k, case when time = t then 0 else (time - t) / (tn - t) end c from track join lb on lat >= y and (lat < yn or yn is null and lat = y) join ob on lon >= x and lon < xn join tb on time >= t and (time < tn or tn is null and time = t)),
+w as (select src_id, i + di i, (j + dj) % 180 j, k + dk k, (case di when 1 then a else 1 - a end) * (case dj when 1 then b else 1 - b end) * (case dk when 1 then c else 1 - c end) w from c, range(0, 2) x(di), range(0, 2) y(dj), range(0, 2) z(dk)),
+g as (select src_id, case when count(hs) = count(*) then sum(w * hs) end v from w left join tf on t_idx = k and lat_idx = i and lon_idx = j where w > 0 group by 1)
+select src_id, round(v, 6) model_hs from track left join g using (src_id)"""
+)
+def J10_on_axes(spark, sf_dir):
+    """Steps of six hours, then of eighteen; uneven latitudes and longitudes."""
+    steps = spark.createDataFrame(list(enumerate(_TIMES)), "t_idx int, valid_time double")
+    f = v.field(spark, sf_dir).select("lat_idx", "lon_idx", F.col("valid_time").cast("double").alias("valid_time"), F.col("hs").alias("model_hs")).join(F.broadcast(steps), "valid_time")
+    out = interp.on_axes(_inside(spark, sf_dir), f, ["model_hs"], "src_id", AXES["lats"], AXES["lons"], _TIMES, 360.0)
+    return rounded(out.select("src_id", "model_hs"))
+
+
 _STORM = (
     v.with_views("storms")
     + """, s as (select *, unnest(range(ceil((time - 5401) / 10800)::bigint, floor((time + 5401) / 10800)::bigint + 1)) slot, greatest(0, least(ceil((lat + 89) / 2 - 0.5)::int, 89))::int ci, (ceil(lon / 2 - 0.5)::int % 180)::int cj from storms),
@@ -158,6 +208,31 @@ def J15_storm_footprints(spark, sf_dir):
     return geo.storm_footprints(v.storms(spark, sf_dir), **G)
 
 
+_OCEAN = "o as (select lat_idx, lon_idx, (z <= 0 and k % 11 <> 0) ocean from grid)"
+_STORM_OCEAN = _STORM.replace("with ", f"with {v.with_views('grid').removeprefix('with ').rstrip()}, {_OCEAN}, ", 1)
+
+
+def _ocean(spark, sf_dir):
+    return v.grid(spark, sf_dir).select("lat_idx", "lon_idx", ((F.col("z") <= 0) & (F.col("k") % 11 != 0)).alias("ocean"))
+
+
+@query(_STORM_OCEAN.replace("from c group by", "from c semi join (from o where ocean) using (lat_idx, lon_idx) group by"))
+def J15_over_ocean(spark, sf_dir):
+    return geo.storm_footprints(v.storms(spark, sf_dir), **G, cells=_ocean(spark, sf_dir))
+
+
+@query(
+    _STORM_OCEAN.replace("select slot, lat_idx, lon_idx, arg_max", ", f as (select slot, lat_idx, lon_idx, arg_max") + "), m as (select distinct slot from f) "
+    "select slot, case when not ocean then -1 else coalesce(f.code, 0) end code, count(*) n from o cross join m left join f using (slot, lat_idx, lon_idx) group by all"
+)
+def J15_storm_map(spark, sf_dir):
+    """Cells of the whole map by class: land is -1."""
+    cells, storms = _ocean(spark, sf_dir), v.storms(spark, sf_dir)
+    found = geo.storm_footprints(storms, **G, cells=cells)
+    slots = geo.storm_footprints(storms, **G).select("slot").distinct()
+    return geo.storm_map(found, cells, slots).groupBy("slot", "code").agg(F.count("*").alias("n"))
+
+
 def _inside(spark, sf_dir):
     return v.track(spark, sf_dir).select("src_id", "time", "lat", "lon", "hs")
 
@@ -234,6 +309,27 @@ def J14_grid_zones(spark, sf_dir):
     return zones.tagged(g, _polygons(spark, sf_dir), "k", land="land").select("lat_idx", "lon_idx", "zone_id")
 
 
+def _with_holes(spark, sf_dir):
+    """Frames that stand across the seam for some nations: a square of 24 degrees with a hole of 8, and an island in it."""
+    n = v.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("zone_id"), ((F.col("n_nationkey") * 14 % 360).cast("double") + 0.013).alias("x"), ((F.col("n_nationkey") * 4 - 55).cast("double") + 0.03).alias("y"))
+    wrapped = lambda x: F.when(x > 180, x - 360).otherwise(x)
+    at = lambda dx, dy: F.struct(wrapped(F.col("x") + dx).alias("lon"), (F.col("y") + dy).alias("lat"))
+    square = lambda a, b: F.array(at(a, a), at(b, a), at(b, b), at(a, b))
+    return n.select("zone_id", F.col("zone_id").alias("zone_order"), F.array(square(0, 24), square(8, 16), square(11, 13)).alias("rings"))
+
+
+_FRAME = " or ".join(f"(lon + s > ox + {a} and lon + s < ox + {b} and lat > oy + {a} and lat < oy + {b})" for a, b in ((0, 24),))
+_IN_HOLE, _ON_ISLAND = (_FRAME.replace("+ 0 ", f"+ {a} ").replace("+ 24 ", f"+ {b} ").replace("+ 24)", f"+ {b})") for a, b in ((8, 16), (11, 13)))
+
+
+@query(
+    v.with_views("track") + f""", x as (select n_nationkey z, (n_nationkey * 14 % 360)::double + 0.013::double ox, (n_nationkey * 4 - 55)::double + 0.03::double oy from nation)
+select src_id, coalesce(max(z), 0)::int zone_id from track left join (select * from x, (values (0.0::double), (360.0::double)) r(s)) y on ({_FRAME}) and (not ({_IN_HOLE}) or ({_ON_ISLAND})) group by src_id"""
+)
+def J14_zones_with_holes(spark, sf_dir):
+    return zones.tagged(v.track(spark, sf_dir).select("src_id", "lat", "lon"), _with_holes(spark, sf_dir), "src_id").select("src_id", "zone_id")
+
+
 @query(v.with_views("buoy") + ", a as (select station, time, hs, 'a' source from buoy where station % 3 <> 0), b as (select station, time, tp hs, 'b' source from buoy where station % 2 = 0) select station, source, count(*) n, round(sum(hs), 4) total from (from a union all (from b where station not in (select station from a))) group by all")
 def J16_source_fallback(spark, sf_dir):
     b = v.buoy(spark, sf_dir)

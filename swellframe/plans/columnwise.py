@@ -246,6 +246,19 @@ def S4_altimeter_tiles(spark, sf_dir):
     return rounded(tables.altimeter_tiles(raw, "JASON3", 1704153600, 1706000000, least=1).select(F.col("id").alias("src_id"), "swh", "wdepth"))
 
 
+_CHECKED = _TRACK + ", a as (select *, src_id % 3000 wdepth, src_id * 11 % 400 dc, (src_id % 20) / 10.0::double sd, (src_id % 13) / 13.0::double s0, src_id % 30 nb, src_id % 4 q from track where satellite_id = 1 and time between 1704153600 and 1706000000)"
+
+
+@query(_CHECKED + " select src_id, round(hs * 0.98::double, 6) hs_cal, round(wnd, 6) wnd from a where wdepth >= 80 and dc >= 50 and sd <= 1.5 and s0 <= 0.8 and nb >= 17 and q <= 2 and hs > 0.1 and hs < 20 and hs * 0.98::double > 0.1 and wnd > 0.2 and wnd < 60 and wnd * 0.97::double > 0.2 and (select count(*) from a) > 2")
+def S4_checked_tiles(spark, sf_dir):
+    i = F.col("src_id")
+    t = v.track(spark, sf_dir).where("satellite_id = 1").withColumns({"mission": F.lit("JASON3"), "tile_lat": F.floor("lat").cast("int"), "tile_lon": F.floor("lon").cast("int"), "bot_depth": -(i % 3000).cast("double"), "dist2coast": (i * 11 % 400).cast("double"), "wspd": F.col("wnd"), "wspd_cal": F.col("wnd") * 0.97})
+    made = {"swh": F.col("hs"), "swh_cal": F.col("hs") * 0.98, "swh_std": i % 20 / 10.0, "sig0_std": i % 13 / 13.0, "n_obs": i % 30, "qc": (i % 4).cast("double"), "id": i}
+    raw = t.withColumns({f"{k}_{b}": c for k, c in made.items() for b in ("ku", "ka")})
+    tiles = tables.altimeter_tiles(raw, "JASON3", 1704153600, 1706000000, least=0)
+    return rounded(tables.checked_tiles(tiles, 1704153600, 1706000000).select(F.col("id").alias("src_id"), "hs_cal", "wnd"))
+
+
 @query("select vec_id, i::int cell, round(embedding[i + 1]::double, 6) wspd_cal, case when i % 5 = 0 then 999.0 else i * 10.0 end::double wnd_dir from embeddings, range(0, 64) r(i) where (vec_id + i) % 3 <> 0")
 def S5_scatterometer(spark, sf_dir):
     i = F.sequence(F.lit(0), F.lit(63))

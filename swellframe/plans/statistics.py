@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ensemble, qc, stats, windows
+from ..operators import density, ensemble, qc, stats, windows
 from . import views as v
 from .registry import query, rounded
 
@@ -35,6 +35,16 @@ _PAIRS = v.with_views("pairs")
 _OK = _PAIRS + f", ok as (select * from pairs where {QC_SQL}) "
 
 
+#: Some pairs lack the model, some the observation.
+_GAPS = _PAIRS + """, gaps as (select * exclude (model_hs, obs_hs), case when l_partkey % 13 <> 0 then model_hs end model_hs, case when l_orderkey % 7 <> 0 then obs_hs end obs_hs from pairs),
+full_pairs as (select * from gaps where model_hs is not null and obs_hs is not null) """
+
+
+def gappy(spark, sf_dir):
+    p = v.pairs(spark, sf_dir)
+    return p.withColumns({"model_hs": F.when(F.col("l_partkey") % 13 != 0, F.col("model_hs")), "obs_hs": F.when(F.col("l_orderkey") % 7 != 0, F.col("obs_hs"))})
+
+
 @query(_OK + _metrics("month", "ok"))
 def A3_error_metrics(spark, sf_dir):
     return rounded(stats.metrics(checked(spark, sf_dir), ["month"]))
@@ -64,11 +74,11 @@ def A2_l_moments(spark, sf_dir):
 
 
 @query(
-    _OK + """, q as (select month, quantile_cont(obs_hs, 0.95) b from ok group by month)
-select month, round(b, 6) bound, count(*) n, round(avg(model_hs - obs_hs), 6) bias, round(sqrt(avg((model_hs - obs_hs) ** 2)), 6) rmse from ok join q using (month) where obs_hs > b group by month, b having count(*) >= 2"""
+    _GAPS + """, q as (select month, quantile_cont(obs_hs, 0.95) b from full_pairs group by month)
+select month, round(b, 6) bound, count(*) n, round(avg(model_hs - obs_hs), 6) bias, round(sqrt(avg((model_hs - obs_hs) ** 2)), 6) rmse from full_pairs join q using (month) where obs_hs > b group by month, b having count(*) >= 2"""
 )
 def A4_tail_errors(spark, sf_dir):
-    return rounded(stats.tail_errors(checked(spark, sf_dir), ["month"]))
+    return rounded(stats.tail_errors(gappy(spark, sf_dir), ["month"]))
 
 
 def _models(spark, sf_dir):
@@ -107,9 +117,9 @@ def A6_lead_bins(spark, sf_dir):
     return rounded(stats.lead_metrics(checked(spark, sf_dir), bins))
 
 
-@query(_OK + " union all ".join(f"(select '{k}' stratum, {k}::varchar as level, {metric_sql()} from ok group by {k} having count(*) >= 2)" for k in ("zone", "status", "month")))
+@query(_GAPS + " union all ".join(f"(select '{k}' stratum, {k}::varchar as level, {metric_sql()} from full_pairs group by {k} having count(*) >= 2)" for k in ("zone", "status", "month")))
 def A7_strata(spark, sf_dir):
-    return rounded(stats.metrics_by_strata(checked(spark, sf_dir), ["zone", "status", "month"]))
+    return rounded(stats.metrics_by_strata(gappy(spark, sf_dir), ["zone", "status", "month"]))
 
 
 @query(_OK + ", c as (select *, (l_suppkey % 90 * 2 - 90)::double lat, (l_partkey % 180 * 2)::double lon from ok) " + _metrics("lat, lon", "c"))
@@ -123,9 +133,9 @@ def A8_colour_level(spark, sf_dir):
     return rounded(stats.colour_level(A8_error_map(spark, sf_dir), ["bias", "rmse"]))
 
 
-@query(_OK + "select zone, round(stddev_pop(obs_hs), 6) sd_obs, round(stddev_pop(model_hs), 6) sd_model, round(stddev_pop(model_hs - obs_hs), 6) crmsd, round(corr(model_hs, obs_hs), 6) cc from ok group by zone")
+@query(_GAPS + "select zone, round(stddev_pop(obs_hs), 6) sd_obs, round(stddev_pop(model_hs), 6) sd_model, round(stddev_pop(model_hs - obs_hs), 6) crmsd, round(corr(model_hs, obs_hs), 6) cc from full_pairs group by zone")
 def A9_taylor(spark, sf_dir):
-    return rounded(stats.taylor(checked(spark, sf_dir), ["zone"]))
+    return rounded(stats.taylor(gappy(spark, sf_dir), ["zone"]))
 
 
 _QQ = ", ".join(repr(p) for p in stats.QQ_P)
@@ -157,15 +167,33 @@ def A12_regression(spark, sf_dir):
 
 
 @query(
-    _PAIRS + """, long as (select zone, 'obs' series, obs_hs x from pairs union all select zone, 'model', model_hs from pairs), s as (select zone, series, count(*)::double n, pow(count(*)::double, -0.2) * stddev_samp(x) h, min(x) lo, max(x) hi from long group by all),
-e as (select zone, min(lo) lo, max(hi) * 0.99::double hi from s group by 1), g as (select zone, series, n, h, i::int i, e.lo + (e.hi - e.lo) * i / 99 x from s join e using (zone), range(0, 100) r(i)), c as (select zone, series, x v, count(*) c from long group by all),
-d as (select g.zone, g.series, g.i, g.x, sum(c * exp(-pow((g.x - v) / h, 2) / 2)) / (n * h * sqrt(2 * pi())) d from g join c using (zone, series) group by g.zone, g.series, g.i, g.x, n, h), """
+    _PAIRS + f""", long as (select zone, 'obs' series, obs_hs x from pairs union all select zone, 'model', model_hs from pairs), s as (select zone, series, count(*)::double n, pow(count(*)::double, -0.2) * stddev_samp(x) h, min(x) lo, max(x) hi from long group by all),
+e as (select zone, min(lo) a, max(hi) * 0.99::double b from s group by 1), c as (select zone, series, n, h, lo, (x - lo) * {density.CURVE_STEPS} / h p from long join s using (zone, series)),
+g as (select zone, series, n, h, lo + c * h / {density.CURVE_STEPS} v, sum(w) w from (select zone, series, n, h, lo, floor(p) + k as c, case k when 0 then 1 - (p - floor(p)) else p - floor(p) end w from c, range(0, 2) r(k)) group by zone, series, n, h, lo, c),
+y as (select zone, series, n, h, i::int i, a + (b - a) / 99 * i x from s join e using (zone), range(0, 100) r(i)),
+d as (select zone, series, i, x, coalesce(sum(w * exp(-pow((x - v) / h, 2) / 2)), 0) / (n * h * sqrt(2 * pi())) d from y left join g using (zone, series, n, h) group by zone, series, i, x, n, h), """
     + f"k as ({_gauss('d', 'zone, series', 'd', 100)}) select zone, series, i, round(x, 6) x, round(g, 6) density from d join k using (zone, series, i)"
 )
 def A13_density(spark, sf_dir):
     p = v.pairs(spark, sf_dir)
     both = F.array(F.struct(F.lit("obs").alias("series"), F.col("obs_hs").alias("x")), F.struct(F.lit("model").alias("series"), F.col("model_hs").alias("x")))
-    return rounded(stats.density(p.select("zone", F.inline(both)), ["zone"], "series", "x"))
+    return rounded(density.density(p.select("zone", F.inline(both)), ["zone"], "series", "x"))
+
+
+_STEPS, _REACH = density.PAIR_STEPS, density.PAIR_STEPS * density.PAIR_REACH
+
+
+@query(
+    _GAPS + f""", t as (select count(*)::double n, avg(model_hs) am, avg(obs_hs) ao, var_samp(model_hs) vm, var_samp(obs_hs) vo, covar_samp(model_hs, obs_hs) c from full_pairs), s as (select n, am, ao, pow(n, -1.0::double / 6) * sqrt(vm) l, pow(n, -1.0::double / 6) * c / sqrt(vm) k, pow(n, -1.0::double / 6) * sqrt(vo - c * c / vm) r from t),
+w as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, n, l, r, (model_hs - am) / l * {_STEPS} u, (obs_hs - ao - k * (model_hs - am) / l) / r * {_STEPS} v from full_pairs, s), b as (select *, floor(u)::bigint x, floor(v)::bigint y, u - floor(u) a, v - floor(v) b from w),
+g as materialized (select x + i x, y + j y, sum((case i when 1 then a else 1 - a end) * (case j when 1 then b else 1 - b end)) w from b, range(0, 2) p(i), range(0, 2) q(j) group by 1, 2), taps as (select k, exp(-pow(k / {_STEPS}.0::double, 2) / 2) e from range(-{_REACH}, {_REACH} + 1) r(k)),
+o as (select distinct x + i x, y + j y from b, range(0, 2) p(i), range(0, 2) q(j)), h as materialized (select x + k x, y, sum(w * e) w from g, taps group by 1, 2), z as materialized (select o.x, o.y, sum(h.w * e) d from o, taps join h on h.x = o.x and h.y = o.y + k group by 1, 2)
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(((1 - a) * (1 - b) * z00.d + a * (1 - b) * z10.d + (1 - a) * b * z01.d + a * b * z11.d) / (n * 2 * pi() * l * r), 6) density
+from b join z z00 on z00.x = b.x and z00.y = b.y join z z10 on z10.x = b.x + 1 and z10.y = b.y join z z01 on z01.x = b.x and z01.y = b.y + 1 join z z11 on z11.x = b.x + 1 and z11.y = b.y + 1"""
+)
+def A14_pair_density(spark, sf_dir):
+    """The density at each pair, as points of a scatter are coloured."""
+    return rounded(density.pair_density(gappy(spark, sf_dir), KEYS).select(*KEYS, "density"))
 
 
 @query(_OK + "select floor(obs_hs / 0.5)::int i, floor(model_hs / 0.5)::int j, count(*) n from ok where obs_hs between 0 and 12 and model_hs between 0 and 12 group by all")
@@ -206,7 +234,13 @@ def A17_crps(spark, sf_dir):
 
 @query(_JOINED + ", e as (select lead_h, obs_hs, unnest(xs) x from j) select lead_h, round(avg(((x >= 5)::int - (obs_hs >= 5)::int) ** 2), 6) brier from e group by lead_h")
 def A18_brier(spark, sf_dir):
-    return rounded(_joined(spark, sf_dir).groupBy("lead_h").agg(F.avg(ensemble.brier(F.col("members"), F.col("obs_hs"), 5.0)).alias("brier")))
+    return rounded(ensemble.brier_score(_joined(spark, sf_dir), ["lead_h"], "members", "obs_hs", 5.0))
+
+
+@query(_JOINED + ", t as (select avg(obs_hs) t from j), e as (select lead_h, obs_hs, t, unnest(xs) x from j, t) select lead_h, round(avg(((x >= t)::int - (obs_hs >= t)::int) ** 2), 6) brier from e group by lead_h")
+def A18_brier_at_mean(spark, sf_dir):
+    """Without a threshold: that of the mean observation."""
+    return rounded(ensemble.brier_score(_joined(spark, sf_dir), ["lead_h"], "members", "obs_hs"))
 
 
 #: A tie's place drawn by integer arithmetic on the keys.

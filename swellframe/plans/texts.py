@@ -9,28 +9,17 @@ from __future__ import annotations
 import io
 import os
 import tarfile
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import sinks, texts
+from ..storage import folder
 from . import views as v
 from .registry import query, rounded
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests) only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _put(path: str, name: str, data: bytes) -> None:
     from pyarrow import fs
 
@@ -79,17 +68,17 @@ _BUOY = v.with_views("buoy")
 _POINTS = v.with_views("points")
 
 
-@query(_BUOY + "select station::varchar station, floor(time / 60) * 60.0::double as time, (event_id % 900) / 100 hs, case when event_id % 7 <> 0 then (event_id % 1500) / 100 end tp from buoy")
+@query(_BUOY + "select station::varchar station, floor(time / 60) * 60.0::double as time, (event_id % 900) / 100 hs, case when event_id % 7 <> 0 then (event_id % 1500) / 100 end tp, (event_id % 361)::double wind_dir, case when event_id % 101 <> 99 then (event_id % 101)::double end wind_spd, (900 + event_id % 200)::double mslp from buoy")
 def S2_standard_met(spark, sf_dir):
-    """Standard meteorological files by station and day, with minutes, a second header and missing values."""
+    """Standard meteorological files by station and day, with minutes, a second header, missing values, and values that are codes elsewhere."""
     b = v.buoy(spark, sf_dir)
     tp = F.when(F.col("event_id") % 7 != 0, cents("event_id", 1500)).otherwise("99.00")
-    row = F.concat_ws(" ", stamp("time", "yyyy MM dd HH mm"), cents("event_id", 900), tp)
+    row = F.concat_ws(" ", stamp("time", "yyyy MM dd HH mm"), cents("event_id", 900), tp, (F.col("event_id") % 361).cast("string"), F.format_string("%d.0", F.col("event_id") % 101), F.format_string("%d.0", 900 + F.col("event_id") % 200))
     b = b.select(F.concat_ws(".", "station", stamp("time", "yyyyMMdd"), F.lit("txt")).alias("file"), (F.col("event_id") + 2).alias("line_no"), row.alias("line"))
-    heads = F.array(F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit("#YY MM DD hh mm WVHT DPD").alias("line")), F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit("#yr mo dy hr mn m sec").alias("line")))
+    heads = F.array(F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit("#YY MM DD hh mm WVHT DPD WDIR WSPD PRES").alias("line")), F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit("#yr mo dy hr mn m sec degT m/s hPa").alias("line")))
     lines = b.unionByName(b.select("file").distinct().select("file", F.inline(heads)))
     out = texts.stdmet(spark, written(lines, folder(spark, "stdmet")))
-    return rounded(out.select("station", "time", "hs", "tp"))
+    return rounded(out.select("station", "time", "hs", "tp", "wind_dir", "wind_spd", "mslp"))
 
 
 def _steps(spark, sf_dir) -> DataFrame:

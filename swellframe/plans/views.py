@@ -82,7 +82,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def storms(spark: SparkSession, sf_dir: str) -> DataFrame:
     nature = F.element_at(F.array(*map(F.lit, NATURES)), (F.col("user_id") % 5 + 1).cast("int"))
-    return track(spark, sf_dir).where("event_type = 'error'").select(F.col("src_id").alias("row_no"), "time", nature.alias("nature"), "lat", "lon")
+    return track(spark, sf_dir).select(F.col("src_id").alias("row_no"), "time", nature.alias("nature"), "lat", "lon")
 
 
 #: The same views as common table expressions, each after those that it needs.
@@ -96,7 +96,7 @@ SQL = {
     "grid": "select lat_idx, lon_idx, k, lat_idx * 2.0::double - 89 lat, lon_idx * 2.0::double lon, 500.0::double - (k * 37) % 5000 z, ((k * 13) % 400)::double distcoast from (select (c_custkey % 90)::int lat_idx, ((c_custkey // 90) % 180)::int lon_idx, max(c_custkey) k from customer group by 1, 2)",
     "slots": "select distinct floor(time / 21600)::bigint slot from ev",
     "field": f"select lat_idx, lon_idx, lat, lon, slot * 21600 valid_time, (slot - {SLOT0})::int t_idx, 5 + 0.01::double * lat + 0.005::double * lon + 0.01::double * (slot - {SLOT0}) hs, 2 * (5 + 0.01::double * lat + 0.005::double * lon + 0.01::double * (slot - {SLOT0})) wnd from grid, slots",
-    "storms": "select src_id row_no, time, ['TS', 'SS', 'ET', 'DS', 'NR'][user_id % 5 + 1] nature, lat, lon from track where event_type = 'error'",
+    "storms": "select src_id row_no, time, ['TS', 'SS', 'ET', 'DS', 'NR'][user_id % 5 + 1] nature, lat, lon from track",
     "spec": "select vec_id, label, i::int i, j::int j, 0.05::double + 0.02::double * i f, 45.0::double * j dir, embedding[i * 8 + j + 1]::double * embedding[i * 8 + j + 1]::double e from embeddings, range(0, 8) a(i), range(0, 8) b(j)",
 }
 NEEDS = {"members": ["pairs"], "buoy": ["ev"], "points": ["ev", "buoy"], "track": ["ev"], "slots": ["ev"], "field": ["ev", "grid", "slots"], "storms": ["ev", "track"]}

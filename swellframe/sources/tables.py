@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import mean_of, period, wind_at_height
-from ..operators.qc import ranged
+from ..operators.qc import altimeter_qc, numerous, ranged
 
 #: Names under which a variable may be stored, in the order they are tried.
 MODEL_ALIASES = {
@@ -66,6 +66,17 @@ def altimeter_tiles(df: DataFrame, mission: str, start: float, end: float, margi
     return rows.select(*tile, "time", "lat", "lon", (-F.col("bot_depth")).alias("wdepth"), F.col("dist2coast").alias("distcoast"), "wspd", "wspd_cal", *made)
 
 
+def checked_tiles(tiles: DataFrame, start: float, end: float, **limits) -> DataFrame:
+    """S4. Rows of `altimeter_tiles` that pass `altimeter_qc` within the time window; a mission with at most two left has none.
+
+    tiles: mission, time, wdepth, distcoast, swh_std, sig0_std, n_obs, qc, swh, swh_cal, wspd, wspd_cal, which come out as hs, hs_cal, wnd and wnd_cal.
+    """
+    own = tiles.withColumnsRenamed({"swh": "hs", "swh_cal": "hs_cal", "wspd": "wnd", "wspd_cal": "wnd_cal"})
+    only_time = limits.pop("only_time", False)
+    ok = own.where(F.col("time").between(start, end)) if only_time else altimeter_qc(own, **limits).where(F.col("time").between(start, end))
+    return numerous(ok, ["mission"])
+
+
 def scatterometer(swaths: DataFrame) -> DataFrame:
     """S5. Swath cells as rows: the row's time for each cell, good cells only, 999 for a missing direction."""
     cells = swaths.select(*[c for c in ("mission", "time") if c in swaths.columns], F.inline(F.arrays_zip("lat", "lon", "wspd_cal", "qc", "wnd_dir")))

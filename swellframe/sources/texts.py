@@ -11,12 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lon360, wind_at_height
-from ..operators.qc import ranged
+from ..operators.qc import RANGES, ranged
 
 #: Columns of the standard meteorological format that are measures, and the names they get.
 STDMET = {"WDIR": "wind_dir", "WSPD": "wind_spd", "WSP": "wind_spd", "GST": "gust", "WVHT": "hs", "DPD": "tp", "APD": "tm", "MWD": "dm", "PRES": "mslp", "BAR": "mslp", "ATMP": "air_temp", "WTMP": "sst", "DEWP": "dewpoint"}
 
 
+#: Ranges of these files, where a measure has none or another one elsewhere; both ends kept.
+STDMET_RANGES = RANGES | {"wind_dir": (-180, 360)}
+#: Codes of missing values within a measure's range.
+STDMET_CODES = {"wind_spd": (99.0,), "gust": (99.0,)}
+
+
 def numbered(df: DataFrame, text: str = "value") -> DataFrame:
     """file, line_no, line of whole-text rows."""
     return df.select("file", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
@@ -35,7 +41,8 @@ def number(s: Column, missing: tuple[float, ...] = ()) -> Column:
 
 def stdmet(spark: SparkSession, path: str, stations: DataFrame | None = None) -> DataFrame:
     """S2. Standard meteorological files of buoys: station, time, measures. The station is the file name up to its first
-    dot or h; minutes are optional; years of two digits are of the 1900s. 99, 999 and 9999 are missing where out of range."""
+    dot or h; minutes are optional; years of two digits are of the 1900s. Values out of their range are missing, and so are those codes of missing values
+    that a range admits; 99 degrees or 999.0 hPa are values."""
     lines = numbered(whole(spark, path)).where(F.trim("line") != "")
     head = lines.where("line_no = 0").select("file", F.split(F.trim(F.regexp_replace("line", "#", "")), r"\s+").alias("names"))
     rows = lines.where("line_no > 0 and not startswith(ltrim(line), '#')").join(head, "file").select("file", "names", F.split(F.trim("line"), r"\s+").alias("v"))
@@ -50,10 +57,10 @@ def stdmet(spark: SparkSession, path: str, stations: DataFrame | None = None) ->
     names: dict[str, list[str]] = {}
     for k, v in STDMET.items():
         names.setdefault(v, []).append(k)
-    out = rows.select(F.regexp_extract("file", r"^([^.h]+)", 1).alias("station"), time.alias("time"), *[number(at(*k), (99.0, 999.0, 9999.0)).alias(v) for v, k in names.items()])
+    out = rows.select(F.regexp_extract("file", r"^([^.h]+)", 1).alias("station"), time.alias("time"), *[number(at(*k), STDMET_CODES.get(v, ())).alias(v) for v, k in names.items()])
     if stations is not None:
         out = out.join(stations, "station", "left").withColumns({c: wind_at_height(F.col(c), F.col("anemometer_height")) for c in ("wind_spd", "gust")})
-    return ranged(out)
+    return ranged(out, STDMET_RANGES)
 
 
 def point_table(spark: SparkSession, path: str) -> DataFrame:
