@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import sys
 import tempfile
-import types
 import uuid
 
 import numpy as np
@@ -247,13 +245,6 @@ def release() -> None:
         trim(0)
 
 
-def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker. Functions of this package travel by value, so their module's globals are new in each
-    task; this one hangs on a module of its own, which no executor needs to find."""
-    module = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state"))
-    return module.__dict__.setdefault(name, {})
-
-
 def releasing(f):
     """A function of batches that gives its memory back when it ends."""
 
@@ -325,8 +316,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 # --- texts dealt to groups -------------------------------------------------------------------------------------
 
-def dealt_text(docs: DataFrame) -> DataFrame:
-    """(to, blob): the rows of docs (doc_id, k, text, to and more), compressed together for each group and Arrow batch.
+def dealt_text(docs: DataFrame, size: int = PACKED_BYTES) -> DataFrame:
+    """(to, blob): the rows of docs (doc_id, k, text, to and more), compressed together for each group and slice of `size` bytes.
 
     Fewer and smaller shuffle records than a row per document; `text_of` gives the rows of a group.
     """
@@ -334,7 +325,7 @@ def dealt_text(docs: DataFrame) -> DataFrame:
 
     def packed(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in slices(batches, "text", PACKED_BYTES):
+        for batch in slices(batches, "text", size):
             to = batch.column("to").to_numpy()
             order = np.argsort(to, kind="stable")
             rows = pa.Table.from_batches([batch.select(names)]).take(pa.array(order))

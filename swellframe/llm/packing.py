@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, releasing, slices, stored, worker_state
+from .common import release, releasing, slices, stored
 
 #: Chunks whose ids a worker keeps, in each of two halves: what was used since the last turn, and before it.
 CACHE = 75_000
@@ -56,20 +56,15 @@ PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids
 
 
 def tokenizers_of(path: str):
-    """The tokenizer of a file, and one for words that are normalised and cut already; loaded once in a worker."""
+    """The tokenizer of a file, and one for words that are normalised and cut already; loaded by each task, so that workers don't hold it in other stages."""
     from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    kept = worker_state("tokenizers")
-    if path in kept:
-        return kept[path]
     whole = Tokenizer.from_file(path)
     plain = Tokenizer(whole.model)  # the same model, not a copy
     plain.normalizer = normalizers.Sequence([])
     plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     release()
-    kept.clear()
-    kept[path] = whole, plain
-    return kept[path]
+    return whole, plain
 
 
 class Encoder:

@@ -34,6 +34,8 @@ from .common import BLOB_SCHEMA, arrow_text, blob_batch, bucket_column, bucket_o
 
 #: Bytes of text that are hashed at once, and whose segments are compared before they are sent.
 SLICE, COMPARED = 1 << 18, 2 << 20
+#: Bytes of text that a task deals out at once.
+DEALT = 4 << 20
 #: A longer text is worked on in parts that overlap.
 LONGEST = 64 << 20
 #: Bits of a position in the packed (hash, position) keys of the sliding minimum.
@@ -373,7 +375,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 50, id_col: str = "do
     def back(df: DataFrame, f) -> DataFrame:
         return df.groupBy("b").applyInArrow(f, BLOB_SCHEMA).select("to", "blob").groupBy("to")
 
-    texts = dealt_text(docs).groupBy("to")
+    texts = dealt_text(docs, DEALT).groupBy("to")
     found = docs.select("k", "first", "text").mapInArrow(releasing(anchors), BLOB_SCHEMA)
     found = texts.cogroup(back(found, decided)).applyInArrow(fetched, BLOB_SCHEMA)
     out = texts.cogroup(back(found, indexed)).applyInArrow(kept, schema)
