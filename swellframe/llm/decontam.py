@@ -8,7 +8,8 @@ has `share` of the item misses at most u - ceil(share * u), so it has one of the
 
 Probing: document words are exploded and joined by the first word of the sketch shingles; only where a first word
 fits is the shingle hashed. Candidates are verified by the exact sets. Sketches and candidates are broadcast only
-under a counted bound. Beyond it, hashes of shingles meet the sketches by shuffle (a few bytes for each, the texts stay; skew joins split hot ones).
+under a counted bound. Beyond it, hashes of shingles (64 bits, then 128) meet the sketches, and the shingles of candidate items, by shuffle: a few bytes for each, never
+texts or words; skew joins split hot ones.
 
 Text: A-Z lower-cased, words are runs of other than space and bytes 9 to 13, shingles of five words; an item with fewer words is
 one shingle. Defined results: null or blank texts have no shingles and match nothing; rows that repeat an id count
@@ -38,16 +39,20 @@ def shingles(w: Column, n: Column) -> Column:
 
 
 def hashed(n: int) -> Column:
-    """An array of (w, h) of the shingles of n words of ws."""
-    return F.transform(shingles(F.col("ws"), F.lit(n)), lambda s: F.struct(F.lit(n).alias("w"), F.xxhash64(s).alias("h")))
+    """An array of (w, h, g), a length and two hashes, of the shingles of n words of ws."""
+    return F.transform(shingles(F.col("ws"), F.lit(n)), lambda s: F.struct(F.lit(n).alias("w"), F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g")))
 
 
-def small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def hashes_of(d: DataFrame, items: DataFrame) -> DataFrame:
+    """row (a number), doc_id, w, h, g: a row per distinct shingle of a document's row, for each shingle length that items have."""
+    lengths = [r["w"] for r in items.select("w").distinct().collect()]  # 1 to shingle
+    each = F.concat(*(hashed(w) for w in lengths)) if lengths else F.array().cast("array<struct<w:int,h:bigint,g:bigint>>")
+    rows = d.withColumn("row", F.monotonically_increasing_id())  # before it is exploded
+    return rows.select("row", "doc_id", F.inline(each))
 
 
-def _near(df: DataFrame, is_small: bool) -> DataFrame:
-    return F.broadcast(df) if is_small else df
+def small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def item_sketches(benchmark: DataFrame, share: float, shingle: int, item_col: str, text_col: str) -> DataFrame:
@@ -71,17 +76,21 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, s
         probe = d.select("doc_id", "ws", F.posexplode("ws").alias("at", "word"))
         same = F.xxhash64(F.array_join(F.slice("ws", F.col("at") + 1, F.col("w")), " ")).bitwiseXOR(F.col("h")) == 0
         found = probe.join(F.broadcast(sketch), F.col("word") == F.col("first_word")).where(same)
-    else:  # only hashes are shuffled: a row per shingle, for each shingle length that items have
-        lengths = [r["w"] for r in sketch.select("w").distinct().collect()]  # 1 to shingle
-        probe = d.select("doc_id", F.inline(F.concat(*(hashed(w) for w in lengths)))) if lengths else d.select("doc_id", F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("h")).limit(0)
-        found = probe.join(sketch.select("item_id", "w", "h").hint("shuffle_hash"), ["w", "h"])
+    else:
+        found = hashes_of(d, items).join(sketch.select("item_id", "w", "h").hint("shuffle_hash"), ["w", "h"])
     candidates = stored(found.select("doc_id", "item_id").distinct(), "candidates")
 
-    few = small(candidates)
-    wanted = _near(candidates.withColumnRenamed("doc_id", "id"), few)
-    pairs = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    pairs = pairs.join(_near(items.select("item_id", "w", "sh", "n"), small(items)).withColumnRenamed("item_id", "item"), F.col("item_id").eqNullSafe(F.col("item")))
-    shared = F.size(F.array_intersect("sh", shingles(F.col("ws"), F.col("w"))))
+    wanted = candidates.withColumnRenamed("doc_id", "id")
+    if small(candidates) and small(items):
+        pairs = d.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+        pairs = pairs.join(F.broadcast(items.select(F.col("item_id").alias("item"), "w", "sh", "n")), F.col("item_id").eqNullSafe(F.col("item")))
+        shared = F.size(F.array_intersect("sh", shingles(F.col("ws"), F.col("w"))))
+    else:
+        pairs = hashes_of(d, items).join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+        own = items.select(F.col("item_id").alias("item"), F.col("w").alias("v"), "n", F.explode("sh").alias("s")).select("item", "v", "n", F.xxhash64("s").alias("x"), F.xxhash64("s", F.lit(1)).alias("y"))
+        pairs = pairs.join(own, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("w") == F.col("v")) & (F.col("h") == F.col("x")) & (F.col("g") == F.col("y")))
+        pairs = pairs.groupBy("row", "doc_id", "item_id", "n").agg(F.count("*").alias("c"))
+        shared = F.col("c")
     pairs = pairs.select("doc_id", "item_id", F.col("n").cast("bigint").alias("item_shingles"), shared.cast("bigint").alias("shared_shingles"))
     pairs = pairs.where(F.col("shared_shingles") >= F.lit(share) * F.col("item_shingles") - 1e-9)
     pairs = pairs.groupBy("doc_id", "item_id", "item_shingles").agg(F.max("shared_shingles").alias("shared_shingles"))

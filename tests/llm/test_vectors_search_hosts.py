@@ -211,3 +211,31 @@ def test_host_rules_are_native(spark):
     plan = host_rules.counted(df)._jdf.queryExecution().executedPlan().toString() + host_rules.judged(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert host_rules.judged(df.limit(0)).collect() == []
+
+
+# --- decontamination beyond its bounds ------------------------------------------------------------------------------
+
+
+def test_large_searches_shuffle_hashes_only(spark, monkeypatch):
+    """Without broadcasts: the same rows, repeated and missing ids too, and neither texts nor words under an exchange."""
+    from swellframe.llm import decontam
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([2, 9, 40])))) for i in range(12)] + [(None, "w1 w2 w3 w4 w5 w6"), (13, None), (14, "W1 w2")]
+    docs = [(i % 50, " ".join(r.choice(words) for _ in range(30)) + " " + items[i % 12][1] + " and the end") for i in range(70)] + [(None, items[3][1]), (99, None), (98, "")]
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, row int").repartition(3)
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(decontam.contained_items(d, i))
+    assert len(want) > 60
+    monkeypatch.setattr(decontam, "small", lambda df: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontam.contained_items(d, i)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found) == want and decontam.contained_items(d, i.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"Exchange [^\n]*\n\s*[^\n]*Project \[([^\n]*)\]", plan)
+    assert "Exchange" in plan and not any(re.search(r"\b(ws|text|sh)#", x) for x in moved)
