@@ -43,6 +43,17 @@ def filled(df: DataFrame, keys: list[str], order: str, value: str, limit: int |
     return df.withColumn(value, F.coalesce(F.col(value), F.when(a.isNotNull() & near, line))).drop("_key", "_part", "_n", "_a", "_b", "_skip", "_pa", "_pb")
 
 
+def carried(df: DataFrame, keys: list[str], order: str, value: Column, into: str, block: float) -> DataFrame:
+    """The last value that is not null up to each row, in the order of a numeric column that is unique within the keys. Parts as in `filled`: the last
+    value of the parts before comes from a table with a row per part."""
+    own = ["_key", "_part"]
+    sofar = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_key": key_of(keys), "_part": _block(order, block), "_v": value}).withColumn("_own", F.last("_v", True).over(sofar))
+    parts = df.groupBy(*own).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
+    before = F.last("_last", True).over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return df.join(parts.select(*own, before.alias("_before")), own).withColumn(into, F.coalesce("_own", "_before")).drop(*own, "_v", "_own", "_before")
+
+
 def rolled_months(df: DataFrame, keys: list[str], order: str, day: str, block: float | None = None) -> DataFrame:
     """W2. months: how often the day has fallen below that of the row before, for clocks that give day and hour only.
 

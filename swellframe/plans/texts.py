@@ -120,13 +120,13 @@ _TOP = "case when (u * 5) % 600 > (u * 3) % 600 then u * 5 else u * 3 end"
 
 @query(_STEPS + "select 'gfs.' || station || '-' || cycle || '.bull' file, station + 0.5::double lat, -(station + 60.25::double) lon, cycle::double as cycle, valid_time::double as time, u / 100 hs from st")
 def S7_bulletins(spark, sf_dir):
-    out = texts.bulletins(texts.numbered(texts.whole(spark, written(_bulletin_lines(spark, sf_dir), folder(spark, "bulletins")))))
+    out = texts.bulletins(texts.lines(spark, written(_bulletin_lines(spark, sf_dir), folder(spark, "bulletins"))))
     return rounded(out.select("file", "lat", "lon", "cycle", "time", "hs"))
 
 
 @query(_STEPS + f"select station, cycle, valid_time, (x % 17 + 2)::double tp, (x % 360)::double dp from (select *, {_TOP} x from st)")
 def T1_highest_system(spark, sf_dir):
-    out = texts.bulletins(texts.numbered(texts.whole(spark, written(_bulletin_lines(spark, sf_dir), folder(spark, "bulletins")))))
+    out = texts.bulletins(texts.lines(spark, written(_bulletin_lines(spark, sf_dir), folder(spark, "bulletins"))))
     station = F.regexp_extract("file", r"gfs\.(\d+)-", 1).cast("bigint")
     return rounded(out.select(station.alias("station"), F.col("cycle").cast("bigint").alias("cycle"), F.col("time").cast("bigint").alias("valid_time"), "tp", "dp"))
 
@@ -141,7 +141,7 @@ def _series(spark, sf_dir, name: str) -> DataFrame:
 @query(_STEPS + "select station || '-' || cycle || '.ts' file, valid_time::double as time, u / 100 hs, (u * 2 % 900) / 100 spread, (u * 3 % 900) / 100 tp from st")
 def S8_station_series(spark, sf_dir):
     s = _series(spark, sf_dir, "").select(F.concat("station", F.lit("-"), "cycle", F.lit(".ts")).alias("file"), "line_no", "line")
-    out = texts.station_series(texts.numbered(texts.whole(spark, written(s, folder(spark, "series")))))
+    out = texts.station_series(texts.lines(spark, written(s, folder(spark, "series"))))
     return rounded(out.select("file", "time", "hs", "spread", "tp"))
 
 
@@ -201,9 +201,9 @@ def S13_targets(spark, sf_dir):
 @query("select distinct station from (select (user_id % 997)::varchar station from events union all select 'P' || c_nationkey from customer)")
 def S14_station_list(spark, sf_dir):
     """Plain lists, and model point files with comments, quoted names and a last line that doesn't count."""
-    plain = v.table(spark, sf_dir, "events").select(F.concat(F.lit("plain-"), F.col("user_id") % 10, F.lit(".txt")).alias("file"), F.col("event_id").alias("line_no"), (F.col("user_id") % 997).cast("string").alias("line"))
+    plain = v.table(spark, sf_dir, "events").select(F.concat(F.lit("plain-"), F.floor(F.col("event_id") / 500), F.lit(".txt")).alias("file"), F.col("event_id").alias("line_no"), (F.col("user_id") % 997).cast("string").alias("line"))
     c = v.table(spark, sf_dir, "customer")
-    name = F.concat(F.lit("points-"), F.col("c_custkey") % 3, F.lit(".inp")).alias("file")
+    name = F.concat(F.lit("points-"), F.floor(F.col("c_custkey") / 500), F.lit(".inp")).alias("file")
     points = c.select(name, F.col("c_custkey").alias("line_no"), F.concat(F.lit(" -72.7 34.7 'P"), "c_nationkey", F.lit("'")).alias("line"))
     files = c.select(name).distinct()
     edges = files.select("file", F.inline(F.array(F.struct(F.lit(-1).cast("bigint").alias("line_no"), F.lit("$ comment").alias("line")), F.struct(F.lit(1 << 60).alias("line_no"), F.lit(" 0.0 0.0 'STOPSTRING'").alias("line")))))

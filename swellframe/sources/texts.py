@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import re
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lon360, wind_at_height
 from ..operators.qc import RANGES, ranged
+from ..operators.windows import carried
+from ..storage import stored
 
 #: Columns of the standard meteorological format that are measures, and the names they get.
 STDMET = {"WDIR": "wind_dir", "WSPD": "wind_spd", "WSP": "wind_spd", "GST": "gust", "WVHT": "hs", "DPD": "tp", "APD": "tm", "MWD": "dm", "PRES": "mslp", "BAR": "mslp", "ATMP": "air_temp", "WTMP": "sst", "DEWP": "dewpoint"}
@@ -23,12 +25,80 @@ STDMET_RANGES = RANGES | {"wind_dir": (-180, 360)}
 STDMET_CODES = {"wind_spd": (99.0,), "gust": (99.0,)}
 
 
+#: Bytes of a file or archive member that are read at once, and that a task reads as a target.
+PIECE, TASK = 8 << 20, 64 << 20
+#: Lines (see `line_no` of `pieces_as_lines`) whose order is settled in one part.
+LINES = 1 << 22
+
+
+def _open(uri: str):
+    where, at = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "", 1))
+    return where.open_input_file(at)
+
+
+def lines_from(source, offset: int, size: int, start: int, piece: int) -> list[bytes]:
+    """The lines that begin in the piece at `start` of the bytes from `offset`, the last one whole, wherever it ends."""
+    end = min(start + piece, size)
+    begin = max(start - 1, 0)  # a line begins here if the byte before ends one
+    source.seek(offset + begin)
+    data = source.read(end - begin)
+    if start:
+        skip = data.find(b"\n") + 1
+        if not skip:
+            return []
+        data = data[skip:]
+    while data and end < size and not data.endswith(b"\n"):
+        more = source.read(min(piece, size - end))
+        end += len(more)
+        at = more.find(b"\n") + 1
+        data += more[:at] if at else more
+        if at or not more:
+            break
+    if not data:
+        return []
+    lines = data.split(b"\n")
+    return lines[:-1] if data.endswith(b"\n") else lines
+
+
+def pieces_as_lines(index: DataFrame, encoding: str) -> DataFrame:
+    """file, line_no, line of stretches of files. index: uri, file, offset, size.
+
+    Stretches are cut into pieces, which are dealt to tasks by place, so that neighbours are read in one go and a large file by many tasks. line_no is a line's number in the
+    first piece; in later ones it is larger than any before and grows with the place, with gaps.
+    """
+    index = index.where("size > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(PIECE).cast("bigint"))))
+    total = index.agg(F.sum(F.least(F.lit(PIECE), F.col("size") - F.col("start"))).alias("n")).first()["n"] or 0
+    dealt = index.repartitionByRange(max(1, -(-total // TASK)), "uri", F.col("offset") + F.col("start"))
+
+    def read(batches):
+        name, source = None, None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["uri"] != name:
+                    name, source = r["uri"], _open(r["uri"])
+                lines = lines_from(source, r["offset"], r["size"], r["start"], PIECE)
+                text = [x.removesuffix(b"\r").decode(encoding, "replace") for x in lines]
+                n = len(text)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * n, pa.string()), pa.array(range(r["start"], r["start"] + n), pa.int64()), pa.array(text, pa.string())], names=["file", "line_no", "line"])
+
+    return dealt.select("uri", "file", "offset", "size", "start").mapInArrow(read, "file string, line_no bigint, line string")
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no, line of text files of any size, see `pieces_as_lines`; compressed ones are read whole, by Spark."""
+    found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), F.element_at(F.split("path", "/"), -1).alias("file"), F.lit(0).cast("bigint").alias("offset"), F.col("length").alias("size"))
+    packed = F.col("file").rlike(r"\.(gz|bz2|xz|zst)$")
+    out = pieces_as_lines(found.where(~packed), "utf-8")
+    names = [r["uri"] for r in found.where(packed).select("uri").limit(10_000).collect()]  # a list of files, as any reader gets
+    return out.unionByName(numbered(whole(spark, names)).withColumn("line_no", F.col("line_no").cast("bigint"))) if names else out
+
+
 def numbered(df: DataFrame, text: str = "value") -> DataFrame:
     """file, line_no, line of whole-text rows."""
     return df.select("file", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
 
 
-def whole(spark: SparkSession, path: str) -> DataFrame:
+def whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
@@ -43,9 +113,9 @@ def stdmet(spark: SparkSession, path: str, stations: DataFrame | None = None) ->
     """S2. Standard meteorological files of buoys: station, time, measures. The station is the file name up to its first
     dot or h; minutes are optional; years of two digits are of the 1900s. Values out of their range are missing, and so are those codes of missing values
     that a range admits; 99 degrees or 999.0 hPa are values."""
-    lines = numbered(whole(spark, path)).where(F.trim("line") != "")
-    head = lines.where("line_no = 0").select("file", F.split(F.trim(F.regexp_replace("line", "#", "")), r"\s+").alias("names"))
-    rows = lines.where("line_no > 0 and not startswith(ltrim(line), '#')").join(head, "file").select("file", "names", F.split(F.trim("line"), r"\s+").alias("v"))
+    rows = lines(spark, path).where(F.trim("line") != "")
+    head = rows.where("line_no = 0").select("file", F.split(F.trim(F.regexp_replace("line", "#", "")), r"\s+").alias("names"))
+    rows = rows.where("line_no > 0 and not startswith(ltrim(line), '#')").join(head, "file").select("file", "names", F.split(F.trim("line"), r"\s+").alias("v"))
 
     def at(*names: str) -> Column:
         return F.coalesce(*[F.when(F.array_contains("names", n), F.try_element_at("v", F.array_position("names", n).cast("int"))) for n in names])
@@ -65,11 +135,9 @@ def stdmet(spark: SparkSession, path: str, stations: DataFrame | None = None) ->
 
 def point_table(spark: SparkSession, path: str) -> DataFrame:
     """S6. Point tables: in each block the line with the time, then a row of ten numbers per point: tp = 1 / fp."""
-    lines = numbered(whole(spark, path))
     stamp = F.regexp_extract("line", r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}(:\d{2})?)", 1)
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("stamp", F.last(F.when(stamp != "", stamp), True).over(w))
-    v = lines.withColumn("v", F.split(F.trim("line"), r"\s+")).where(F.size("v") == 10)
+    rows = carried(lines(spark, path), ["file"], "line_no", F.when(stamp != "", stamp), "stamp", LINES)
+    v = rows.withColumn("v", F.split(F.trim("line"), r"\s+")).where(F.size("v") == 10)
     v = v.where(F.forall("v", lambda x: x.try_cast("double").isNotNull()))
     names = ("lon", "lat", "hs", "lm", "tm", "dm", "spr", "fp", "dp", "spr_p")
     time = F.unix_timestamp(F.coalesce(F.try_to_timestamp("stamp", F.lit("yyyy/MM/dd HH:mm:ss")), F.try_to_timestamp("stamp", F.lit("yyyy/MM/dd HH:mm")))).cast("double")
@@ -140,25 +208,47 @@ def station_series(lines: DataFrame, kind: str = "ensemble") -> DataFrame:
     return out
 
 
-def tar_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S9. file (member's station: its name without folders up to the extension), line_no, line of all members of tar archives.
+def tar_index(spark: SparkSession, path: str) -> DataFrame:
+    """uri, member, offset, size of the files in tar archives: their 512-byte headers are read, and what is between them is passed over."""
+
+    def walked(batches):
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                found, at, name, length = [], 0, None, None
+                with _open(uri) as source:
+                    while True:
+                        source.seek(at)
+                        head = source.read(512)
+                        if len(head) < 512 or not head.strip(b"\0"):
+                            break
+                        info = tarfile.TarInfo.frombuf(head, "latin-1", "surrogateescape")
+                        size = length if length is not None and info.isreg() else info.size
+                        if info.type == tarfile.GNUTYPE_LONGNAME:
+                            name = source.read(info.size).rstrip(b"\0").decode("latin-1")
+                        elif info.type == tarfile.XHDTYPE:  # records "length key=value"
+                            own = dict(re.findall(r"\d+ ([^=\n]+)=([^\n]*)\n", source.read(info.size).decode("utf-8", "replace")))
+                            name, length = own.get("path", name), int(own["size"]) if "size" in own else length
+                        else:
+                            if info.isreg():
+                                found.append((uri, name or info.name, at + 512, size))
+                            name, length = None, None
+                        at += 512 + -(-size // 512) * 512
+                types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 4, types, strict=True)], names=["uri", "member", "offset", "size"])
+
+    archives = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"))
+    return archives.mapInArrow(walked, "uri string, member string, offset bigint, size bigint")
 
-    An archive is read whole by one task, since tar has no index; one of 2 GB and more does not fit a row and is named in the error.
-    """
 
-    def unpacked(frames):
-        for frame in frames:
-            for content in frame["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                    for m in t:
-                        if m.isfile():
-                            text = t.extractfile(m).read().decode("latin-1").split("\n")
-                            name = re.sub(r"^.*/", "", m.name).rsplit(".", 1)[0].rsplit(".", 1)[-1]
-                            yield pd.DataFrame({"file": name, "line_no": range(len(text)), "line": text})
+def tar_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S9. file (member's station: its name without folders up to the extension), line_no, line of all members of tar archives of any size.
 
-    found = spark.read.format("binaryFile").load(path)
-    large = F.when(F.col("length") >= (1 << 31) - 1024, F.raise_error(F.concat(F.lit("an archive of 2 GB or more: "), F.col("path")))).otherwise(F.lit(True))
-    return found.where(large.cast("boolean")).select("content").mapInPandas(unpacked, "file string, line_no int, line string")
+    Members are found by `tar_index`, and their bytes dealt to tasks, see `pieces_as_lines`.
+    """
+    index = stored(tar_index(spark, path), "members")
+    base = F.regexp_replace("member", r"^.*/", "")
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    return pieces_as_lines(index.select("uri", F.regexp_replace(stem, r"^.*\.", "").alias("file"), "offset", "size"), "latin-1")
 
 
 def same_length(rows: DataFrame, key: str = "file") -> DataFrame:
@@ -172,17 +262,21 @@ def same_length(rows: DataFrame, key: str = "file") -> DataFrame:
 
 
 def spectra_text(spark: SparkSession, path: str) -> DataFrame:
-    """S10. Spectrum files: file, time, station, lat, lon, depth, wnd, wnddir, freq, dir (radians), efth [freq][dir]."""
-    t = whole(spark, path).withColumn("head", F.regexp_extract("value", r"^'[^']*'\s+(\d+)\s+(\d+)\s+(\d+)", 0))
-    nf = F.regexp_extract("value", r"^'[^']*'\s+(\d+)", 1).cast("int")
-    nd = F.regexp_extract("value", r"^'[^']*'\s+\d+\s+(\d+)", 1).cast("int")
+    """S10. Spectrum files: file, time, station, lat, lon, depth, wnd, wnddir, freq, dir (radians), efth [freq][dir].
+
+    A step begins with a line of its time and is put together from its lines, which carry the number of that line; so files of many steps are read by many tasks.
+    """
+    stamp = r"^\s*(\d{8}\s+\d{6})\s*$"
+    rows = carried(lines(spark, path), ["file"], "line_no", F.when(F.col("line").rlike(stamp), F.col("line_no")), "step", LINES)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
+    t = rows.groupBy("file", "step").agg(joined.alias("value"))
+    head = t.where("step is null")
+    nf, nd = (F.regexp_extract("value", rf"^'[^']*'\s+{before}(\d+)", 1).cast("int") for before in ("", r"\d+\s+"))
     body = F.regexp_replace("value", r"^'[^']*'\s+\d+\s+\d+\s+\d+\s*('[^']*')?", "")
-    t = t.select("file", nf.alias("nf"), nd.alias("nd"), body.alias("body"))
-    stamp = r"(?<![\d.])\d{8}\s+\d{6}(?!\d)"  # and not the end of a number with many decimals
-    axes = F.split(F.trim(F.regexp_extract("body", rf"(?s)^(.*?){stamp}", 1)), r"\s+")
-    axes = F.filter(F.transform(axes, lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    steps = F.regexp_extract_all("body", F.lit(rf"(?s)({stamp}.*?)(?={stamp}|$)"), F.lit(1))
-    rows = t.select("file", "nf", "nd", F.slice(axes, 1, F.col("nf")).alias("freq"), F.slice(axes, F.col("nf") + 1, F.col("nd")).alias("dir"), F.explode(steps).alias("step"))
+    axes = F.filter(F.transform(F.split(F.trim(body), r"\s+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    head = head.select("file", nf.alias("nf"), nd.alias("nd"), axes.alias("axes"))
+    head = head.select("file", "nf", "nd", F.slice("axes", F.lit(1), F.col("nf")).alias("freq"), F.slice("axes", F.col("nf") + 1, F.col("nd")).alias("dir"))
+    rows = t.where("step is not null").select("file", F.ltrim("value").alias("step")).join(head, "file")
     time = F.unix_timestamp(F.to_timestamp(F.regexp_replace(F.regexp_extract("step", r"^(\d{8}\s+\d{6})", 1), r"\s+", " "), "yyyyMMdd HHmmss")).cast("double")
     name = F.trim(F.regexp_extract("step", r"'([^']*)'", 1))
     tail = F.split(F.regexp_extract("step", r"(?s)'[^']*'(.*)", 1), r"\s+")
@@ -220,10 +314,10 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
 
 def station_list(spark: SparkSession, path: str) -> DataFrame:
     """S14. Station ids: one per line, or the quoted names of a model point file ($ comments, its last line left out)."""
-    lines = numbered(whole(spark, path)).where("trim(line) <> '' and not startswith(ltrim(line), '$')")
+    rows = lines(spark, path).where("trim(line) <> '' and not startswith(ltrim(line), '$')")
     quoted = F.regexp_extract("line", r"'([^']*)'", 1)
-    w = Window.partitionBy("file")
-    lines = lines.withColumns({"_q": F.max(quoted != "").over(w), "_last": F.max("line_no").over(w)})
+    files = rows.groupBy("file").agg(F.max(quoted != "").alias("_q"), F.max("line_no").alias("_last"))
+    rows = rows.join(F.broadcast(files), "file")  # a list of files
     plain = F.regexp_extract(F.trim("line"), r"^(\S+)", 1)
-    out = lines.where("not _q or line_no < _last").select(F.trim(F.when(F.col("_q"), quoted).otherwise(plain)).alias("station"))
+    out = rows.where("not _q or line_no < _last").select(F.trim(F.when(F.col("_q"), quoted).otherwise(plain)).alias("station"))
     return out.where("station <> ''").distinct()
