@@ -224,7 +224,7 @@ def test_large_searches_shuffle_hashes_only(spark, monkeypatch):
     words = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(r.choice(words) for _ in range(r.choice([2, 9, 40])))) for i in range(12)] + [(None, "w1 w2 w3 w4 w5 w6"), (13, None), (14, "W1 w2")]
     docs = [(i % 50, " ".join(r.choice(words) for _ in range(30)) + " " + items[i % 12][1] + " and the end") for i in range(70)] + [(None, items[3][1]), (99, None), (98, "")]
-    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, row int").repartition(3)
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, row int")
     i = spark.createDataFrame(items, "item_id bigint, text string")
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(decontam.contained_items(d, i))
