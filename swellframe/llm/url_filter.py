@@ -11,7 +11,8 @@ these: where the two classes, with their means and deviations, err equally often
 
 All counts come from grouped sums over (context, character) pairs, which a table of pairs bounds: there are far fewer than URLs, and a
 very common host adds to few of them, summed before the shuffle. The pair table is broadcast only under a
-counted bound, else joined by shuffle. A URL's own pairs are averaged in the partition that made them.
+counted bound; beyond it a URL sends the number of its row and its pairs, never host or path, and common pairs meet their ratios without
+a shuffle. Sums by row, made before they are sent, meet hosts and paths once.
 
 Defined results: null urls and those without :// have empty host and path, and as an empty text a log-ratio of 0; rows that repeat a page_id are
 judged apart; an empty table gives an empty result; if either class has no URL, what no rule decides is allowed.
@@ -22,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .decontam import LOWER, UPPER, small
+from .common import stored, with_group
+from .decontam import LOWER, UPPER
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -73,22 +74,26 @@ def log_ratios(judged: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
     return out.select("gram", F.log(F.col("p_good") / F.col("p_bad")).alias("ratio"))
 
 
+def mean_ratios(rows: DataFrame, ratios: DataFrame, order: int) -> DataFrame:
+    """row, log_ratio: the mean ratio of a row's characters; none for empty URLs. ratios: gram, n (how often it is asked for), ratio."""
+    asked = rows.select("row", F.explode(pairs(F.concat("host", "path"), order)).alias("gram"))
+    met = with_group(asked, ratios, "gram", "n", ["ratio"])
+    return met.groupBy("row").agg(F.avg("ratio").alias("log_ratio"))
+
+
 def judge(pages: DataFrame, rules=RULES, order: int = 3, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, log_ratio (null where a rule decides), a row per input row."""
     host, path = host_and_path(F.col(url_col))
     p = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     p = p.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict")
-    p = p.withColumn("fit", F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATE_ONE_IN)) > 0)
+    p = p.withColumns({"fit": F.pmod(F.xxhash64("host", "path"), F.lit(CALIBRATE_ONE_IN)) > 0, "row": F.monotonically_increasing_id()})
+    rows = stored(p, "urls")
     counts = lambda verdict: F.when(F.col("fit") & (F.col("verdict") == verdict), 1).otherwise(0)
-    grams = p.select(counts("allow").alias("g"), counts("block").alias("b"), F.explode(pairs(F.concat("host", "path"), order)).alias("gram"))
-    counted = stored(grams.groupBy("gram").agg(F.sum("g").alias("good"), F.sum("b").alias("bad")), "grams")
-    ratios = stored(log_ratios(counted.where("good > 0 or bad > 0"), counted.select("gram"), order), "ratios")
-    ratios = F.broadcast(ratios) if small(ratios) else ratios
-
-    rows = p.withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "page_id", "host", "path", "rule", "verdict", "fit"]
-    each = rows.select(*keys, F.explode_outer(pairs(F.concat("host", "path"), order)).alias("gram")).join(ratios, "gram", "left")
-    scored = stored(each.groupBy(*keys).agg(F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("log_ratio")), "scored")
+    grams = rows.select(counts("allow").alias("g"), counts("block").alias("b"), F.explode(pairs(F.concat("host", "path"), order)).alias("gram"))
+    counted = stored(grams.groupBy("gram").agg(F.sum("g").alias("good"), F.sum("b").alias("bad"), F.count("*").alias("n")), "grams")
+    ratios = log_ratios(counted.where("good > 0 or bad > 0"), counted.select("gram"), order)
+    ratios = stored(ratios.join(counted.select("gram", "n"), "gram"), "ratios")
+    scored = stored(rows.join(mean_ratios(rows, ratios, order), "row", "left").withColumn("log_ratio", F.coalesce("log_ratio", F.lit(0.0))).drop("row"), "scored")
 
     by_class = lambda rows: {r["verdict"]: r for r in rows.where("verdict is not null").groupBy("verdict").agg(F.avg("log_ratio").alias("m"), F.stddev_pop("log_ratio").alias("s")).collect()}
     stats = by_class(scored.where("not fit"))
