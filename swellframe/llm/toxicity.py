@@ -1,6 +1,6 @@
 """Toxicity scores from class-conditional Kneser-Ney models of words and word pairs.
 
-Each class c (toxic, ordinary) has an interpolated bigram model over the expressions, the pairs of neighbouring words that toxic documents have more
+Each class c (toxic, ordinary) has an interpolated bigram model over the expressions, the pairs of neighbouring words that either class has more
 than once: p_c(w | v) = max(n_c(v, w) - 1, 0) / n_c(v) + l_c(v) p_c(w), with l_c(v) what the discounts leave. Pairs seen once carry no mass of
 their own, so a pair that is no expression backs off to its word in both classes. Words: p_c(w) = max(n_c(w) - D, 0) / n_c + l_c p(w), where
 both classes share the Kneser-Ney lower order p(w): the number of different left neighbours that w has in the labelled documents, discounted
@@ -118,7 +118,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def pair_counts(labelled: DataFrame, hot: np.ndarray) -> DataFrame:
     """Of labelled documents (text, label): w and neighbours, how many different words stand left of it (in parts, for hot words), and, with v
-    not null, the pairs (v, w) that toxic documents have more than once, with their key and counts by class."""
+    not null, the pairs (v, w) that either class has more than once, with their key and counts by class."""
     buckets, _ = group_counts(text_bytes(labelled))
     hot = np.sort(hot)
 
@@ -147,7 +147,7 @@ def pair_counts(labelled: DataFrame, hot: np.ndarray) -> DataFrame:
         toxic, ordinary = (np.add.reduceat(rec[c].astype(np.int64), at) for c in ("toxic", "ordinary"))
         w, v = rec["w"][at], rec["v"][at]
         of_w = runs(w)
-        own = (toxic > 1) & (v != 0)
+        own = ((toxic > 1) | (ordinary > 1)) & (v != 0)
         none = np.zeros(len(of_w), np.int64)
         signed = lambda a, b: pa.array(np.concatenate([a, b]).view(np.int64))
         columns = [signed(w[of_w], w[own]), pa.array(np.r_[none, v[own].view(np.int64)], mask=np.r_[none == 0, np.zeros(own.sum(), bool)]), signed(none.view(np.uint64), pair_keys(v[own], w[own]))]
