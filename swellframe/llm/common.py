@@ -44,6 +44,15 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rested(spark: SparkSession) -> None:
+    """Executors collect their garbage, and so give back to the system what a stage made their heap grow to, before another stage's workers need it.
+
+    A task for each core asks its JVM; requests that meet in a JVM are one collection. Nothing depends on every executor being reached.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')").alias("asked")).write.format("noop").mode("overwrite").save()
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
     """(doc_id, k, first, text) with k a unique bigint in the order of doc_id, first the smallest k of the doc_id; carried columns follow as
     x0, x1, ... Also whether rows share a doc_id or have none.

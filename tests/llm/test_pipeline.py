@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from swellframe.llm import toxicity
+from swellframe.llm.common import rested
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +128,10 @@ def test_stages_of_empty_and_odd_tables(spark):
             out = stage(spark, out, SF)
             assert i == 4 or out.columns == columns
         assert out.count() >= 0
+
+
+def test_executors_collect_between_stages(spark):
+    collections_so_far = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = collections_so_far()
+    rested(spark)
+    assert collections_so_far() > before
