@@ -1,7 +1,7 @@
-"""Kernel densities in work that is linear in rows: binning to a fine grid, kernel sums over the grid.
+"""Kernel densities in work that is linear in rows.
 
-A value between two grid points goes to both, in proportion to its nearness (linear binning), so that rows are summed before any shuffle and the kernel
-meets grid points, of which a range and a bandwidth admit so many, whatever the rows.
+Curves are direct sums: each distinct value meets the points of its curve, 100 whatever the rows. Densities at pairs bin pairs to a fine grid: a value between
+two grid points goes to both, in proportion to its nearness (linear binning), so that rows are summed before any shuffle and the kernel meets grid points.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from ..storage import stored, with_their_group
 from .windows import key_of, smoothed
 
-#: Grid points in a bandwidth of a curve, and bandwidths that its kernel reaches.
-CURVE_STEPS, CURVE_REACH = 32, 7
-#: The same for pairs, where both sums and values are read between points; TILE points make a side of what one task convolves.
+#: Grid points in a bandwidth of pairs, and bandwidths that their kernel reaches; TILE points make a side of what one task convolves.
 PAIR_STEPS, PAIR_REACH, TILE = 8, 5, 256
 
 
 def density(long: DataFrame, keys: list[str], series: str, value: str, points: int = 100, sigma: float = 1.0) -> DataFrame:
     """A13. Gaussian kernel densities of each series (observations, models) on one axis for all series of a group, from the least value to 0.99 of the
     largest, then smoothed: keys, series, i, x, density. Bandwidth n ** (-1/5) sample deviations of the series.
+
+    Every value meets every point: equal values are counted first, and sums of a task's values leave it as one row for each point of a curve.
     """
     own = [*keys, series]
     rows = long.where(F.col(value).isNotNull()).select(key_of(own).alias("_k"), F.col(value).cast("double").alias("_x"))
@@ -30,22 +30,14 @@ def density(long: DataFrame, keys: list[str], series: str, value: str, points: i
     stats = stats.withColumn("_g", F.struct(*[F.col(f"_k.{k}") for k in keys]) if keys else F.lit(0))
     axis = stats.groupBy("_g").agg(F.min("lo").alias("a"), (F.max("hi") * 0.99).alias("b"))
     bandwidth = F.pow("n", F.lit(-0.2)) * F.col("s")
-    stats = stats.where("n > 1 and s > 0").join(axis, "_g").select("_k", "n", "lo", bandwidth.alias("h"), "a", ((F.col("b") - F.col("a")) / (points - 1)).alias("step"))
+    stats = stats.where("n > 1 and s > 0").join(axis, "_g").select("_k", "n", bandwidth.alias("h"), "a", ((F.col("b") - F.col("a")) / (points - 1)).alias("step"))
     stats = stored(stats, "curves")
-    at = (F.col("_x") - F.col("lo")) * CURVE_STEPS / F.col("h")
-    cell = F.floor(at)
-    both = F.array(F.struct(cell.alias("c"), (1 - (at - cell)).alias("w")), F.struct((cell + 1).alias("c"), (at - cell).alias("w")))
-    grid = with_their_group(rows, stats.select("_k", "n", "lo", "h"), ["_k"]).select("_k", F.inline(both)).groupBy("_k", "c").agg(F.sum("w").alias("w"))
-    grid = grid.join(stats, "_k").withColumn("v", F.col("lo") + F.col("c") * F.col("h") / CURVE_STEPS)
-    ends = [F.try_divide(F.col("v") + s * CURVE_REACH * F.col("h") - F.col("a"), F.col("step")) for s in (-1, 1)]
-    first = F.greatest(F.coalesce(F.ceil(F.least(*ends)), F.lit(0)), F.lit(0))
-    last = F.least(F.coalesce(F.floor(F.greatest(*ends)), F.lit(points - 1)), F.lit(points - 1))
-    met = grid.where(first <= last).withColumn("i", F.explode(F.sequence(first, last).cast("array<int>")))
-    z = (F.col("a") + F.col("step") * F.col("i") - F.col("v")) / F.col("h")
-    total = met.groupBy("_k", "i").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("t"))
-    every = stats.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    d = F.coalesce("t", F.lit(0.0)) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
-    raw = every.join(total, ["_k", "i"], "left").select(*[F.col(f"_k.{k}") for k in own], "i", (F.col("a") + F.col("step") * F.col("i")).alias("x"), d.alias("d"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    counted = with_their_group(rows.groupBy("_k", "_x").agg(F.count("*").alias("c")), stats, ["_k"])
+    z = (F.col("a") + F.col("step") * F.col("i") - F.col("_x")) / F.col("h")
+    total = counted.select("*", every).groupBy("_k", "i").agg(F.sum(F.col("c") * F.exp(-z * z / 2)).alias("t"))
+    d = F.col("t") / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
+    raw = stats.select("*", every).join(total, ["_k", "i"]).select(*[F.col(f"_k.{k}") for k in own], "i", (F.col("a") + F.col("step") * F.col("i")).alias("x"), d.alias("d"))
     return smoothed(raw, own, "i", "d", sigma, carried=("x",)).select(*own, "i", "x", F.col("smooth").alias("density"))
 
 

@@ -88,6 +88,21 @@ def test_curves_are_near_the_direct_sum(spark):
         assert np.abs(d - want).max() < 1e-3 * max(want.max(), 1)
 
 
+def test_curves_are_the_direct_sum(spark):
+    """Every value at every point, unbinned and however far away; repeated values, a null, no groups, no rows."""
+    rng = np.random.default_rng(6)
+    series = {"obs": np.r_[rng.gamma(2, 1, 700), np.full(40, 1.5), 60.0], "model": rng.normal(3, 0.02, 900)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in series.items() for x in xs] + [("obs", None)], "series string, x double").repartition(3)
+    got = density.density(df, [], "series", "x", sigma=1e-3).collect()
+    assert len(got) == 200
+    for k, v in series.items():
+        rows = sorted((r["i"], r["x"], r["density"]) for r in got if r["series"] == k)
+        _, x, d = map(np.array, zip(*rows, strict=True))
+        want = direct_density(x, v, len(v) ** -0.2 * v.std(ddof=1))
+        np.testing.assert_allclose(d, want, rtol=1e-9, atol=1e-300)
+    assert density.density(df.limit(0), [], "series", "x").count() == 0
+
+
 def test_density_at_pairs_is_near_the_direct_sum(spark):
     rng = np.random.default_rng(4)
     o = rng.gamma(3, 1, 3000)
