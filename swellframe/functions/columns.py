@@ -111,6 +111,18 @@ def touching(cell: Column) -> Column:
     return F.flatten(F.flatten(F.transform(three, lambda i: F.transform(three, lambda j: F.transform(three, lambda k: F.struct((cell.x + i).alias("x"), (cell.y + j).alias("y"), (cell.z + k).alias("z")))))))
 
 
+def sphere_km(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """Place on the sphere in km from its centre."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return F.cos(la) * F.cos(lo) * EARTH_KM, F.cos(la) * F.sin(lo) * EARTH_KM, F.sin(la) * EARTH_KM
+
+
+def cube_number(x: Column, y: Column, z: Column) -> Column:
+    """One number of a cube's place on three axes. Places 2**21 cubes apart share theirs, neighbours never do."""
+    own = lambda c: F.pmod(c, F.lit(1 << 21))
+    return F.shiftleft(own(x), 42) + F.shiftleft(own(y), 21) + own(z)
+
+
 def slot(t: Column, step: float, origin: float = 0.0) -> Column:
     """Number of the nearest regular time; a time exactly between two belongs to neither when the window is half a step."""
     return F.floor((t - origin) / step + 0.5).cast("bigint")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_KM, axis_nearest, cell3, distance_weight, great_circle_km, nearest_index, slot, touching
+from ..functions.columns import EARTH_KM, axis_nearest, cell3, cube_number, distance_weight, great_circle_km, nearest_index, slot, sphere_km, touching
+from ..storage import broadcast_if_few, stored
 from .qc import numerous
 
+#: Edge of the cubes that `radius_means` deals by, in radii (two at least): larger ones have fewer copies of a row and more candidates.
+CUBES = 4
+
 
 def nearest_cell(df: DataFrame, lat0: float, dlat: float, nlat: int, lon0: float, dlon: float, nlon: int, wrap: bool = True, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """J4. lat_idx and lon_idx of the nearest cell of a regular grid, each axis on its own; the lower index halfway."""
@@ -36,14 +42,17 @@ def counts_in_time(points: DataFrame, tracks: DataFrame, half: float) -> DataFra
     """points (any columns, and time) with n_time, the track rows less than `half` seconds away.
 
     Distinct times of a bucket of 2 `half` seconds and the ends of the points' intervals are run over once, in order, with the count so far. An
-    interval begins in one bucket and ends in the next: rows of the first after its begin, and of the second before its end. Times are compared in microseconds.
+    interval begins in one bucket and ends in the next: rows of the first after its begin, and of the second before its end. Times are compared in
+    microseconds. Only track rows of those buckets are dealt.
     """
     width = round(2e6 * half)
     micros = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
     bucket = lambda c: F.floor(c / width)
     begin = micros("time") - width // 2
     asked = points.select("*", begin.alias("_t0"), bucket(begin).alias("_b0"))
-    seen = tracks.select(micros("time").alias("t")).groupBy("t").agg(F.count("*").alias("c")).select(bucket(F.col("t")).alias("b"), "t", F.lit(1).alias("kind"), "c")
+    wanted = broadcast_if_few(asked.select(F.explode(F.array("_b0", F.col("_b0") + 1)).alias("b")).distinct(), "buckets")
+    seen = tracks.select(micros("time").alias("t")).withColumn("b", bucket(F.col("t"))).join(wanted, "b", "left_semi")
+    seen = seen.groupBy("b", "t").agg(F.count("*").alias("c")).select("b", "t", F.lit(1).alias("kind"), "c")
     # an end counts what is before it (kind 0 stands before rows of its time), a begin what is up to it (kind 2, after them)
     ends = asked.select(F.inline(F.array(F.struct(F.col("_b0").alias("b"), F.col("_t0").alias("t"), F.lit(2).alias("kind")), F.struct((F.col("_b0") + 1).alias("b"), (F.col("_t0") + width).alias("t"), F.lit(0).alias("kind")))))
     run = seen.unionByName(ends.distinct().withColumn("c", F.lit(0).cast("bigint")))
@@ -55,25 +64,61 @@ def counts_in_time(points: DataFrame, tracks: DataFrame, half: float) -> DataFra
     return out.withColumn("n_time", F.col("_first") + F.col("_second")).drop("_t0", "_b0", "_first", "_second")
 
 
-def radius_extraction(points: DataFrame, tracks: DataFrame, values: list[str], key: str, radius: float = 50.0, half: float = 2700.0, mission: str | None = "satellite_id") -> DataFrame:
-    """J5, J6. For each point: means over track rows less than `half` seconds and at most `radius` km away, and the commonest
-    mission (the lowest on a tie). A point needs more than two rows in time and two in the radius, else nulls.
+def dealt_around(rows: DataFrame, edge: float, radius: float, width: float, half: float) -> DataFrame:
+    """rows with the bucket and the cube of every place and time less than `half` seconds and at most `radius` km away from theirs, a row each.
 
-    Rows meet by (time bucket, cube of the sphere): a row is in one, a point looks at two buckets and 27 cubes. Rows in time are
-    counted by `counts_in_time`, without looking at space.
+    Of the cubes that the ball around a row may meet, at most two on each axis (`edge` is at least twice the radius), those stay that it does meet
+    and that the sphere passes through.
+    """
+    reach, slack = radius + 1e-3, 1e-3
+    out = rows.withColumns(dict(zip(("_x", "_y", "_z"), sphere_km(F.col("lat"), F.col("lon")), strict=True)))
+    out = out.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("time") - half) / width), F.floor((F.col("time") + half) / width))))
+    off, least, most = [], [], []
+    for c in ("_x", "_y", "_z"):
+        at, low = F.col(c), F.col(f"_i{c}") * edge
+        out = out.withColumn(f"_i{c}", F.explode(F.sequence(F.floor((at - reach) / edge), F.floor((at + reach) / edge))))
+        high = low + edge
+        off.append(F.pow(F.greatest(low - at, at - high, F.lit(0.0)), F.lit(2)))
+        least.append(F.pow(F.greatest(low, -high, F.lit(0.0)), F.lit(2)))
+        most.append(F.pow(F.greatest(F.abs(low), F.abs(high)), F.lit(2)))
+    out = out.where((sum(off) <= reach**2) & (sum(least) <= (EARTH_KM + slack) ** 2) & (sum(most) >= (EARTH_KM - slack) ** 2))
+    return out.select(*rows.columns, "bucket", cube_number(F.col("_i_x"), F.col("_i_y"), F.col("_i_z")).alias("cell"))
+
+
+def radius_means(points: DataFrame, tracks: DataFrame, values: list[str], key: str, radius: float = 50.0, half: float = 2700.0, mission: str | None = "satellite_id") -> DataFrame:
+    """J5, J6, T2. A row for each key of points that has more than two track rows less than `half` seconds away, and two of these at most `radius` km away:
+    the number of the latter (n), the means of their values, and their commonest mission (the lowest on a tie).
+
+    A point is in one time bucket and one cube of the sphere; a track row goes to those that a point near it may be in. Missions are counted before
+    they are compared, so that no pair of a point and a row is kept or sorted. A key with three rows in the radius has three in time; only
+    those with two have their rows in time counted, by `counts_in_time`, without looking at space.
     """
-    width = 2 * half
-    low = F.floor((F.col("time") - half) / width).cast("bigint")
-    asked = points.select(key, F.col("time").alias("pt"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.explode(F.array(low, low + 1)).alias("bucket"))
-    rows = tracks.withColumn("bucket", F.floor(F.col("time") / width).cast("bigint"))
-    in_time = F.abs(F.col("time") - F.col("pt")) < half
-    enough = counts_in_time(points.select(key, "time"), tracks, half).where("n_time > 2").select(key).distinct()
-    cubes = asked.join(enough, key, "left_semi").withColumn("cell", F.explode(touching(cell3(F.col("plat"), F.col("plon"), radius))))
-    near = cubes.join(rows.withColumn("cell", cell3(F.col("lat"), F.col("lon"), radius)), ["bucket", "cell"])
-    near = near.where(in_time & (great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")) <= radius))
-    extra = [F.mode(mission, True).alias(mission)] if mission else []
-    found = near.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(v).alias(v) for v in values], *extra).where("n >= 2")
-    return points.join(found, key, "left")
+    edge, width = CUBES * radius, 2 * half
+    place = [F.floor(c / edge) for c in sphere_km(F.col("lat"), F.col("lon"))]
+    asked = points.select(key, F.col("time").alias("pt"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.floor(F.col("time") / width).alias("bucket"), cube_number(*place).alias("cell"))
+    rows = dealt_around(tracks.select("time", "lat", "lon", *values, *([mission] if mission else [])), edge, radius, width, half)
+    # cheap and true of whatever is near, where latitudes end at the poles
+    about = (F.abs(F.col("lat") - F.col("plat")) <= math.degrees(radius / EARTH_KM) + 1e-6) | (F.abs("lat") > 90) | (F.abs("plat") > 90)
+    near = asked.join(rows, ["bucket", "cell"]).where((F.abs(F.col("time") - F.col("pt")) < half) & about)
+    near = near.where(great_circle_km(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")) <= radius)
+    n = F.count("*").alias("n")
+    if mission:
+        each = near.groupBy(key, mission).agg(n, *[a for v in values for a in (F.sum(v).alias(f"sum_{v}"), F.count(v).alias(f"n_{v}"))])
+        commonest = F.min(F.when(F.col(mission).isNotNull(), F.struct(-F.col("n"), mission)))[mission].alias(mission)
+        means = [F.try_divide(F.sum(f"sum_{v}"), F.sum(f"n_{v}")).alias(v) for v in values]
+        found = each.groupBy(key).agg(F.sum("n").alias("n"), *means, commonest)
+    else:
+        found = near.groupBy(key).agg(n, *[F.avg(v).alias(v) for v in values])
+    found = stored(found.where(F.col(key).isNotNull() & (F.col("n") >= 2)), "found")
+    two = broadcast_if_few(found.where("n = 2").select(key), "two")
+    counted = counts_in_time(stored(points.select(key, "time").join(two, key, "left_semi"), "counted"), tracks, half)
+    enough = counted.groupBy(key).agg(F.sum("n_time").alias("n_time")).where("n_time > 2").select(key)
+    return found.where("n > 2").unionByName(found.where("n = 2").join(enough, key, "left_semi"))
+
+
+def radius_extraction(points: DataFrame, tracks: DataFrame, values: list[str], key: str, radius: float = 50.0, half: float = 2700.0, mission: str | None = "satellite_id") -> DataFrame:
+    """J5, J6. points with their columns of `radius_means`, nulls where they have none."""
+    return points.join(radius_means(points, tracks, values, key, radius, half, mission), key, "left")
 
 
 def gridded(tracks: DataFrame, grid: DataFrame, values: list[str], step: float = 3600.0, half: float = 1800.0, limit: float = 35.0, neighbours: int = 8, weight=None, order: str = "src_id") -> DataFrame:

@@ -68,7 +68,7 @@ def _extraction(values: str) -> str:
 
 @query(_extraction("hs, wnd") + "select p.point_id, n, round(hs, 8) hs, round(wnd, 8) wnd from targets p left join n using (point_id)")
 def J5_radius_extraction(spark, sf_dir):
-    out = geo.radius_extraction(_targets(spark, sf_dir), v.track(spark, sf_dir), ["hs", "wnd"], "point_id")
+    out = geo.radius_extraction(_targets(spark, sf_dir), v.track(spark, sf_dir), ["hs", "wnd"], "point_id", mission=None)
     return rounded(out.select("point_id", "n", "hs", "wnd"), 8)
 
 
@@ -78,14 +78,14 @@ _DIRS = "(select * exclude (user_id), user_id * 7.0::double % 360 wdir from trac
 @query((_extraction("wnd, wdir").replace("join track t", f"join {_DIRS} t")) + "select p.point_id, n, round(wnd, 8) wnd, round(wdir, 8) wdir from targets p left join n using (point_id)")
 def J6_wind_extraction(spark, sf_dir):
     t = v.track(spark, sf_dir).withColumn("wdir", F.col("user_id") * 7.0 % 360)
-    return rounded(geo.radius_extraction(_targets(spark, sf_dir), t, ["wnd", "wdir"], "point_id").select("point_id", "n", "wnd", "wdir"), 8)
+    return rounded(geo.radius_extraction(_targets(spark, sf_dir), t, ["wnd", "wdir"], "point_id", mission=None).select("point_id", "n", "wnd", "wdir"), 8)
 
 
 @query(
     _extraction("hs") + ", k as (select point_id, satellite_id, count(*) c from c where near and point_id in (select point_id from n) group by 1, 2) select point_id, arg_min(satellite_id, (-c, satellite_id)) satellite_id from k group by 1"
 )
 def T2_commonest_mission(spark, sf_dir):
-    return geo.radius_extraction(_targets(spark, sf_dir), v.track(spark, sf_dir), ["hs"], "point_id").where("n is not null").select("point_id", "satellite_id")
+    return geo.radius_means(_targets(spark, sf_dir), v.track(spark, sf_dir), [], "point_id").select("point_id", "satellite_id")
 
 
 _D = v.great_circle("g.lat", "g.lon", "t.lat", "t.lon")

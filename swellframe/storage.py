@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Groups (of a few numbers, or a few hundred ranks) that are broadcast.
 BROADCAST_GROUPS = 20_000
+#: Rows of a number or two that are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, of a number or two each, stored and counted; marked for broadcast if they are few (BROADCAST_ROWS)."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else kept
+
+
 def with_their_group(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n") -> DataFrame:
     """rows joined with the group that they belong to. groups: stored, one row for each value of `on` (not null), with `n`, the rows that it has.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swellframe.functions import columns as c
 from swellframe.operators import geo, interp, qc, zones
+from swellframe.plans import QUERIES
 from swellframe.sources import sinks, tables, texts
 
 
@@ -143,6 +144,49 @@ def test_counts_in_time(spark):
     assert got == {i: sum(abs(m - round(x * 1e6)) < 2_700_000_000 for m in micros) for i, x in enumerate(points)}
 
 
+def test_means_and_missions_around_points(spark):
+    """Brute force over poles, seam and bucket borders; keys that several points share count their rows in time together; missions of any type, ties, nulls."""
+    rng = np.random.default_rng(8)
+    at = [(0.0, 0.0), (89.9, 10.0), (-90.0, 0.0), (20.0, 179.9), (45.0, 359.9), (-33.0, 120.0)]
+    spot = lambda: (min(90.0, max(-90.0, (p := at[rng.integers(len(at))])[0] + rng.normal(0, 0.3))), p[1] + rng.normal(0, 0.3) / max(0.1, math.cos(math.radians(p[0]))))
+    when = lambda: float(rng.choice([rng.uniform(0, 90000), rng.integers(0, 30) * 2700.0]))
+    track = [(when(), *spot(), [None, "b", "a", "c"][rng.integers(4)], None if rng.random() < 0.2 else float(rng.random())) for _ in range(700)]
+    points = [(int(rng.integers(0, 300)), when(), *spot()) for _ in range(400)]
+    points += [(400 + i, when(), 60.0, 60.0 + 3 * i) for i in range(20)]
+    track += [(p[1] + d, p[2], p[3], m, 1.0) for p in points[-20:] for d, m in ((0.0, "b"), (2699.0, "a"))]
+    t = spark.createDataFrame(track, "time double, lat double, lon double, satellite_id string, hs double")
+    p = spark.createDataFrame(points, "id int, time double, lat double, lon double")
+    rows = geo.radius_means(p, t, ["hs"], "id").collect()
+    got = {r["id"]: (r["n"], r["satellite_id"], r["hs"]) for r in rows}
+    want = {}
+    for key in {x[0] for x in points}:
+        near = [(x, r) for x in points if x[0] == key for r in track if abs(r[0] - x[1]) < 2700]
+        hit = [r for x, r in near if km(x[2], x[3], r[1], r[2]) <= 50]
+        if len(near) > 2 and len(hit) >= 2:
+            names, values = [r[3] for r in hit if r[3]], [r[4] for r in hit if r[4] is not None]
+            want[key] = (len(hit), min(set(names), key=lambda m: (-names.count(m), m)) if names else None, pytest.approx(np.mean(values)) if values else None)
+    assert got == want and len(rows) == len(want) > 100 and sum(n == 2 for n, *_ in want.values()) > 20
+    plain = {r["id"]: r["hs"] for r in geo.radius_means(p, t, ["hs"], "id", mission=None).collect()}
+    assert plain == {k: v and pytest.approx(v) for k, (_, _, v) in got.items()}
+
+
+def records_dealt(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_few_copies_are_dealt_to_find_the_commonest_mission(spark):
+    """Records that the query writes to shuffles on the 0.01 tables, without broadcasts: less than twenty for each row, and no pairs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = records_dealt(spark)
+        n = QUERIES["T2_commonest_mission"](spark, "/root/testdata/sf0.01").count()
+        assert n == 10000 and 0 < records_dealt(spark) - before < 20 * n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_gridding_weighs_the_rows_that_have_the_value(spark):
     tracks = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 3.0, None), (2, 1.0, 0.1, 0.0, 5.0, 4.0)], "src_id int, time double, lat double, lon double, hs double, hs_cal double")
     grid = spark.createDataFrame([(0, 0, 0.0, 0.0)], "lat_idx int, lon_idx int, lat double, lon double")
