@@ -187,3 +187,81 @@ def test_bitmaps_keep_every_pair_that_can_be_similar(spark):
     left = {r["a"] // 2 for r in near_copies.possible(pairs, spark.createDataFrame(sets, "node bigint, n bigint, map binary")).collect()}
     similar = {i for i, *_, s in rows if s >= 0.8}
     assert similar <= left and 50 < len(similar) and len(left) < len(similar) + 60
+
+
+def family(r, n, size, most):
+    """Edits of a text of words, each with up to `most` words replaced."""
+    base = [r.randrange(10**9) for _ in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(size), r.randint(1, most)):
+            w[at] = r.randrange(10**9)
+        out.append(" ".join(map(str, w)))
+    return out
+
+
+def first_of_class(sets):
+    """For each set the first of its class: components of all pairs of similarity 0.8."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if len(a) * 0.8 <= len(b) <= len(a) / 0.8 and similarity(a, b) >= 0.8:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 9000])
+def test_dense_groups_lose_no_link(spark, monkeypatch, block):
+    """Families whose members are all near each other in bits, some of them in words: exact classes, in one block or several, and few rows proposed."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    r = random.Random(21)
+    texts = family(r, 300, 120, 7) + family(r, 200, 220, 11) + family(r, 150, 40, 3) + family(r, 30, 400, 30)
+    want = first_of_class([shingles(t) for t in texts])
+    assert 100 < len(set(want)) < len(texts) - 100
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in near_copies.classes(df).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("n, size, most", [(250, 100, 14), (300, 20, 3), (150, 6, 1), (120, 150, 60)])
+def test_classes_of_sets(n, size, most):
+    """Against all pairs; with two sides, what both and their pairs give together is the same."""
+    rng = np.random.default_rng(n + size)
+    base, sets = rng.integers(0, 2**62, size), [np.array([], np.int64)]
+    for _ in range(n):
+        x = base.copy()
+        at = rng.choice(size, rng.integers(0, most + 1), replace=False)
+        x[at] = rng.integers(0, 40 * size, len(at))
+        sets.append(np.unique(x[: rng.integers(size - size // 10, size + 1)]))
+    sets = [np.array(s, np.int64) for s in sorted({tuple(s.tolist()) for s in sets})]
+    of = lambda rows, side: near_copies.classes_of(np.concatenate([sets[i] for i in rows]), np.r_[0, np.cumsum([len(sets[i]) for i in rows])], side)
+    every = np.arange(len(sets))
+    want = first_of_class([set(s.tolist()) for s in sets])
+    assert of(every, np.zeros(len(sets), bool)).tolist() == want
+    side = every % 3 == 0
+    label = near_copies.joined(every, every, of(every, side))
+    for rows in (every[side], every[~side]):
+        label = near_copies.joined(label, rows, rows[of(rows, np.zeros(len(rows), bool))])
+    assert label.tolist() == want
+
+
+def test_classes_of_sets_with_nothing_in_common():
+    of = lambda *sets: near_copies.classes_of(np.array([h for s in sets for h in s], np.int64), np.r_[0, np.cumsum([len(s) for s in sets])], np.zeros(len(sets), bool)).tolist()
+    assert of([1, 2, 3], [4, 5], [6]) == [0, 1, 2] and of([]) == [0] and of([1], []) == [0, 1]
+
+
+def test_a_group_of_any_size_is_named_by_a_row_each():
+    rng = np.random.default_rng(6)
+    words = [np.zeros(500, np.uint64), rng.integers(0, 8, 500).astype(np.uint64)]
+    words[0][300:] = np.uint64(2**64 - 1)
+    node = rng.permutation(500).astype(np.int64)
+    rows = near_copies.named(node, np.arange(500), *near_copies.pairs_of(*words))
+    first, second = node[:300], node[300:]
+    assert len(rows) == 498 and {tuple(x) for x in rows.tolist()} == {(x, min(g)) for g in (first.tolist(), second.tolist()) for x in g if x > min(g)}
